@@ -380,3 +380,50 @@ def raw_outputs(orders: DataFrame, conversations: DataFrame) -> DataFrame:
         F.transform("options", lambda o: o["label"]).alias("allowed"),
     )
     return pri.unionByName(conv).unionByName(wrap)
+
+
+# ---- records with seeded defects (F1 input) ----------------------------------------
+
+DEFECTS = {
+    0: "none",
+    1: "drop state",
+    2: "null state",
+    3: "numeric question",
+    4: "one option",
+    5: "option without description",
+    6: "answer Z",
+}
+
+
+def corrupt_set(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """D-set rendered as JSON bodies, defect picked by doc_id mod 7."""
+    d = d_set(documents, labels)
+    k = F.col("rec_id") % 7
+    st, q, o, a = F.col("state"), F.col("question"), F.col("options"), F.col("answer")
+    no_desc = F.transform(
+        o,
+        lambda x, i: F.struct(
+            x["label"].alias("label"),
+            x["key"].alias("key"),
+            F.when(i != 1, x["description"]).alias("description"),
+        ),
+    )
+    body = case_on(
+        k,
+        {
+            0: F.to_json(F.struct(st.alias("state"), q.alias("question"), o.alias("options"), a.alias("answer"))),
+            1: F.to_json(F.struct(q.alias("question"), o.alias("options"), a.alias("answer"))),
+            2: F.to_json(
+                F.struct(
+                    F.lit(None).cast("string").alias("state"), q.alias("question"),
+                    o.alias("options"), a.alias("answer"),
+                ),
+                {"ignoreNullFields": "false"},
+            ),
+            3: F.to_json(F.struct(st.alias("state"), F.lit(42).alias("question"), o.alias("options"), a.alias("answer"))),
+            4: F.to_json(F.struct(st.alias("state"), q.alias("question"), F.slice(o, 1, 1).alias("options"), a.alias("answer"))),
+            5: F.to_json(F.struct(st.alias("state"), q.alias("question"), no_desc.alias("options"), a.alias("answer"))),
+            6: F.to_json(F.struct(st.alias("state"), q.alias("question"), o.alias("options"), F.lit("Z").alias("answer"))),
+        },
+    )
+    return d.select("rec_id", "split", "split_rank", k.cast("int").alias("defect"), body.alias("body"))
