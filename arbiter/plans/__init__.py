@@ -8,6 +8,7 @@ MODULES = [
     "decisions",
     "joins",
     "records",
+    "scoring",
 ]
 
 
