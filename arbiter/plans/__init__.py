@@ -9,6 +9,7 @@ MODULES = [
     "joins",
     "records",
     "scoring",
+    "evaluation",
 ]
 
 

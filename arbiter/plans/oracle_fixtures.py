@@ -147,3 +147,52 @@ def raw_outputs() -> str:
       UNION ALL
       SELECT 'finance', rec_id, {wrap}, list_transform(options, lambda o: o.label)
         FROM ({finance_set()}) f"""
+
+
+def general_set() -> str:
+    k = "c_custkey"
+    kind = f"({k} % 5)"
+    sp = f"({k} % 3)"
+    sub = f"(({k} // 3) % 3 + 1)"
+    ks = f"CAST({k} AS VARCHAR)"
+    sent = (
+        f"CASE {sp} WHEN 0 THEN ({lst(C.POSITIVE_TEXTS)})[{sub}] WHEN 1 THEN ({lst(C.NEGATIVE_TEXTS)})[{sub}] "
+        f"ELSE ({lst(C.NEUTRAL_TEXTS)})[{sub}] END"
+    )
+    intent = case(f"({k} % 4)", {i: template_sql(t, {"key": ks}) for i, t in enumerate(C.INTENT_TEXTS)})
+    even = f"({k} % 2 = 0)"
+    value = f"CASE WHEN {even} THEN ({k} % 19 + 2) * 10 + 1000 ELSE 900 - (({k} // 19) % 19 + 2) END"
+    fact = f"CASE WHEN {even} THEN {template_sql(C.FACTUAL_TEXTS[0], {'key': ks})} ELSE {template_sql(C.FACTUAL_TEXTS[1], {'key': ks})} END"
+    route = case(
+        sp,
+        {i: template_sql(t, {"key": ks, "quarter": f"CAST({k} % 4 + 1 AS VARCHAR)"}) for i, t in enumerate(C.ROUTING_TEXTS)},
+    )
+    text = case(kind, {0: sent, 1: intent, 3: fact, 4: route})
+    vals = {"key": ks, "text": text, "value": f"CAST({value} AS VARCHAR)"}
+    g = C.GENERAL_KINDS
+    abc = f"(['A', 'B', 'C'])[{sp} + 1]"
+    answer = case(
+        kind,
+        {0: abc, 1: f"(['A', 'B', 'C', 'D'])[{k} % 4 + 1]", 2: f"CASE WHEN {even} THEN 'A' ELSE 'B' END",
+         3: f"CASE WHEN {even} THEN 'A' ELSE 'B' END", 4: abc},
+    )
+    opts = case(
+        kind,
+        {0: opts_sql(C.SENTIMENT_OPTIONS), 1: opts_sql(C.INTENT_OPTIONS), 2: opts_sql(C.LOGIC_OPTIONS),
+         3: opts_sql(C.FACTUAL_OPTIONS), 4: opts_sql(C.ROUTING_OPTIONS)},
+    )
+    conclusion = case(
+        kind,
+        {
+            0: f"(['positive', 'negative', 'neutral'])[{sp} + 1]",
+            1: f"(['billing', 'cancel', 'technical', 'general'])[{k} % 4 + 1]",
+            2: f"CASE WHEN {value} >= 1000 THEN 'yes' ELSE 'no' END",
+            3: f"CASE WHEN {even} THEN 'true' ELSE 'false' END",
+            4: f"(['billing', 'technical', 'sales'])[{sp} + 1]",
+        },
+    )
+    return f"""SELECT {k} AS rec_id, CAST({kind} AS INTEGER) AS kind,
+      {case(kind, {i: template_sql(t[0], vals) for i, t in g.items()})} AS state,
+      {case(kind, {i: sql_str(t[1]) for i, t in g.items()})} AS question,
+      {opts} AS options, {answer} AS answer, {conclusion} AS conclusion
+    FROM customer"""
