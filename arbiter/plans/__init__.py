@@ -10,6 +10,7 @@ MODULES = [
     "records",
     "scoring",
     "evaluation",
+    "streams",
 ]
 
 
