@@ -62,24 +62,27 @@ def fit_state(
     def render(s: Column) -> Column:
         return render_prompt(s, question, options_block, persona)
 
+    # The accumulator carries the current token count and a "settled" flag, so
+    # every step after the state fits is a no-op and each cut is counted once.
+    def settled(s: Column, n: Column) -> Column:
+        return (n <= limit) | (F.length(s) <= 80)
+
     def step(acc: Column, _i: Column) -> Column:
         s = acc["state"]
-        over = (token_count(render(s)) > limit) & (F.length(s) > 80)
         cut = F.greatest(F.lit(40), F.floor(F.length(s) * F.lit(0.7).cast("double")).cast("int"))
         shrunk = py_rstrip(F.substring(s, 1, cut))
-        return F.struct(
-            F.when(over, shrunk).otherwise(s).alias("state"),
-            (acc["truncated"] | over).alias("truncated"),
+        n = token_count(render(shrunk))
+        moved = F.struct(
+            shrunk.alias("state"), n.alias("n"), F.lit(True).alias("truncated"), settled(shrunk, n).alias("done")
         )
+        return F.when(acc["done"], acc).otherwise(moved)
 
-    init = F.struct(s0.alias("state"), F.lit(False).alias("truncated"))
-    folded = F.when(
-        token_count(render(s0)) <= limit, init
-    ).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(FIT_STEPS)), init, step))
-    prompt = render(folded["state"])
+    n0 = token_count(render(s0))
+    init = F.struct(s0.alias("state"), n0.alias("n"), F.lit(False).alias("truncated"), settled(s0, n0).alias("done"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(FIT_STEPS)), init, step)
     return F.struct(
-        prompt.alias("prompt"),
-        token_count(prompt).alias("n_tokens"),
+        render(folded["state"]).alias("prompt"),
+        folded["n"].alias("n_tokens"),
         folded["truncated"].alias("truncated"),
         folded["state"].alias("state"),
     )

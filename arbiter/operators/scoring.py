@@ -22,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbiter.functions.subquery import attach_classes, class_array, row_value
 from arbiter.functions.text import tokens
 from arbiter.operators.ordinal import ordinal_within
 
@@ -62,6 +63,10 @@ def fit_nb(train: DataFrame, key: str = "rec_id", text: str = "state", label: st
     tc = token_counts(train.select(key, label, text), key, text)
     lab = train.select(key, F.col(label).alias("label"))
     lt = tc.join(lab, key).groupBy("label", "token").agg(F.sum("c").alias("c"))
+    # The model is a table (written once to the shared checkpoint folder), so
+    # scoring reads it instead of recomputing the fit in every branch.
+    lt = lt.checkpoint(eager=True)
+    n_docs = n_docs.checkpoint(eager=True)
     n_tokens = lt.groupBy("label").agg(F.sum("c").alias("N"))
     vocab = lt.select("token").distinct()
     v = vocab.agg(F.count(F.lit(1)).alias("V"))
@@ -72,14 +77,12 @@ def fit_nb(train: DataFrame, key: str = "rec_id", text: str = "state", label: st
 
 
 def _priors(n_docs: DataFrame, n_tokens: DataFrame, v: DataFrame, total: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
-    consts = v.select(one, "V").join(total.select(one, "n_all"), "_one")
-    p = n_docs.select(one, "label", "n_label").join(consts, "_one").join(n_tokens, "label", "left")
+    p = n_docs.join(n_tokens, "label", "left")
     n = F.coalesce(F.col("N"), F.lit(0))
     return p.select(
         "label",
-        F.log(F.col("n_label") / F.col("n_all")).alias("log_prior"),
-        (-F.log(n + F.col("V"))).alias("default_logp"),
+        F.log(F.col("n_label") / row_value(total)["n_all"]).alias("log_prior"),
+        (-F.log(n + row_value(v)["V"])).alias("default_logp"),
     )
 
 
@@ -93,19 +96,49 @@ def score_nb(
     labels = priors.select("label", "log_prior", "default_logp")
     if prior_only:
         return _per_label(items, labels, key).select(key, "label", F.col("log_prior").alias("logp"))
-    tc = token_counts(docs.select(key, text), key, text)
-    in_vocab = tc.join(fitted["vocab"], "token", "left_semi")
-    n_in = in_vocab.groupBy(key).agg(F.sum("c").alias("n_in"))
-    delta = (
-        in_vocab.join(fitted["model"].select("label", "token", "delta"), "token")
-        .groupBy(key, "label")
-        .agg(F.sum(F.col("c") * F.col("delta")).alias("sum_delta"))
+    # One pass over the text: (key, token, c); explode_outer keeps items that
+    # have no token at all as a (key, null) row, so every item stays present.
+    tc = (
+        docs.select(key, F.explode_outer(tokens(text)).alias("token"))
+        .groupBy(key, "token")
+        .agg(F.count("token").alias("c"))
     )
-    scored = (
-        _per_label(items, labels, key)
-        .join(n_in, key, "left")
-        .join(delta, [key, "label"], "left")
+    # The model keyed by token (one row per vocabulary token, ≤ K label entries):
+    # a token outside the vocabulary finds no row.
+    by_token = fitted["model"].groupBy("token").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "delta"))).alias("deltas")
     )
+    rows = tc.join(by_token, "token", "left")
+    classes = class_array(labels)
+    if classes is None:  # very many classes: join-based form
+        n_in = rows.groupBy(key).agg(F.sum(F.when(F.col("deltas").isNotNull(), F.col("c")).otherwise(0)).alias("n_in"))
+        delta = (
+            rows.select(key, "c", F.explode("deltas").alias("label", "delta"))
+            .groupBy(key, "label")
+            .agg(F.sum(F.col("c") * F.col("delta")).alias("sum_delta"))
+        )
+        scored = _per_label(n_in, labels, key).join(delta, [key, "label"], "left")
+    else:
+        # Every token row contributes to every class: its in-vocabulary count
+        # and c·delta. One aggregate per (item, class) then gives all terms, so
+        # the text is tokenised and shuffled once and no item or class is lost.
+        in_vocab = F.when(F.col("deltas").isNotNull(), F.col("c")).otherwise(0).cast("long")
+        rows = rows.select("*", classes.alias("_classes"))
+        parts = F.transform(
+            F.col("_classes"),
+            lambda cl: F.struct(
+                cl["label"].alias("label"),
+                cl["log_prior"].alias("log_prior"),
+                cl["default_logp"].alias("default_logp"),
+                in_vocab.alias("n"),
+                (F.col("c") * F.coalesce(F.element_at(F.col("deltas"), cl["label"]), F.lit(0.0))).alias("d"),
+            ),
+        )
+        scored = (
+            rows.select(key, F.explode(parts).alias("p"))
+            .groupBy(key, "p.label", "p.log_prior", "p.default_logp")
+            .agg(F.sum("p.n").alias("n_in"), F.sum("p.d").alias("sum_delta"))
+        )
     return scored.select(
         key,
         "label",
@@ -118,18 +151,8 @@ def score_nb(
 
 
 def _per_label(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """One row per (item, class).
-
-    The class table (one row per class, so its size is bounded by the label
-    set, not the data) is folded into a single array row and attached with a
-    broadcast equi-join, then exploded: K rows per item, linear in items.
-    """
-    packed = labels.agg(F.collect_list(F.struct(*labels.columns)).alias("_classes"))
-    one = F.lit(1).alias("_one")
-    j = items.select(one, "*").join(F.broadcast(packed.select(one, "_classes")), "_one")
-    return j.select(*[c for c in items.columns], F.explode("_classes").alias("_c")).select(
-        *items.columns, *[F.col(f"_c.{c}").alias(c) for c in labels.columns]
-    )
+    """One row per (item, class); the class table is bounded by the label set."""
+    return attach_classes(items, labels)
 
 
 # ---- W4 centroids ----------------------------------------------------------------------

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbiter.functions.options import format_options
+from arbiter.functions.subquery import row_value
 from arbiter.operators import generate as G
 from arbiter.operators import metrics as M
 from arbiter.operators.evidence import decide_from_text
@@ -334,12 +335,11 @@ def s5_export_summary(spark, sf_dir):
         F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), 4).alias("accuracy"),
         F.round(F.avg(F.col("label").isNull().cast("double")), 4).alias("invalid_rate"),
         F.round(F.avg(F.greatest(F.lit(0.0), F.col("client_ms") - F.col("latency_ms"))), 3).alias("round_trip_avg_ms"),
-        F.lit(1).alias("_one"),
     )
-    lat = M.latency_stats(j.withColumn("run", F.lit("run")), ["run"], "latency_ms").select(
-        F.lit(1).alias("_one"), F.round("avg", 4).alias("engine_avg_ms"), F.round("p95", 4).alias("engine_p95_ms")
+    lat = row_value(M.latency_stats(j.withColumn("run", F.lit("run")), ["run"], "latency_ms").select("avg", "p95"))
+    return head.select(
+        "*", F.round(lat["avg"], 4).alias("engine_avg_ms"), F.round(lat["p95"], 4).alias("engine_p95_ms")
     )
-    return head.join(lat, "_one").drop("_one")
 
 
 # ---- A8 / A12 ----------------------------------------------------------------------------------

@@ -45,7 +45,13 @@ def j2_duplicate_states(spark, sf_dir):
     return duplicate_states(X.doc_records(Tables(spark, sf_dir).documents))
 
 
-LINE_TOTAL = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+# Money in DECIMAL: exact products and order-independent sums, so the result
+# does not depend on how rows are partitioned.
+LINE_TOTAL = (
+    F.col("l_extendedprice").cast("decimal(15,2)")
+    * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    * (1 + F.col("l_tax").cast("decimal(4,2)"))
+)
 
 
 def _recon(spark, sf_dir):
@@ -66,7 +72,8 @@ def _recon_sql() -> str:
     return """WITH o AS (SELECT o_orderkey AS ref, count(*) AS l_n,
           CAST(round(sum(o_totalprice), 2) AS DECIMAL(14,2)) AS a FROM orders GROUP BY 1),
       l AS (SELECT l_orderkey AS ref, count(*) AS r_n,
-          CAST(round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS DECIMAL(14,2)) AS b
+          CAST(round(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+                         * (1 + CAST(l_tax AS DECIMAL(4,2)))), 2) AS DECIMAL(14,2)) AS b
           FROM lineitem GROUP BY 1)
       SELECT coalesce(o.ref, l.ref) AS ref, a, b,
         CASE WHEN o.ref IS NULL OR l.ref IS NULL THEN 'needs_review'

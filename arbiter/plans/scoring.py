@@ -390,7 +390,8 @@ def p8_mask_examples(spark, sf_dir):
 def _batch_decisions(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.select("doc_id", _blob().alias("blob"))
     items, _err = R.split_states(docs, "blob", "doc_id")
-    items = items.withColumn("item", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("item_no").cast("string")))
+    # One long key per (batch, item); a batch holds far fewer than 10^6 states.
+    items = items.withColumn("item", F.col("doc_id") * 1_000_000 + F.col("item_no"))
     top = _decide(S.score_nb(items.select("item", "state"), _fit(spark, sf_dir), "item", "state"), "item")
     keys = F.when(F.col("label") == "A", "good").otherwise("poor")
     return items.join(top, "item").select(

@@ -57,8 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet scan of one table.
+
+    A file written as a single row group can only be read by one task, which
+    would run every per-row text operator on one core. When the scan has
+    fewer partitions than half the session's parallelism, rows are spread
+    round-robin to that parallelism; a warehouse-sized scan (thousands of
+    splits) is returned untouched.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() * 2 <= target:
+            df = df.repartition(target)
+    return df
 
 
 class Tables:

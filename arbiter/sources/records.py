@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbiter.functions.subquery import row_value
 from arbiter.functions.text import preview, py_strip
 
 RECORD_SCHEMA = (
@@ -69,14 +70,17 @@ def split_states(df: DataFrame, blob: str, batch_key: str) -> DataFrame:
     # JSON elements are kept as they are; text blocks are stripped, empties dropped.
     blocks = F.filter(F.transform(F.split(raw, "\n\n", -1), py_strip), lambda s: s != "")
     states = F.when(is_json, arr).otherwise(blocks)
+    # Parse once into columns; the error test and the explode read the columns
+    # (a filter before the explode would be pushed down and re-parse the blob).
+    parsed = df.select(F.col(batch_key), raw.alias("_raw"), states.alias("states"))
     error = (
-        F.when(raw == "", "empty batch")
-        .when(is_json & arr.isNull(), "invalid JSON array")
-        .when(F.size(states) == 0, "empty batch")
+        F.when(F.col("_raw") == "", "empty batch")
+        .when(F.col("states").isNull(), "invalid JSON array")
+        .when(F.size("states") == 0, "empty batch")
     )
-    with_err = df.select(F.col(batch_key), states.alias("states"), error.alias("error"))
-    ok = with_err.where(F.col("error").isNull()).select(
-        batch_key, F.posexplode("states").alias("pos", "state")
+    with_err = parsed.select(batch_key, "states", error.alias("error"))
+    ok = with_err.select(
+        batch_key, F.posexplode(F.when(F.col("error").isNull(), F.col("states"))).alias("pos", "state")
     )
     return ok.select(batch_key, (F.col("pos") + 1).alias("item_no"), "state"), with_err.where(
         F.col("error").isNotNull()
@@ -155,11 +159,10 @@ def export_results(summary: DataFrame, per_class: DataFrame, tickets: DataFrame)
         ).alias("perClass")
     )
     tk = tickets.agg(F.collect_list(F.struct(*tickets.columns)).alias("tickets"))
-    one = F.lit(1).alias("_one")
-    doc = (
-        summary.select(one, F.struct(*summary.columns).alias("summary"))
-        .join(pc.select(one, "perClass"), "_one")
-        .join(tk.select(one, "tickets"), "_one")
+    doc = summary.select(
+        F.struct(*summary.columns).alias("summary"),
+        row_value(pc)["perClass"].alias("perClass"),
+        row_value(tk)["tickets"].alias("tickets"),
     )
     return doc.select(F.to_json(F.struct("summary", "perClass", "tickets")).alias("json"))
 
