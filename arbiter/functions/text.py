@@ -32,8 +32,12 @@ def norm_label(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Whitespace words (the default token counter)."""
-    return F.filter(F.split(col_(c), WORD_SPLIT), lambda w: w != "")
+    """Whitespace words (the default token counter).
+
+    ``array_remove`` rather than a ``filter`` lambda: same result on split
+    output (never null), but compiled code instead of an interpreted lambda.
+    """
+    return F.array_remove(F.split(col_(c), WORD_SPLIT), "")
 
 
 def word_count(c: Column | str) -> Column:
@@ -42,7 +46,7 @@ def word_count(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased ASCII alphanumeric tokens; other characters separate."""
-    return F.filter(F.split(F.lower(col_(c)), TOKEN_SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col_(c)), TOKEN_SPLIT), "")
 
 
 def preview(c: Column | str, n: int = 160) -> Column:

@@ -119,26 +119,27 @@ def score_nb(
         )
         scored = _per_label(n_in, labels, key).join(delta, [key, "label"], "left")
     else:
-        # Every token row contributes to every class: its in-vocabulary count
-        # and c·delta. One aggregate per (item, class) then gives all terms, so
-        # the text is tokenised and shuffled once and no item or class is lost.
-        in_vocab = F.when(F.col("deltas").isNotNull(), F.col("c")).otherwise(0).cast("long")
-        rows = rows.select("*", classes.alias("_classes"))
-        parts = F.transform(
-            F.col("_classes"),
-            lambda cl: F.struct(
-                cl["label"].alias("label"),
-                cl["log_prior"].alias("log_prior"),
-                cl["default_logp"].alias("default_logp"),
-                in_vocab.alias("n"),
-                (F.col("c") * F.coalesce(F.element_at(F.col("deltas"), cl["label"]), F.lit(0.0))).alias("d"),
-            ),
+        # Few classes: give each vocabulary token a dense vector over the
+        # classes, vec[i] = ln P(token | class i) = default_i + delta_i. An item's
+        # score is prior + Σ c·vec, so one explode of the vector per (item,
+        # token) row and one aggregate per (item, class) give every term; the
+        # text is tokenised and shuffled once, and no item or class is lost.
+        dense = by_token.select("token", "deltas", classes.alias("_classes")).select(
+            "token",
+            F.transform(
+                "_classes",
+                lambda cl: cl["default_logp"] + F.coalesce(F.element_at(F.col("deltas"), cl["label"]), F.lit(0.0)),
+            ).alias("vec"),
         )
-        scored = (
-            rows.select(key, F.explode(parts).alias("p"))
-            .groupBy(key, "p.label", "p.log_prior", "p.default_logp")
-            .agg(F.sum("p.n").alias("n_in"), F.sum("p.d").alias("sum_delta"))
+        zeros = F.array_repeat(F.lit(0.0), F.size(classes))
+        sums = (
+            tc.join(dense, "token", "left")
+            .select(key, "c", F.posexplode(F.coalesce("vec", zeros)).alias("idx", "v"))
+            .groupBy(key, "idx")
+            .agg(F.sum(F.col("c") * F.col("v")).alias("s"))
         )
+        cls = F.get(classes, F.col("idx"))
+        return sums.select(key, cls["label"].alias("label"), (cls["log_prior"] + F.col("s")).alias("logp"))
     return scored.select(
         key,
         "label",
