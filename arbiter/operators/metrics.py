@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbiter.functions.subquery import row_value
 from arbiter.operators.ordinal import group_quantiles
 from arbiter.sources.catalogue import INVALID_LABEL
 
@@ -82,6 +83,9 @@ def latency_stats(df: DataFrame, group_cols: list[str], value: str) -> DataFrame
         F.count(value).alias("n"), F.avg(value).alias("avg"), F.max(value).alias("max")
     )
     q = group_quantiles(df, group_cols, value, {"p50": 0.5, "p95": 0.95})
+    if not group_cols:  # one row each: attach as a scalar, not a keyless join
+        one = row_value(q)
+        return basic.select("*", one["p50"].alias("p50"), one["p95"].alias("p95"))
     return basic.join(q, group_cols, "left")
 
 

@@ -336,7 +336,7 @@ def s5_export_summary(spark, sf_dir):
         F.round(F.avg(F.col("label").isNull().cast("double")), 4).alias("invalid_rate"),
         F.round(F.avg(F.greatest(F.lit(0.0), F.col("client_ms") - F.col("latency_ms"))), 3).alias("round_trip_avg_ms"),
     )
-    lat = row_value(M.latency_stats(j.withColumn("run", F.lit("run")), ["run"], "latency_ms").select("avg", "p95"))
+    lat = row_value(M.latency_stats(j, [], "latency_ms").select("avg", "p95"))
     return head.select(
         "*", F.round(lat["avg"], 4).alias("engine_avg_ms"), F.round(lat["p95"], 4).alias("engine_p95_ms")
     )
