@@ -14,14 +14,21 @@ from arbiter.operators.rules import conclude_recon, option_for
 from arbiter.sources.catalogue import ABSTAIN_TEXT
 from arbiter.sources.fixtures import facts
 
-# FIXED VALUES: cue patterns of the finance record templates.
-AMOUNT = r"(\d+(?:\.\d+)?) (EUR|USD|GBP)"
+# FIXED VALUES: cue patterns of the finance record and ticket texts.
+# An amount is "1250.00 EUR", "EUR 1250.00" or a symbol form "€1.250,00" /
+# "$1,250.00": after € the dot groups thousands and the comma is decimal,
+# after $ and £ the other way round.
+AMOUNT = r"(\d+(?:\.\d+)?) (EUR|USD|GBP)|(EUR|USD|GBP) (\d+(?:\.\d+)?)|([€$£])(\d[\d.,]*\d|\d)"
+SYMBOL_CURRENCY = {"€": "EUR", "$": "USD", "£": "GBP"}
 TOLERANCE = r"(?:differences up to|allows up to) (\d+(?:\.\d+)?)"
 BILLED_IN = r"billed in (EUR|USD|GBP)"
 IS_IN = r"is in (EUR|USD|GBP)"
 CONFLICT = r"currency differs \((EUR|USD|GBP) vs (EUR|USD|GBP)\)"
-DUPLICATE = r"already paid|arrived again"
-MISSING = r"no invoice reference|unreadable|timed out"
+DUPLICATE = r"(?i)already paid|arrived again|already cleared|reappeared"
+MISSING = (
+    r"(?i)no invoice reference|no invoice link|unreadable|timed out|smudged|two active records"
+    r"|does not exist|signature is missing|inconclusive"
+)
 REFERENCE = r"(?:INV|PO|PAY)-\d+"
 
 
@@ -29,11 +36,38 @@ def _opt(pattern: str, group: int, text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _symbol_amount(symbol: Column, digits: Column) -> Column:
+    """Locale digits → plain decimal text, decided by the currency symbol."""
+    euro = F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    other = F.replace(digits, F.lit(","), F.lit(""))
+    return F.when(symbol == "€", euro).otherwise(other)
+
+
+def amounts_in_order(state: Column) -> tuple[Column, Column]:
+    """(amounts, currencies) in text order across the three amount forms."""
+    g = [F.regexp_extract_all(state, F.lit(AMOUNT), F.lit(i)) for i in range(1, 7)]
+    idx = F.sequence(F.lit(0), F.size(g[0]) - 1)
+    at = lambda arr, i: F.nullif(F.get(arr, i), F.lit(""))
+    symbol_cur = F.create_map(*[F.lit(x) for kv in SYMBOL_CURRENCY.items() for x in kv])
+    amounts = F.transform(
+        idx, lambda i: F.coalesce(at(g[0], i), at(g[3], i), _symbol_amount(at(g[4], i), at(g[5], i)))
+    )
+    curs = F.transform(
+        idx,
+        lambda i: F.coalesce(
+            at(g[1], i), at(g[2], i), F.when(at(g[4], i).isNotNull(), F.element_at(symbol_cur, at(g[4], i)))
+        ),
+    )
+    return (
+        F.when(F.size(g[0]) > 0, amounts).otherwise(F.array().cast("array<string>")),
+        F.when(F.size(g[0]) > 0, curs).otherwise(F.array().cast("array<string>")),
+    )
+
+
 def extract_facts(state: Column, options: Column) -> Column:
     """facts struct from text: amounts a, b (first two, tolerance excluded),
     currencies, tolerance, duplicate / missing-reference cues."""
-    amounts = F.regexp_extract_all(state, F.lit(AMOUNT), F.lit(1))
-    curs = F.regexp_extract_all(state, F.lit(AMOUNT), F.lit(2))
+    amounts, curs = amounts_in_order(state)
     conflict = F.regexp(state, F.lit(CONFLICT))
     cur_a = F.coalesce(
         F.when(conflict, _opt(CONFLICT, 1, state)), _opt(BILLED_IN, 1, state), F.get(curs, 0)

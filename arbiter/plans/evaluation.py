@@ -112,28 +112,53 @@ def g6_permute_options(spark, sf_dir):
     )
 
 
-AMOUNT_RE = r"(\d+(?:\.\d+)?) (EUR|USD|GBP)"
+def _facts_sql(state: str, options: str) -> str:
+    """Oracle D7 over columns g1..g6 (the six groups of every amount match)."""
+    from arbiter.operators import evidence as EV
 
+    conflict = EV.CONFLICT
 
-def _facts_sql(state: str, options: str) -> str:
-    conflict = r"currency differs \((EUR|USD|GBP) vs (EUR|USD|GBP)\)"
-    return f"""CAST(regexp_extract_all({state}, '{AMOUNT_RE}', 1)[1] AS DECIMAL(14,2)) AS f_a,
-      CAST(regexp_extract_all({state}, '{AMOUNT_RE}', 1)[2] AS DECIMAL(14,2)) AS f_b,
+    def amt(i):
+        return (f"coalesce(nullif(g1[{i}], ''), nullif(g4[{i}], ''), CASE WHEN g5[{i}] = '€' "
+                f"THEN replace(replace(g6[{i}], '.', ''), ',', '.') ELSE replace(g6[{i}], ',', '') END)")
+
+    def cur(i):
+        return (f"coalesce(nullif(g2[{i}], ''), nullif(g3[{i}], ''), "
+                f"CASE g5[{i}] WHEN '€' THEN 'EUR' WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP' END)")
+
+    return f"""CAST({amt(1)} AS DECIMAL(14,2)) AS f_a, CAST({amt(2)} AS DECIMAL(14,2)) AS f_b,
       coalesce(CASE WHEN regexp_matches({state}, '{conflict}') THEN nullif(regexp_extract({state}, '{conflict}', 1), '') END,
-               nullif(regexp_extract({state}, 'billed in (EUR|USD|GBP)', 1), ''),
-               regexp_extract_all({state}, '{AMOUNT_RE}', 2)[1]) AS f_cur_a,
+               nullif(regexp_extract({state}, '{EV.BILLED_IN}', 1), ''), {cur(1)}) AS f_cur_a,
       coalesce(CASE WHEN regexp_matches({state}, '{conflict}') THEN nullif(regexp_extract({state}, '{conflict}', 2), '') END,
-               nullif(regexp_extract({state}, 'is in (EUR|USD|GBP)', 1), ''),
-               regexp_extract_all({state}, '{AMOUNT_RE}', 2)[2]) AS f_cur_b,
-      CAST(nullif(regexp_extract({state}, '(?:differences up to|allows up to) (\\d+(?:\\.\\d+)?)', 1), '') AS DECIMAL(14,2)) AS f_tolerance,
-      regexp_matches({state}, 'no invoice reference|unreadable|timed out') AS f_missing_ref,
-      regexp_matches({state}, 'already paid|arrived again') AS f_duplicate,
+               nullif(regexp_extract({state}, '{EV.IS_IN}', 1), ''), {cur(2)}) AS f_cur_b,
+      CAST(nullif(regexp_extract({state}, '{EV.TOLERANCE}', 1), '') AS DECIMAL(14,2)) AS f_tolerance,
+      regexp_matches({state}, '{EV.MISSING}') AS f_missing_ref,
+      regexp_matches({state}, '{EV.DUPLICATE}') AS f_duplicate,
       list_contains(list_transform({options}, lambda o: o.key), 'duplicate') AS f_dup_vocab"""
 
 
 def _text_decided_sql(src: str) -> str:
+    from arbiter.operators.evidence import AMOUNT
+
+    groups = ", ".join(f"regexp_extract_all(state, '{AMOUNT}', {i}) AS g{i}" for i in range(1, 7))
     return f"""SELECT *, list_filter(options, lambda o: o.key = conclusion)[1].label AS label FROM (
-        SELECT *, {RECON_SQL} AS conclusion FROM (SELECT *, {_facts_sql('state', 'options')} FROM ({src})))"""
+        SELECT *, {RECON_SQL} AS conclusion FROM (
+          SELECT *, {_facts_sql('state', 'options')} FROM (SELECT *, {groups} FROM ({src}))))"""
+
+
+@query(
+    "d7_ticket_text",
+    sql=lambda: f"""SELECT id, variant, f_a AS a, f_b AS b, f_cur_a AS cur_a, f_cur_b AS cur_b, conclusion, label, expected
+      FROM ({_text_decided_sql(O.ticket_set().replace(" f_a,", " f_a0,").replace(" f_b,", " f_b0,").replace(" f_cur_a,", " f_cur_a0,").replace(" f_cur_b,", " f_cur_b0,").replace(" f_tolerance,", " f_tolerance0,").replace(" f_missing_ref,", " f_missing_ref0,").replace(" f_duplicate,", " f_duplicate0,").replace(" f_dup_vocab", " f_dup_vocab0"))})""",
+)
+def d7_ticket_text(spark, sf_dir):
+    """D7 on ticket texts (paraphrases, German and symbol amounts, review reasons):
+    the label read from text against the expected label."""
+    t = decide_from_text(X.ticket_set(Tables(spark, sf_dir).orders).drop("facts"))
+    return t.select(
+        "id", "variant", F.col("facts.a").alias("a"), F.col("facts.b").alias("b"),
+        F.col("facts.curA").alias("cur_a"), F.col("facts.curB").alias("cur_b"), "conclusion", "label", "expected",
+    )
 
 
 @query(

@@ -74,6 +74,9 @@ def _fin_values(tol: str = "1") -> dict:
         "amt_diff": f"CAST(CAST({amount} + {diff} AS DECIMAL(14,2)) AS VARCHAR)",
         "amt_plus1": f"CAST(CAST({amount} + {tol} AS DECIMAL(14,2)) AS VARCHAR)",
         "day": "CAST(o_orderkey % 9 + 1 AS VARCHAR)",
+        "amt_en": f"format('{{:,.2f}}', {amount})",
+        "amt_de": f"translate(format('{{:,.2f}}', {amount}), ',.', '.,')",
+        "amt_diff_de": f"translate(format('{{:,.2f}}', CAST({amount} + {diff} AS DECIMAL(14,2))), ',.', '.,')",
         "_amount": amount,
         "_diff": diff,
     }
@@ -100,11 +103,21 @@ def ticket_set() -> str:
     b_bad = f"({k} = 8 AND {r} = 3)"
     tol = f"(CASE WHEN {b_ok} THEN 5 WHEN {b_bad} THEN 6 ELSE 1 END)"
     v = _fin_values(tol)
+    v["review"] = f"({lst(C.REVIEW_STATES)})[{r} % 5 + 1]"
     spec = C.FINANCE_KINDS
+    tt = C.TICKET_TEXTS
     reorder = f"({k} = 3 AND {r} = 1)"
     inj = f"({k} = 1 AND {r} = 4)"
     fil = f"({k} = 0 AND {r} = 5)"
-    base = case(k, {i: template_sql(s[0], v) for i, s in spec.items()})
+    para = {0: "invoice_paraphrase", 2: "duplicate_paraphrase", 4: "ledger_paraphrase", 7: "missing_paraphrase"}
+    is_para = f"({k} IN (0, 2, 4, 7) AND {r} = 0)"
+    euro = f"({k} = 1 AND {r} = 6)"
+    sym = f"({k} = 6 AND {r} = 6)"
+    base = f"""CASE WHEN {is_para} THEN {case(k, {i: template_sql(tt[n], v) for i, n in para.items()})}
+        WHEN {euro} THEN {template_sql(tt['mismatch_euro_format'], v)}
+        WHEN {sym} THEN {template_sql(tt['currency_symbols'], v)}
+        WHEN {k} = 9 THEN {template_sql(tt['needs_review'], v)}
+        ELSE {case(k, {i: template_sql(s[0], v) for i, s in spec.items()})} END"""
     amount, diff = v["_amount"], v["_diff"]
     pad = "CAST(o_orderkey + 1 AS VARCHAR)"
     return f"""SELECT o_orderkey AS rec_id,
@@ -118,13 +131,13 @@ def ticket_set() -> str:
            WHEN {k} = 2 THEN {opts_sql(C.TICKET_DUP_OPTIONS)} ELSE {opts_sql(C.TICKET_OPTIONS)} END AS options,
       CASE WHEN {reorder} THEN 'C' WHEN {b_bad} THEN 'B' ELSE {case(k, {i: sql_str(s[3]) for i, s in spec.items()})} END AS expected,
       CASE WHEN {inj} THEN 'prompt-injection' WHEN {fil} THEN 'irrelevant-info' END AS adversarial,
-      CASE WHEN {k} = 0 AND {r} = 0 THEN 'paraphrase' WHEN {reorder} THEN 'order'
-           WHEN {b_ok} OR {b_bad} THEN 'boundary' WHEN {k} = 6 AND {r} = 6 THEN 'format' END AS variant,
+      CASE WHEN {is_para} THEN 'paraphrase' WHEN {reorder} THEN 'order'
+           WHEN {b_ok} OR {b_bad} THEN 'boundary' WHEN {euro} OR {sym} THEN 'format' END AS variant,
       'recon' AS f_kind,
       CASE WHEN {k} IN (1, 5) THEN {amount} + {diff} WHEN {k} = 8 THEN {amount} + {tol} ELSE {amount} END AS f_a,
       CASE WHEN {k} IN (7, 9) THEN 0 ELSE {amount} END AS f_b,
-      {v['cur']} AS f_cur_a,
-      CASE WHEN {k} = 6 THEN {v['cur2']} ELSE {v['cur']} END AS f_cur_b,
+      CASE WHEN {euro} THEN 'EUR' WHEN {sym} THEN 'USD' ELSE {v['cur']} END AS f_cur_a,
+      CASE WHEN {euro} OR {sym} THEN 'EUR' WHEN {k} = 6 THEN {v['cur2']} ELSE {v['cur']} END AS f_cur_b,
       CASE WHEN {k} = 8 THEN 5 END AS f_tolerance,
       {k} IN (7, 9) AS f_missing_ref, {k} = 2 AS f_duplicate, {k} = 2 AS f_dup_vocab
     FROM orders"""

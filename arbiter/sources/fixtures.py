@@ -126,12 +126,27 @@ def _finance_values(key: Column, price: Column, tol_diff: Column | None = None)
         "amt_diff": (amount + diff).cast("decimal(14,2)").cast("string"),
         "amt_plus1": (amount + tol_diff).cast("decimal(14,2)").cast("string"),
         "day": (key % 9 + 1).cast("string"),
+        "amt_en": _en(amount),
+        "amt_de": _de(amount),
+        "amt_diff_de": _de((amount + diff).cast("decimal(14,2)")),
         "_amount": amount,
         "_diff": diff,
     }
 
 
-def finance_facts(kind: Column, v: dict, tol_diff: Column | None = None) -> Column:
+def _en(amount: Column) -> Column:
+    """1,234.56 (en-US grouping)."""
+    return F.format_number(amount, 2)
+
+
+def _de(amount: Column) -> Column:
+    """1.234,56 (de-DE grouping)."""
+    return F.translate(F.format_number(amount, 2), ",.", ".,")
+
+
+def finance_facts(
+    kind: Column, v: dict, tol_diff: Column | None = None, cur_a: Column | None = None, cur_b: Column | None = None
+) -> Column:
     amount = v["_amount"]
     tol_diff = F.lit(1) if tol_diff is None else tol_diff
     a = case_on(
@@ -144,8 +159,10 @@ def finance_facts(kind: Column, v: dict, tol_diff: Column | None = None) -> Colu
         kind=F.lit("recon"),
         a=a,
         b=b,
-        curA=v["cur"],
-        curB=F.when(kind == 6, v["cur2"]).otherwise(v["cur"]),
+        curA=F.coalesce(cur_a, v["cur"]) if cur_a is not None else v["cur"],
+        curB=F.coalesce(cur_b, F.when(kind == 6, v["cur2"]).otherwise(v["cur"]))
+        if cur_b is not None
+        else F.when(kind == 6, v["cur2"]).otherwise(v["cur"]),
         tolerance=F.when(kind == 8, F.lit(5)),
         missingRef=kind.isin(7, 9),
         duplicate=kind == 2,
@@ -192,11 +209,13 @@ TICKET_TAG = {
 def ticket_set(orders: DataFrame) -> DataFrame:
     """Tickets: finance records + id, category, tag, variant, adversarial, facts.
 
-    Variants are picked by r = (key div 10) mod 8: paraphrase (kind 0, r 0),
-    order (kind 3, r 1: shuffled options, match is C), boundary (kind 8, r 2:
-    difference exactly 5, still a match; r 3: difference 6, a mismatch),
-    format (kind 6, r 6). Adversarial: prompt injection (kind 1, r 4) and
-    filler (kind 0, r 5) appended to STATE; the decision never reads STATE.
+    Variants are picked by r = (key div 10) mod 8: paraphrase (kinds 0, 2, 4,
+    7 at r 0: reworded texts), order (kind 3, r 1: shuffled options, match is
+    C), boundary (kind 8, r 2: difference exactly 5, still a match; r 3:
+    difference 6, a mismatch), format (kind 1, r 6: German amounts in euro;
+    kind 6, r 6: $ vs € symbols). Kind 9 cycles through five review reasons.
+    Adversarial: prompt injection (kind 1, r 4) and filler (kind 0, r 5)
+    appended to STATE; the rule decision never reads STATE.
     """
     key = F.col("o_orderkey")
     kind = key % 10
@@ -205,11 +224,24 @@ def ticket_set(orders: DataFrame) -> DataFrame:
     boundary_bad = (kind == 8) & (r == 3)
     tol_diff = F.when(boundary_ok, 5).when(boundary_bad, 6).otherwise(1)
     v = _finance_values(key, F.col("o_totalprice"), tol_diff)
+    v["review"] = pick(C.REVIEW_STATES, r % 5)
     spec = C.FINANCE_KINDS
+    tt = C.TICKET_TEXTS
     reorder = (kind == 3) & (r == 1)
     injection = (kind == 1) & (r == 4)
     filler = (kind == 0) & (r == 5)
+    paraphrase = {0: "invoice_paraphrase", 2: "duplicate_paraphrase", 4: "ledger_paraphrase", 7: "missing_paraphrase"}
+    is_para = kind.isin(*paraphrase) & (r == 0)
+    euro = (kind == 1) & (r == 6)
+    symbols = (kind == 6) & (r == 6)
     base_state = case_on(kind, {k: template(s[0], v) for k, s in spec.items()})
+    base_state = (
+        F.when(is_para, case_on(kind, {k: template(tt[name], v) for k, name in paraphrase.items()}))
+        .when(euro, template(tt["mismatch_euro_format"], v))
+        .when(symbols, template(tt["currency_symbols"], v))
+        .when(kind == 9, template(tt["needs_review"], v))
+        .otherwise(base_state)
+    )
     state = (
         F.when(injection, F.concat(base_state, F.lit(C.INJECTION_SUFFIX)))
         .when(filler, F.concat(base_state, F.repeat(F.lit(C.FILLER), 24)))
@@ -223,10 +255,10 @@ def ticket_set(orders: DataFrame) -> DataFrame:
     answer = case_on(kind, {k: s[3] for k, s in spec.items()})
     expected = F.when(reorder, "C").when(boundary_bad, "B").otherwise(answer)
     variant = (
-        F.when((kind == 0) & (r == 0), "paraphrase")
+        F.when(is_para, "paraphrase")
         .when(reorder, "order")
         .when(boundary_ok | boundary_bad, "boundary")
-        .when((kind == 6) & (r == 6), "format")
+        .when(euro | symbols, "format")
     )
     adversarial = F.when(injection, "prompt-injection").when(filler, "irrelevant-info")
     tag = F.when(boundary_bad, "tolerance-exceeded").otherwise(case_on(kind, TICKET_TAG))
@@ -241,7 +273,13 @@ def ticket_set(orders: DataFrame) -> DataFrame:
         expected.alias("expected"),
         adversarial.alias("adversarial"),
         variant.alias("variant"),
-        finance_facts(kind, v, tol_diff).alias("facts"),
+        finance_facts(
+            kind,
+            v,
+            tol_diff,
+            cur_a=F.when(euro, "EUR").when(symbols, "USD"),
+            cur_b=F.when(euro, "EUR").when(symbols, "EUR"),
+        ).alias("facts"),
     )
 
 
