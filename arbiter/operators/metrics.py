@@ -171,15 +171,19 @@ def pair(expected: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     return expected.join(predicted, key, "full_outer")
 
 
-def compare_runs(base: DataFrame, tuned: DataFrame, key: str = "rec_id") -> DataFrame:
+def compare_runs(base: DataFrame, tuned: DataFrame, key: str = "rec_id", by: list[str] | None = None) -> DataFrame:
     """Same records, two predictors — accuracy and invalid rate side by side,
-    plus fixed (wrong → right) and broken (right → wrong) counts."""
-    b = base.select(key, "expected", F.col("label").alias("base_label"))
+    plus fixed (wrong → right) and broken (right → wrong) counts, per ``by``.
+
+    ``base`` carries key, expected, label (and the ``by`` columns); ``tuned``
+    carries key and label."""
+    by = by or []
+    b = base.select(key, *by, "expected", F.col("label").alias("base_label"))
     t = tuned.select(key, F.col("label").alias("tuned_label"))
     j = b.join(t, key)
     right_b = F.col("base_label").isNotNull() & (F.col("base_label") == F.col("expected"))
     right_t = F.col("tuned_label").isNotNull() & (F.col("tuned_label") == F.col("expected"))
-    agg = j.agg(
+    agg = j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(right_b.cast("long")).alias("base_correct"),
         F.sum(right_t.cast("long")).alias("tuned_correct"),
@@ -189,6 +193,7 @@ def compare_runs(base: DataFrame, tuned: DataFrame, key: str = "rec_id") -> Data
         F.sum((right_b & ~right_t).cast("long")).alias("broken"),
     )
     return agg.select(
+        *by,
         "n",
         _ratio(F.col("base_correct"), F.col("n")).alias("base_accuracy"),
         _ratio(F.col("tuned_correct"), F.col("n")).alias("tuned_accuracy"),

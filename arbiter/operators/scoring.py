@@ -17,8 +17,6 @@ Scale notes
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,6 +250,3 @@ def answer_mask(prompt_len: Column, ids: Column, max_len: int, full_loss: bool =
     all_masked = (F.size(labels) > 0) & F.forall(labels, lambda x: x == IGNORE)
     fixed = F.concat(F.slice(labels, 1, F.size(labels) - 1), F.array(F.element_at(ids, -1)))
     return F.when(all_masked, fixed).otherwise(labels)
-
-
-LOG2 = math.log(2)

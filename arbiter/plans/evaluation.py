@@ -17,7 +17,6 @@ from arbiter.plans.records import _fmt_line_sql
 from arbiter.plans.registry import query
 from arbiter.session import Tables
 from arbiter.sources import fixtures as X
-from arbiter.sources import records as R
 from arbiter.sources.catalogue import FILLER, FILLER_REPEAT, INJECTION_SUFFIX
 
 WS = O.WS

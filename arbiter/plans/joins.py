@@ -47,11 +47,12 @@ def j2_duplicate_states(spark, sf_dir):
 
 # Money in DECIMAL: exact products and order-independent sums, so the result
 # does not depend on how rows are partitioned.
-LINE_TOTAL = (
-    F.col("l_extendedprice").cast("decimal(15,2)")
-    * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    * (1 + F.col("l_tax").cast("decimal(4,2)"))
-)
+def line_total():
+    return (
+        F.col("l_extendedprice").cast("decimal(15,2)")
+        * (1 - F.col("l_discount").cast("decimal(4,2)"))
+        * (1 + F.col("l_tax").cast("decimal(4,2)"))
+    )
 
 
 def _recon(spark, sf_dir):
@@ -62,7 +63,7 @@ def _recon(spark, sf_dir):
         "o_orderkey",
         "l_orderkey",
         F.col("o_totalprice"),
-        LINE_TOTAL,
+        line_total(),
         tolerance=0.1,
         relative=True,
     )

@@ -139,24 +139,7 @@ def j9_compare_runs(spark, sf_dir):
     tuned = _decide(S.score_nb(d, fitted), "rec_id")
     exp = d.select("rec_id", "split", F.col("answer").alias("expected"))
     b = exp.join(base.select("rec_id", "label"), "rec_id")
-    return _compare_by_split(b, tuned.select("rec_id", "label"))
-
-
-def _compare_by_split(b, t):
-    j = b.select("rec_id", "split", "expected", F.col("label").alias("bl")).join(
-        t.select("rec_id", F.col("label").alias("tl")), "rec_id"
-    )
-    rb = F.col("bl").isNotNull() & (F.col("bl") == F.col("expected"))
-    rt = F.col("tl").isNotNull() & (F.col("tl") == F.col("expected"))
-    return j.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(rb.cast("double")).alias("base_accuracy"),
-        F.avg(rt.cast("double")).alias("tuned_accuracy"),
-        F.avg(F.col("bl").isNull().cast("double")).alias("base_invalid_rate"),
-        F.avg(F.col("tl").isNull().cast("double")).alias("tuned_invalid_rate"),
-        F.sum((~rb & rt).cast("long")).alias("fixed"),
-        F.sum((rb & ~rt).cast("long")).alias("broken"),
-    )
+    return M.compare_runs(b, tuned.select("rec_id", "label"), "rec_id", by=["split"])
 
 
 @query(
