@@ -45,23 +45,29 @@ def _symbol_amount(symbol: Column, digits: Column) -> Column:
 
 def amounts_in_order(state: Column) -> tuple[Column, Column]:
     """(amounts, currencies) in text order across the three amount forms."""
-    g = [F.regexp_extract_all(state, F.lit(AMOUNT), F.lit(i)) for i in range(1, 7)]
-    idx = F.sequence(F.lit(0), F.size(g[0]) - 1)
-    at = lambda arr, i: F.nullif(F.get(arr, i), F.lit(""))
+    # One regex pass: every whole match, then each short match is split with
+    # plain string functions (number first, code first, or symbol first).
+    matches = F.regexp_extract_all(state, F.lit(AMOUNT), F.lit(0))
     symbol_cur = F.create_map(*[F.lit(x) for kv in SYMBOL_CURRENCY.items() for x in kv])
-    amounts = F.transform(
-        idx, lambda i: F.coalesce(at(g[0], i), at(g[3], i), _symbol_amount(at(g[4], i), at(g[5], i)))
-    )
-    curs = F.transform(
-        idx,
-        lambda i: F.coalesce(
-            at(g[1], i), at(g[2], i), F.when(at(g[4], i).isNotNull(), F.element_at(symbol_cur, at(g[4], i)))
-        ),
-    )
-    return (
-        F.when(F.size(g[0]) > 0, amounts).otherwise(F.array().cast("array<string>")),
-        F.when(F.size(g[0]) > 0, curs).otherwise(F.array().cast("array<string>")),
-    )
+
+    def first(m: Column) -> Column:
+        return F.substring(m, 1, 1)
+
+    def amount(m: Column) -> Column:
+        return (
+            F.when(first(m).rlike("[0-9]"), F.substring_index(m, " ", 1))
+            .when(first(m).rlike("[A-Z]"), F.substring_index(m, " ", -1))
+            .otherwise(_symbol_amount(first(m), F.substring(m, 2, 1 << 20)))
+        )
+
+    def currency(m: Column) -> Column:
+        return (
+            F.when(first(m).rlike("[0-9]"), F.substring_index(m, " ", -1))
+            .when(first(m).rlike("[A-Z]"), F.substring_index(m, " ", 1))
+            .otherwise(F.element_at(symbol_cur, first(m)))
+        )
+
+    return F.transform(matches, amount), F.transform(matches, currency)
 
 
 def extract_facts(state: Column, options: Column) -> Column:
