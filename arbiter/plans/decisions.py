@@ -30,10 +30,12 @@ def resolved_outputs(spark, sf_dir):
 
 
 def scored_outputs(spark, sf_dir):
-    """Finance answers paired with the labels resolved from wrapped outputs (J3 by key)."""
-    fin = X.finance_set(Tables(spark, sf_dir).orders).select("rec_id", F.col("answer").alias("expected"))
-    res = resolved_outputs(spark, sf_dir).where(F.col("source") == "finance").select("rec_id", "label")
-    return fin.join(res, "rec_id")
+    """Finance answers with the label resolved from the model-like output of the
+    same record: expectation and prediction come from one row, so no join."""
+    fin = X.finance_set(Tables(spark, sf_dir).orders)
+    raw = X.wrapped_answer(F.col("rec_id"), F.col("answer"))
+    allowed = F.transform("options", lambda o: o["label"])
+    return fin.select("rec_id", F.col("answer").alias("expected"), resolve_label(raw, allowed)["label"].alias("label"))
 
 
 # ---- oracle pieces ----------------------------------------------------------------

@@ -401,25 +401,24 @@ def raw_outputs(orders: DataFrame, conversations: DataFrame) -> DataFrame:
         F.col("text").alias("raw"),
         F.array(F.lit("A"), F.lit("THE"), F.lit("LA")).alias("allowed"),
     )
-    fin = finance_set(orders)
-    lab = F.col("answer")
-    vals = {"label": lab, "lower": F.lower(lab)}
-    wrapped = case_on(
-        F.col("rec_id") % 10,
-        {
-            i: (template(w, vals) if w is not None else F.lit(None).cast("string"))
-            for i, w in enumerate(RAW_WRAPPERS)
-        },
-    )
-    wrap = fin.select(
+    wrap = finance_set(orders).select(
         F.lit("finance").alias("source"),
         F.col("rec_id"),
-        wrapped.alias("raw"),
+        wrapped_answer(F.col("rec_id"), F.col("answer")).alias("raw"),
         F.transform("options", lambda o: o["label"]).alias("allowed"),
     )
     return pri.unionByName(conv).unionByName(wrap)
 
 
+def wrapped_answer(rec_id: Column, answer: Column) -> Column:
+    """A model-like raw output around the answer, wrapper picked by rec_id mod 10."""
+    vals = {"label": answer, "lower": F.lower(answer)}
+    return case_on(
+        rec_id % 10,
+        {i: (template(w, vals) if w is not None else F.lit(None).cast("string")) for i, w in enumerate(RAW_WRAPPERS)},
+    )
+
+
 # ---- records with seeded defects (F1 input) ----------------------------------------
 
 DEFECTS = {
