@@ -31,10 +31,17 @@ def ordinal_within(
     still a permutation.
     """
     keys = [*group_cols, *order_cols]
-    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    # An explicit partition count: AQE never coalesces such a shuffle, so every
+    # reader of it (the counts and the rows) sees the same partition ids.
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys)
     ranged = ranged.sortWithinPartitions(*keys).withColumn(_PID, F.spark_partition_id())
     # Inside a sorted partition this id grows with the sort order.
     ranged = ranged.withColumn(_LOCAL, F.monotonically_increasing_id())
+    # Range bounds come from sampling, so two evaluations of this plan may cut
+    # the key space differently. Write it once (shared checkpoint folder) and
+    # take the counts and the rows from the same materialisation.
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy(_PID, *group_cols).agg(
         F.count(F.lit(1)).alias("_ord_n"), F.min(_LOCAL).alias("_ord_first")
     )

@@ -25,6 +25,17 @@ def test_ordinal_matches_row_number(spark):
     )
 
 
+def test_vocab_ids_are_a_ranking(spark):
+    # Input is an aggregate (row order inside partitions is not fixed), the
+    # case where sampled range bounds may differ between two evaluations.
+    from arbiter.session import Tables
+    from tests.conftest import SF01
+
+    v = S.build_vocab(Tables(spark, SF01).documents, "text")
+    w = v.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1)
+    assert w.where(F.col("rk") != F.col("id")).count() == 0
+
+
 def test_rule_quantile(spark):
     df = spark.createDataFrame([("x", float(v)) for v in [1, 2, 3, 4]], "g string, v double")
     q = group_quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).first()
