@@ -63,6 +63,16 @@ def test_split_states(spark):
     assert sorted((r.b, r.error) for r in err.collect()) == [(2, "empty batch"), (3, "invalid JSON array")]
 
 
+def test_read_records_modes(spark, tmp_path):
+    good = json.dumps({"rec_id": 1, "state": "s", "question": "q", "options": OPTS, "answer": "A"})
+    (tmp_path / "part.jsonl").write_text(good + "\n\n{broken\n", encoding="utf-8")
+    ok, bad = R.quarantine(R.read_records(spark, str(tmp_path), mode="PERMISSIVE"))
+    assert [r.rec_id for r in ok.collect()] == [1]
+    assert [r[R.CORRUPT] for r in bad.collect()] == ["{broken"]
+    with pytest.raises(Exception):
+        R.read_records(spark, str(tmp_path), mode="FAILFAST").collect()
+
+
 def test_parse_requests(spark):
     bodies = ['{"state": "s", "question": "q", "options": "A: x | B: y"}', '"k": 1}', "[1]", '{"state": "s"}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i long, body string")
