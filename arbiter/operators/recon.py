@@ -20,12 +20,21 @@ MONEY = "decimal(14,2)"
 
 
 def reduce_side(df: DataFrame, key: str, amount, currency=None, prefix: str = "l") -> DataFrame:
-    cur = currency if currency is not None else F.lit(None).cast("string")
-    return df.groupBy(F.col(key).alias("ref")).agg(
+    """One row per reference: count, summed amount (DECIMAL), currency.
+
+    Without a currency column no string aggregate is planned, so the
+    aggregate stays a (codegen'd) hash aggregate instead of a sort aggregate.
+    """
+    aggs = [
         F.count(F.lit(1)).alias(f"{prefix}_n"),
         F.round(F.sum(amount), 2).cast(MONEY).alias(f"{prefix}_amount"),
-        F.min(cur).alias(f"{prefix}_cur"),
-    )
+    ]
+    if currency is not None:
+        aggs.append(F.min(currency).alias(f"{prefix}_cur"))
+    out = df.groupBy(F.col(key).alias("ref")).agg(*aggs)
+    if currency is None:
+        out = out.withColumn(f"{prefix}_cur", F.lit(None).cast("string"))
+    return out
 
 
 def reconcile(
