@@ -128,11 +128,23 @@ def parse_requests(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFr
     return typed.where(F.col("reason").isNull()).drop("reason"), typed.where(F.col("reason").isNotNull())
 
 
+TOP_K_INLINE = 100_000
+
+
 def head_n(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
-    """First n rows in an explicit order; 0 or None means all rows."""
+    """First n rows in an explicit (total) order; 0 or None means all rows.
+
+    A small n is a top-k (each task keeps its best n, one merge). A large n
+    would gather n rows in one task, so it numbers rows with a range
+    partition instead and keeps positions below n, spread over all tasks.
+    """
     if not n:
         return df
-    return df.orderBy(*order_cols).limit(n)
+    if n <= TOP_K_INLINE:
+        return df.orderBy(*order_cols).limit(n)
+    from arbiter.operators.ordinal import ordinal_within
+
+    return ordinal_within(df, [], order_cols, out="_head_pos").where(F.col("_head_pos") < n).drop("_head_pos")
 
 
 def catalogue(df: DataFrame) -> DataFrame:

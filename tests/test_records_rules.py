@@ -73,6 +73,14 @@ def test_read_records_modes(spark, tmp_path):
         R.read_records(spark, str(tmp_path), mode="FAILFAST").collect()
 
 
+def test_head_n_large_is_distributed(spark, monkeypatch):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"))
+    monkeypatch.setattr(R, "TOP_K_INLINE", 10)
+    got = sorted(r.k for r in R.head_n(df, 120, ["k"]).collect())
+    assert got == list(range(120))
+    assert R.head_n(df, 0, ["k"]).count() == 500
+
+
 def test_parse_requests(spark):
     bodies = ['{"state": "s", "question": "q", "options": "A: x | B: y"}', '"k": 1}', "[1]", '{"state": "s"}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i long, body string")
