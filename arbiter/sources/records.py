@@ -152,12 +152,24 @@ def catalogue(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"))
 
 
-def export_results(summary: DataFrame, per_class: DataFrame, tickets: DataFrame) -> DataFrame:
-    """One JSON document {summary, perClass, tickets} as a single-row frame.
-
-    Only for bounded run exports: the per-ticket list is gathered into one
-    row, so call it on one run's results, not on a warehouse table.
+def export_results(
+    summary: DataFrame, per_class: DataFrame, tickets: DataFrame, path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The run export as {summary, perClass} (one small JSON document,
+    bounded by the number of classes) plus one JSON line per ticket.
+
+    The per-ticket part stays a distributed table rather than a list inside
+    the document, so an export of any size is written by all tasks. With
+    ``path`` both are written under it (``summary/`` and ``tickets/``).
     """
+    doc, lines = _export_frames(summary, per_class, tickets)
+    if path:
+        doc.coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+        lines.write.mode("overwrite").text(f"{path}/tickets")
+    return doc, lines
+
+
+def _export_frames(summary: DataFrame, per_class: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
     pc = per_class.agg(
         F.map_from_entries(
             F.collect_list(
@@ -170,10 +182,9 @@ def export_results(summary: DataFrame, per_class: DataFrame, tickets: DataFrame)
             )
         ).alias("perClass")
     )
-    tk = tickets.agg(F.collect_list(F.struct(*tickets.columns)).alias("tickets"))
     doc = summary.select(
         F.struct(*summary.columns).alias("summary"),
         row_value(pc)["perClass"].alias("perClass"),
-        row_value(tk)["tickets"].alias("tickets"),
     )
-    return doc.select(F.to_json(F.struct("summary", "perClass", "tickets")).alias("json"))
+    lines = tickets.select(F.to_json(F.struct(*tickets.columns)).alias("value"))
+    return doc.select(F.to_json(F.struct("summary", "perClass")).alias("value")), lines

@@ -81,6 +81,18 @@ def test_head_n_large_is_distributed(spark, monkeypatch):
     assert R.head_n(df, 0, ["k"]).count() == 500
 
 
+def test_export_results(spark, tmp_path):
+    summary = spark.createDataFrame([(2, 1, 0.5)], "done long, correct long, accuracy double")
+    per = spark.createDataFrame([("A", 1, 1, 1.0), ("B", 1, 0, 0.0)], "expected string, n long, correct long, accuracy double")
+    tickets = spark.createDataFrame([("T-001", "A", "A"), ("T-002", "B", None)], "id string, expected string, got string")
+    doc, lines = R.export_results(summary, per, tickets, str(tmp_path / "run"))
+    d = json.loads(doc.first().value)
+    assert d["summary"]["done"] == 2 and d["perClass"]["B"]["correct"] == 0
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "run" / "tickets")).collect()) == [
+        "T-001", "T-002"
+    ]
+
+
 def test_parse_requests(spark):
     bodies = ['{"state": "s", "question": "q", "options": "A: x | B: y"}', '"k": 1}', "[1]", '{"state": "s"}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i long, body string")
