@@ -137,11 +137,19 @@ def test_tickets_all_correct(spark):
     assert t.where(F.col("variant") == "order").count() > 0
 
 
-def test_duplicates_identical_rows(spark):
+def test_duplicates_identical_rows(spark, monkeypatch):
     rows = [(1, 1, 5.0), (1, 1, 5.0), (1, 1, 5.0), (1, 1, 4.0), (2, 1, 1.0)]
     df = spark.createDataFrame(rows, "k long, n long, v double")
     d = find_duplicates(df, ["k", "n"], ["v"])
     assert sorted(tuple(r) for r in d.collect()) == [(1, 1, 5.0), (1, 1, 5.0), (1, 1, 5.0)]
+    # a hot row repeated beyond the chunk size is expanded in spread chunks
+    from arbiter.operators import recon
+
+    monkeypatch.setattr(recon, "COPY_CHUNK", 2)
+    hot = spark.createDataFrame([(1, 1, 5.0)] * 9 + [(3, 3, 3.0)] * 2, "k long, n long, v double")
+    assert sorted(tuple(r) for r in recon.find_duplicates(hot, ["k", "n"], ["v"]).collect()) == [(1, 1, 5.0)] * 8 + [
+        (3, 3, 3.0)
+    ]
 
 
 def test_leakage_counts_sf001(spark):
