@@ -167,13 +167,32 @@ def centroids(train: DataFrame, vec: str = "embedding", label: str = "label") ->
 
 
 def score_centroid(items: DataFrame, cents: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(key, label, logp = dot(vector, centroid))."""
-    x = items.select(key, F.posexplode(vec).alias("dim", "x"))
-    return (
-        x.join(cents, "dim")
-        .groupBy(key, "label")
-        .agg(F.sum(F.col("x").cast("double") * F.col("c")).alias("logp"))
+    """(key, label, logp = dot(vector, centroid)).
+
+    The centroid table (classes × dimensions, independent of the number of
+    vectors) becomes one array of (label, centroid vector) values read by
+    every task, so scoring is a projection: no join on the dimension index
+    (which would put each dimension — a handful of keys — in one task).
+    """
+    per_class = cents.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "c"))).alias("_dc"))
+    table = per_class.select("label", F.transform("_dc", lambda e: e["c"]).alias("centroid"))
+    classes = class_array(table)
+    if classes is None:  # very many classes: keyed join on the class table
+        x = items.select(key, F.posexplode(vec).alias("dim", "x"))
+        return x.join(cents, "dim").groupBy(key, "label").agg(F.sum(F.col("x").cast("double") * F.col("c")).alias("logp"))
+    with_classes = items.select(key, F.col(vec).alias("_v"), classes.alias("_classes"))
+    dots = F.transform(
+        "_classes",
+        lambda cl: F.struct(
+            cl["label"].alias("label"),
+            F.aggregate(
+                F.zip_with(F.col("_v"), cl["centroid"], lambda x, c: x.cast("double") * c),
+                F.lit(0.0),
+                lambda acc, t: acc + F.coalesce(t, F.lit(0.0)),
+            ).alias("logp"),
+        ),
     )
+    return with_classes.select(key, F.explode(dots).alias("d")).select(key, "d.label", "d.logp")
 
 
 # ---- W1 / W2 / P12 ------------------------------------------------------------------------
