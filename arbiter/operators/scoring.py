@@ -24,6 +24,9 @@ from arbiter.functions.subquery import attach_classes, class_array, row_value
 from arbiter.functions.text import tokens
 from arbiter.operators.ordinal import ordinal_within
 
+# Largest naive-Bayes model (vocabulary × class vector) shipped to every task.
+MODEL_BROADCAST_BYTES = 256 * 1024 * 1024
+
 
 # ---- P9 vocabulary ------------------------------------------------------------------
 
@@ -130,6 +133,20 @@ def score_nb(
             ).alias("vec"),
         )
         zeros = F.array_repeat(F.lit(0.0), F.size(classes))
+        # Size check on the model: vocabulary rows × class-vector bytes.
+        n_vocab, n_classes = fitted["vocab"].count(), labels.count()
+        if n_vocab * (8 * n_classes + 64) <= MODEL_BROADCAST_BYTES:
+            # Bounded model: broadcast it and cluster the texts by item once,
+            # so the token counts, the join and the per-class sums all run
+            # inside the item's partition — one shuffle of text, none of tokens.
+            tc = (
+                docs.select(key, text)
+                .repartition(key)
+                .select(key, F.explode_outer(tokens(text)).alias("token"))
+                .groupBy(key, "token")
+                .agg(F.count("token").alias("c"))
+            )
+            dense = F.broadcast(dense)
         sums = (
             tc.join(dense, "token", "left")
             .select(key, "c", F.posexplode(F.coalesce("vec", zeros)).alias("idx", "v"))

@@ -36,6 +36,20 @@ def test_vocab_ids_are_a_ranking(spark):
     assert w.where(F.col("rk") != F.col("id")).count() == 0
 
 
+def test_nb_paths_agree(spark, monkeypatch):
+    """The broadcast path and the shuffle-join path give the same scores."""
+    from arbiter.session import Tables
+    from arbiter.sources import fixtures as X
+
+    t = Tables(spark, SF001)
+    d = X.d_set(t.documents, t.labels)
+    fitted = S.fit_nb(d.where(F.col("split") == "train"))
+    a = {(r.rec_id, r.label): round(r.logp, 6) for r in S.score_nb(d, fitted).collect()}
+    monkeypatch.setattr(S, "MODEL_BROADCAST_BYTES", 0)
+    b = {(r.rec_id, r.label): round(r.logp, 6) for r in S.score_nb(d, fitted).collect()}
+    assert a == b and len(a) == 2 * d.count()
+
+
 def test_rule_quantile(spark):
     df = spark.createDataFrame([("x", float(v)) for v in [1, 2, 3, 4]], "g string, v double")
     q = group_quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).first()
