@@ -102,14 +102,13 @@ def find_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     j = counted.join(first, keys)
     extra = F.col("_copies") - F.when(F.equal_null(ordkey, F.col("_first")), 1).otherwise(0)
     kept = j.select(*cols, extra.alias("_extra")).where(F.col("_extra") > 0)
-    small = kept.where(F.col("_extra") <= COPY_CHUNK).select(
-        *cols, F.explode(F.sequence(F.lit(1), F.col("_extra"))).alias("_copy")
-    )
-    # A row repeated more than COPY_CHUNK times is cut into chunks that are
-    # spread over tasks before being expanded, so no task emits a hot row alone.
-    big = (
-        kept.where(F.col("_extra") > COPY_CHUNK)
-        .select(*cols, "_extra", F.explode(F.sequence(F.lit(0), F.floor((F.col("_extra") - 1) / COPY_CHUNK))).alias("_chunk"))
+    # Copies are cut into chunks of at most COPY_CHUNK and the chunks (only the
+    # duplicated rows, before expansion) are spread over tasks, so a row
+    # repeated by a third of the table is expanded by many tasks, not one.
+    return (
+        kept.select(
+            *cols, "_extra", F.explode(F.sequence(F.lit(0), F.floor((F.col("_extra") - 1) / COPY_CHUNK))).alias("_chunk")
+        )
         .repartition(*[F.col(c) for c in keys], F.col("_chunk"))
         .select(
             *cols,
@@ -117,8 +116,8 @@ def find_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
                 F.sequence(F.lit(1), F.least(F.lit(COPY_CHUNK), F.col("_extra") - F.col("_chunk") * COPY_CHUNK))
             ).alias("_copy"),
         )
+        .drop("_copy")
     )
-    return small.unionByName(big).drop("_copy")
 
 
 COPY_CHUNK = 1_000_000
