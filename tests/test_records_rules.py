@@ -152,6 +152,22 @@ def test_duplicates_identical_rows(spark, monkeypatch):
     ]
 
 
+def test_leakage_hot_state_against_brute_force(spark):
+    # One state carries a third of the rows, spread over all splits.
+    rows = []
+    for i in range(600):
+        state = "HOT" if i % 3 == 0 else f"s{i % 170}"
+        rows.append((i, i % 3 if i % 5 else (i // 5) % 3, state))
+    df = spark.createDataFrame(rows, "rec_id long, split_rank int, state string")
+    got = sorted((r.first_split, r.split, r.rec_id) for r in leakage(df).collect())
+    names = ["train", "valid", "test"]
+    first = {}
+    for _, rank, s in rows:
+        first[s] = min(first.get(s, rank), rank)
+    want = sorted((names[first[s]], names[rank], i) for i, rank, s in rows if rank > first[s])
+    assert got == want
+
+
 def test_leakage_counts_sf001(spark):
     recs = X.doc_records(Tables(spark, SF01).documents)
     got = {(r.first_split, r.split): r.n for r in leakage_counts(leakage(recs)).collect()}
