@@ -56,6 +56,19 @@ def test_rule_quantile(spark):
     assert (q.p50, q.p95) == (3.0, 4.0)  # sorted[min(n-1, floor(p*n))], not percentile_disc
 
 
+def test_quantiles_hot_group_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [("hot" if i % 3 == 0 else rnd.choice("xyz"), float(rnd.randint(0, 99))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in group_quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        vs = sorted(v for gg, v in rows if gg == g)
+        n = len(vs)
+        want[g] = (vs[min(n - 1, int(0.5 * n))], vs[min(n - 1, int(0.95 * n))])
+    assert got == want
+
+
 def test_softmax_and_stable_rank(spark):
     df = spark.createDataFrame([(1, 0, "A", 0.0), (1, 1, "B", 0.0), (1, 2, "C", -1.0)], "item long, pos int, label string, logp double")
     r = S.rank_options(S.softmax(df, "item"), "item").orderBy("rank").collect()
