@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
+from arbiter.llm import token_counts as X3
 from arbiter.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,21 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+# ---- 2, 3: tokenisers (not expressible in SQL; tested against the library) --------------------
+
+
+@_query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark, sf_dir):
+    """Ids and decoded text of every whole document, as digests."""
+    return X2.round_trip(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    """Unigram token count and best score of every whole document."""
+    return X3.token_counts(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 # ---- 5: exact dedup ---------------------------------------------------------------------------
 
 NORMALISED_SQL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')"
