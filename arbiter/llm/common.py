@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +107,78 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def in_blocks(rows: DataFrame, group: list[str], id_col: str, block: int) -> DataFrame:
+    """Deal the rows of each group out to blocks so that any two rows of a group share a block.
+
+    A group of m rows has c = ceil(m / block) hashed parts and a block for each pair of parts; a
+    row goes to the c blocks of its part. Adds ``_g`` (64-bit block key), ``_i``, ``_j`` (the
+    block's parts) and ``_c`` (the row's part). No block holds more than about 2 * block rows.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    rows = rows.join(sizes, group).withColumn("_c", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.withColumns({"_i": F.least("_c", "_o").cast("int"), "_j": F.greatest("_c", "_o").cast("int")})
+    return rows.withColumn("_g", F.xxhash64(*group, "_i", "_j")).drop("_n", "_o")
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    """Rows of a block next to each other in one partition, for ``blocks`` in a mapInPandas."""
+    return rows.repartition(F.col("_g")).sortWithinPartitions("_g")
+
+
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of equal ``_g`` in a sorted stream of frames; holds one block and one batch."""
+    rest = None
+    for pdf in batches:
+        if rest is not None and len(rest):
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        g = pdf["_g"].to_numpy()
+        cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+        start = 0
+        for c in cuts:
+            yield pdf.iloc[start:c]
+            start = c
+        rest = pdf.iloc[start:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def shared_counts(sets: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Matrix of intersection sizes of duplicate-free value arrays."""
+    if len(sets) == 1 and len(other) == 1:
+        return np.array([[len(np.intersect1d(sets[0], other[0], assume_unique=True))]], np.int64)
+    _, col, n = np.unique(np.concatenate([*sets, *other]), return_inverse=True, return_counts=True)
+    keep = np.cumsum(n > 1) - 1
+    keep[n == 1] = -1  # a value held once is in no intersection
+    width = int(keep.max()) + 1 if len(keep) else 0
+    col = keep[col]
+    out = np.zeros((len(sets), len(other)), np.float32)
+    lens = [len(s) for s in (*sets, *other)]
+    row = np.repeat(np.arange(len(lens)), lens)
+    for lo in range(0, width, 4096):
+        at = (col >= lo) & (col < lo + 4096)
+        m = np.zeros((len(lens), min(4096, width - lo)), np.float32)
+        m[row[at], col[at] - lo] = 1
+        out += m[: len(sets)] @ m[len(sets) :].T
+    return out.astype(np.int64)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the edges (a[i], b[i]) that join something new: at most one a label."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(i)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
+from arbiter.llm import minhash as X8
 from arbiter.llm import token_counts as X3
 from arbiter.llm.common import read_documents
 
@@ -56,3 +57,12 @@ NORMALISED_SQL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ',
 def op5_exact_dedup(spark, sf_dir):
     """Equal texts after white-space folding; the row with the least doc_id stays."""
     return X5.exact_dedup(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+# ---- 8: near-dedup of texts (tested against brute force) --------------------------------------
+
+
+@_query("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark, sf_dir):
+    """Components of documents whose 2-word shingle sets reach Jaccard 0.8."""
+    return X8.near_dups(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
