@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
 from arbiter.llm import minhash as X8
+from arbiter.llm import near_vectors as X1
 from arbiter.llm import token_counts as X3
 from arbiter.llm.common import read_documents
 
@@ -27,6 +28,15 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+# ---- 1: near-dedup of embeddings ---------------------------------------------------------------
+
+
+@_query("op1_near_vectors")
+def op1_near_vectors(spark, sf_dir):
+    """Links of cosine 0.93 or more between vectors of a label; the least id of a component stays."""
+    return X1.near_vectors(read_documents(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 # ---- 2, 3: tokenisers (not expressible in SQL; tested against the library) --------------------
 
 
