@@ -40,6 +40,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete a staged table after its last reader has been written itself."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/llm-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -128,27 +138,26 @@ def by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("_g")).sortWithinPartitions("_g")
 
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The runs of equal ``_g`` in a sorted stream of frames; holds one block and one batch."""
-    rest = None
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """The runs of equal ``_g`` in a sorted stream of frames, as columns; holds one block and one batch."""
+    rest: dict[str, np.ndarray] = {}
     for pdf in batches:
-        if rest is not None and len(rest):
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        g = pdf["_g"].to_numpy()
-        cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
-        start = 0
-        for c in cuts:
-            yield pdf.iloc[start:c]
-            start = c
-        rest = pdf.iloc[start:]
-    if rest is not None and len(rest):
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if rest:
+            cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
+        g = cols["_g"]
+        edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1)] if len(g) else []
+        for lo, hi in zip(edges, edges[1:]):
+            yield {c: v[lo:hi] for c, v in cols.items()}
+        rest = {c: v[edges[-1] :] for c, v in cols.items()} if edges else {}
+    if rest:
         yield rest
 
 
 def shared_counts(sets: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes of duplicate-free value arrays."""
-    if len(sets) == 1 and len(other) == 1:
-        return np.array([[len(np.intersect1d(sets[0], other[0], assume_unique=True))]], np.int64)
+    if len(sets) == 1 and len(other) <= 4:
+        return np.array([[len(np.intersect1d(sets[0], o, assume_unique=True)) for o in other]], np.int64)
     _, col, n = np.unique(np.concatenate([*sets, *other]), return_inverse=True, return_counts=True)
     keep = np.cumsum(n > 1) - 1
     keep[n == 1] = -1  # a value held once is in no intersection
@@ -182,3 +191,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
             root[max(x, y)] = min(x, y)
             out.append(i)
     return out
+
+
+def framed(parts: Iterator[pd.DataFrame], size: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Small frames joined to frames of about ``size`` rows."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p)
+        if n >= size:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)

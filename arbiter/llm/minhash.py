@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import blocks, by_block, components, forest, in_blocks, shared_counts, staged
+from arbiter.llm.common import blocks, by_block, components, forest, framed, in_blocks, shared_counts, staged
 
 K = 32
 #: Lists a larger set enters: sketches sharing K - P + 1 values meet in one of them.
@@ -186,21 +186,26 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
     rows = in_blocks(rows, ["value", "band"], "id", block)
     rows = by_block(rows.join(reps.select("id", "sketch"), "id").drop("value", "band"))
 
-    def possible(x, y, shared):
-        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
-        whole = np.maximum(nx, ny) <= k
-        ok = np.where(whole, shared * 100 >= (nx + ny - shared) * percent, shared >= est)
-        return ok & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & _other(x, y)
+    kept = ["_g", "_i", "_j", "_c", "id", "n", "component", "first"]
 
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in blocks(batches):
-            keep = np.zeros(len(pdf), bool)
-            for x, y in _halves(pdf):
-                ok = possible(pdf.iloc[x], pdf.iloc[y], shared_counts([*pdf["sketch"].iloc[x]], [*pdf["sketch"].iloc[y]]))
-                keep[x[ok.any(axis=1)]] = True
-                keep[y[ok.any(axis=0)]] = True
-            if keep.any():
-                yield pdf.loc[keep, ["_g", "_i", "_j", "_c", "id", "n", "component", "first"]]
+        def each():
+            for b in blocks(batches):
+                keep = np.zeros(len(b["id"]), bool)
+                for x, y in _halves(b):
+                    nx, ny = b["n"][x][:, None], b["n"][y][None, :]
+                    ok = (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & _other(b, x, y)
+                    if not ok.any():
+                        continue
+                    shared = shared_counts([*b["sketch"][x]], [*b["sketch"][y]])
+                    whole = np.maximum(nx, ny) <= k
+                    ok &= np.where(whole, shared * 100 >= (nx + ny - shared) * percent, shared >= est)
+                    keep[x[ok.any(axis=1)]] = True
+                    keep[y[ok.any(axis=0)]] = True
+                if keep.any():
+                    yield pd.DataFrame({c: b[c][keep] for c in kept})
+
+        yield from framed(each())
 
     live = staged(
         rows.mapInPandas(screen, "_g long, _i int, _j int, _c int, id long, n long, component long, first boolean"), "live"
@@ -209,32 +214,32 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
     rows = by_block(live.join(texts, "id"))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in blocks(batches):
-            sets = [shingle_hashes(t, words) for t in pdf["text"]]
-            for x, y in _halves(pdf):
-                a, b = pdf.iloc[x], pdf.iloc[y]
+        for b in blocks(batches):
+            sets = [shingle_hashes(t, words) for t in b["text"]]
+            for x, y in _halves(b):
                 shared = shared_counts([sets[i] for i in x], [sets[i] for i in y])
-                total = a["n"].to_numpy()[:, None] + b["n"].to_numpy()[None, :] - shared
-                i, j = np.nonzero((shared * 100 >= total * percent) & _other(a, b))
+                total = b["n"][x][:, None] + b["n"][y][None, :] - shared
+                i, j = np.nonzero((shared * 100 >= total * percent) & _other(b, x, y))
                 if len(i):
-                    at = forest(a["component"].to_numpy()[i], b["component"].to_numpy()[j])
-                    yield pd.DataFrame({"a": a["id"].to_numpy()[i[at]], "b": b["id"].to_numpy()[j[at]]})
+                    i, j = x[i], y[j]
+                    at = forest(b["component"][i], b["component"][j])
+                    yield pd.DataFrame({"a": b["id"][i[at]], "b": b["id"][j[at]]})
 
     return staged(rows.mapInPandas(links, "a long, b long"), "more")
 
 
-def _halves(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _halves(b: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers to compare in a block: documents of the band itself against all others."""
-    first, part = pdf["first"].to_numpy(), pdf["_c"].to_numpy()
-    i, j = pdf["_i"].iat[0], pdf["_j"].iat[0]
+    first, part = b["first"].astype(bool), b["_c"]
+    i, j = b["_i"][0], b["_j"][0]
     for p, q in {(i, j), (j, i)}:
         x, y = np.flatnonzero(first & (part == p)), np.flatnonzero(part == q)
         if len(x) and len(y):
             yield x, y
 
 
-def _other(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    return x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+def _other(b: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return b["component"][x][:, None] != b["component"][y][None, :]
 
 
 def near_dups(

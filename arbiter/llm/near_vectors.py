@@ -120,26 +120,24 @@ def near_vectors(
     entries = by_block(entries.join(reps.select("id", "m", "unit", "codes"), "id").drop("label", "d"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in blocks(batches):
-            part, i, j = pdf["_c"].to_numpy(), pdf["_i"].iat[0], pdf["_j"].iat[0]
-            x, y = pdf[part == i], pdf[part == j]
-            if not len(x) or not len(y):
+        for rows in blocks(batches):
+            i, j = rows["_i"][0], rows["_j"][0]
+            x, y = ({c: v[rows["_c"] == p] for c, v in rows.items()} for p in (i, j))
+            if not len(x["id"]) or not len(y["id"]):
                 continue
-            ux, uy = np.stack(x["unit"].to_numpy()), np.stack(y["unit"].to_numpy())
-            near = ux @ uy.T >= cosine
+            near = np.stack(x["unit"]) @ np.stack(y["unit"]).T >= cosine
             if i == j:
                 near = np.triu(near, 1)
             a, b = np.nonzero(near)
             if not len(a):
                 continue
-            cx, cy = np.stack(x["codes"].to_numpy()), np.stack(y["codes"].to_numpy())
-            code, own = pdf["code"].iat[0], np.zeros(len(a), bool)
+            cx, cy = np.stack(x["codes"]), np.stack(y["codes"])
+            code, own = rows["code"][0], np.zeros(len(a), bool)
             for lo in range(0, len(a), 4096):
                 p, q = cx[a[lo : lo + 4096]], cy[b[lo : lo + 4096]]
                 met = (p[:, :, None] == q[:, None, :]).any(axis=2)
                 own[lo : lo + 4096] = np.where(met, p, np.iinfo(np.int64).max).min(axis=1) == code
-            ix, iy = x["id"].to_numpy(), y["id"].to_numpy()
-            mx, my = x["m"].to_numpy(), y["m"].to_numpy()
+            ix, iy, mx, my = x["id"], y["id"], x["m"], y["m"]
             at = forest(ix[a], iy[b])
             ids = np.concatenate([ix[a[own]], iy[b[own]]])
             weight = np.concatenate([my[b[own]], mx[a[own]]])
