@@ -11,6 +11,8 @@ from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
 from arbiter.llm import minhash as X8
 from arbiter.llm import near_vectors as X1
+from arbiter.llm import quality as X4
+from arbiter.llm import repeats as X9
 from arbiter.llm import token_counts as X3
 from arbiter.llm.common import read_documents
 
@@ -52,6 +54,15 @@ def op3_token_counts(spark, sf_dir):
     return X3.token_counts(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+# ---- 4: quality classifier (tested against held-out labels) ------------------------------------
+
+
+@_query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    """Weak votes, their posterior, the trained scorer's probability and the verdict of every document."""
+    return X4.classify(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 # ---- 5: exact dedup ---------------------------------------------------------------------------
 
 NORMALISED_SQL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')"
@@ -76,3 +87,12 @@ def op5_exact_dedup(spark, sf_dir):
 def op8_minhash_near_dedup(spark, sf_dir):
     """Components of documents whose 2-word shingle sets reach Jaccard 0.8."""
     return X8.near_dups(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+# ---- 9: repeated byte strings (tested against brute force) ------------------------------------
+
+
+@_query("op9_repeated_strings")
+def op9_repeated_strings(spark, sf_dir):
+    """Bytes covered by a 100-byte string that also starts earlier are removed."""
+    return X9.drop_repeats(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
