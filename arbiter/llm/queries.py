@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
 from arbiter.llm import minhash as X8
+from arbiter.llm import mixing as X6
 from arbiter.llm import near_vectors as X1
 from arbiter.llm import quality as X4
 from arbiter.llm import repeats as X9
+from arbiter.llm import sharding as X7
 from arbiter.llm import token_counts as X3
 from arbiter.llm.common import read_documents
 
@@ -80,6 +83,32 @@ def op5_exact_dedup(spark, sf_dir):
     return X5.exact_dedup(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+# ---- 6: mixing (tested against a sequential scheduler) ------------------------------------------
+
+#: Largest share of one source in the mix.
+SOURCE_CAP = 0.25
+
+
+@_query("op6_pfair_mix")
+def op6_pfair_mix(spark, sf_dir):
+    """Slot and position of every document in the mix; no source above a quarter."""
+    docs = read_documents(spark, sf_dir)
+    return X6.mix(docs, X6.capped_weights(docs, SOURCE_CAP)).withColumnRenamed("id", "doc_id")
+
+
+# ---- 7: sharding (tested by its law and by brute force) -----------------------------------------
+
+
+@_query("op7_balanced_shards")
+def op7_balanced_shards(spark, sf_dir):
+    """40 shards of even row counts; equal texts share a shard where its size allows."""
+    d = X7.shard(read_documents(spark, sf_dir))
+    return d.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "group_rows",
+    )
+
+
 # ---- 8: near-dedup of texts (tested against brute force) --------------------------------------
 
 
