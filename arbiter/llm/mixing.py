@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from arbiter.llm.common import staged, with_position
 
 #: Documents of a block; ticks of a period for each source (the weights' resolution).
-BLOCK, TICKS_PER_SOURCE, SEED = 16, 16, 11
+BLOCK, TICKS_PER_SOURCE, SEED = 16, 64, 11
 
 
 def capped_weights(docs: DataFrame, cap: float, source_col: str = "source") -> DataFrame:
@@ -111,8 +111,8 @@ def mix(
         F.first("ticks").alias("ticks"), F.first("period").alias("period"), F.first("rows").alias("rows"),
         F.sort_array(F.collect_list(F.struct("place", "slot"))).alias("at"),
     )
-    # The first slot that would need a full block a source no longer has ends the mix.
-    per = per.withColumn("blocks", F.floor(F.col("rows") / block)).withColumn(
+    # The first slot that would need a block a source no longer has ends the mix.
+    per = per.withColumn("blocks", F.ceil(F.col("rows") / block)).withColumn(
         "ends", (F.floor(F.col("blocks") / F.col("ticks")) * F.col("period")
                  + F.col("at")[F.pmod("blocks", "ticks").cast("int")]["slot"]))
     ends = staged(per, "sources")

@@ -218,21 +218,15 @@ def score(text: str | None, w: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-z)))
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, w: np.ndarray) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(score(t, w), len(t.split(None, MIN_WORDS)) < MIN_WORDS) if t else (0.0, True) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "bad": [f[0] for f in found], "short": [f[1] for f in found]})
+def _judge(text: str | None, w: np.ndarray) -> tuple[float, bool]:
+    """(scorer's probability of "bad", whether the text is too short for it)."""
+    if not text:
+        return 0.0, True
+    return score(text, w), len(text.split(None, MIN_WORDS)) < MIN_WORDS
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "id long, bad double, short boolean"
-    )
 
-
-def classify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = REJECT
-) -> DataFrame:
-    """One row per document: id, votes, weak_bad (posterior of its votes), bad (scorer), kept."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
+    """Votes of every document (staged), posterior "bad" by vote pattern, and the scorer's weights."""
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,8 +240,8 @@ def classify(
 
     # A hash threshold picks about ``sample`` documents in one scan, on any partitioning.
     rows = sum(r.n for r in table)
-    picked = voted.where(F.xxhash64("id", F.lit(4)) <= F.lit(int(2**64 * min(1.0, sample / max(1, rows)) - 2**63) - 1))
-    picked = staged(picked.limit(2 * sample), "sample")
+    bound = int(2**64 * min(1.0, sample / max(1, rows)) - 2**63) - 1
+    picked = staged(voted.where(F.xxhash64("id", F.lit(4)) <= F.lit(min(bound, 2**63 - 1))).limit(2 * sample), "sample")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -256,12 +250,46 @@ def classify(
     training = text.join(picked, "id").mapInPandas(featured, "votes int, f array<int>").collect()
     training.sort(key=lambda r: (r.votes, r.f))
     w = train([np.array(r.f, np.int64) for r in training], np.array([model["bad"][r.votes] for r in training]))
+    return model | {"voted": voted, "weights": w}
+
+
+def classify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = REJECT
+) -> DataFrame:
+    """One row per document: id, votes, weak_bad (posterior of its votes), bad (scorer), kept."""
+    model = fit(docs, id_col, text_col, sample)
+    w, posterior = model["weights"], model["bad"]
 
-    posterior = voted.sparkSession.createDataFrame([*model["bad"].items()] or [(0, 0.0)], "votes int, weak_bad double")
-    scored = _scored(text, "id", "text", w)
-    weak = staged(voted.join(F.broadcast(posterior), "votes", "left"), "weak")  # at most 3^m rows
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_judge(t, w) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "bad": [f[0] for f in found], "short": [f[1] for f in found]})
+
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scored = text.mapInPandas(run, "id long, bad double, short boolean")
+    voted = model["voted"]
+    table = voted.sparkSession.createDataFrame([*posterior.items()] or [(0, 0.0)], "votes int, weak_bad double")
+    weak = staged(voted.join(F.broadcast(table), "votes", "left"), "weak")  # at most 3^m rows
     verdict = F.when(F.col("short"), F.col("weak_bad")).otherwise(F.col("bad"))
     return scored.join(weak.dropDuplicates(["id"]), "id", "left").select(
         "id", "votes", F.round("weak_bad", 9).alias("weak_bad"), F.round("bad", 9).alias("bad"),
         F.coalesce(verdict < reject, F.lit(True)).alias("kept"),
     )
+
+
+def keep_good(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = REJECT
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that `classify` keeps; judged where they are read."""
+    model = fit(docs, id_col, text_col, sample)
+    w, posterior = model["weights"], model["bad"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for t in pdf["_t"]:
+                bad, short = _judge(t, w)
+                keep.append((posterior[votes(t)] if short else bad) < reject)
+            yield pdf.loc[keep, pdf.columns[:-1]]
+
+    return docs.withColumn("_t", F.col(text_col)).mapInPandas(run, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
 from arbiter.llm import minhash as X8
+from arbiter.llm import licences as X10
 from arbiter.llm import mixing as X6
 from arbiter.llm import near_vectors as X1
 from arbiter.llm import quality as X4
@@ -125,3 +126,12 @@ def op8_minhash_near_dedup(spark, sf_dir):
 def op9_repeated_strings(spark, sf_dir):
     """Bytes covered by a 100-byte string that also starts earlier are removed."""
     return X9.drop_repeats(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+# ---- 10: licence scan (tested against the planted lines) ----------------------------------------
+
+
+@_query("op10_licence_scan")
+def op10_licence_scan(spark, sf_dir):
+    """Confirmed licence families of every document, with the paragraphs that state them."""
+    return X10.licences(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
