@@ -1,11 +1,75 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: quality, exact copies, near copies, mix, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all of ``docs`` and returns a DataFrame that is
+written as Parquet and read again as the next stage's ``docs``. All but the last return the columns
+of ``documents``. Documents leave by an anti-join against the ids that go: a written table, which
+the planner broadcasts only when its size is small.
+
+Defined results: null and empty texts pass the quality stage, count as one exact group, are near
+nothing and have no tokens; an empty table stays empty; extra columns are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from arbiter.llm import bpe, exact_dedup, minhash, mixing, quality
+from arbiter.llm.common import staged
+
+#: Words per shingle and least Jaccard similarity (percent) of near copies.
+SHINGLE, SIMILAR = 5, 80
+#: Largest share of one source in the mix.
+SOURCE_CAP = 0.25
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    gone = staged(ids.withColumnRenamed("id", "doc_id"), name)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier does not reject."""
+    return quality.keep_good(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of every group of equal texts."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept").select("id"), "copies")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group linked by word shingles."""
+    d = minhash.near_dups(docs, words=SHINGLE, percent=SIMILAR)
+    return _without(docs, d.where("NOT kept").select("id"), "near-copies")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that stand in the mix at target weights, up to where a source runs out."""
+    m = mixing.mix(docs, mixing.capped_weights(docs, SOURCE_CAP))
+    return _without(docs, m.where("NOT in_mix").select("id"), "not-in-mix")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the encoded and decoded text of what is left."""
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Trained and hashed stages are not SQL; tests/llm hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
