@@ -75,11 +75,12 @@ def _earliest_deadline(s: Column, period: Column) -> Column:
         due = F.transform(s, lambda x, i: F.when(
             (F.floor(state["done"][i] * period / x["ticks"]) <= t) & (state["done"][i] < x["ticks"]),
             F.struct(F.ceil((state["done"][i] + 1) * period / x["ticks"]).alias("due"), i.alias("i"))))
-        pick = F.array_min(F.filter(due, lambda d: d.isNotNull()))["i"]
-        return F.struct(
-            F.transform(state["done"], lambda d, i: d + (i == pick).cast("int")).alias("done"),
-            F.concat(state["slots"], F.array(pick)).alias("slots"),
-        )
+        # A one-element array binds the choice, so it is made once a slot.
+        pick = F.array(F.array_min(F.filter(due, lambda d: d.isNotNull()))["i"])
+        return F.transform(pick, lambda p: F.struct(
+            F.transform(state["done"], lambda d, i: d + (i == p).cast("int")).alias("done"),
+            F.concat(state["slots"], F.array(p)).alias("slots"),
+        ))[0]
 
     return F.aggregate(F.sequence(F.lit(0), period - 1), start, step, lambda state: state["slots"])
 
