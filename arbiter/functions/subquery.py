@@ -10,36 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Class tables above this size are not folded into one value.
-MAX_INLINE_CLASSES = 4096
-
-
 def row_value(one_row: DataFrame) -> Column:
     """struct of the single row of ``one_row`` (a scalar subquery)."""
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
-def class_array(classes: DataFrame) -> Column | None:
-    """The class table as one array value, or None when it is too large to inline."""
-    if classes.count() > MAX_INLINE_CLASSES:
-        return None
+def class_array(classes: DataFrame) -> Column:
+    """The class table as one array value (its size is the label set's, not the data's)."""
     return classes.select(F.collect_list(F.struct(*classes.columns))).scalar()
 
 
 def attach_classes(items: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row per (item, class) for a class table of bounded size.
-
-    The table is folded into one array value (scalar subquery) and exploded
-    next to each item: K rows per item, no join. The class count is checked
-    first; a larger table falls back to a plain equi-join on a constant key.
-    """
-    n = classes.count()
-    if n <= MAX_INLINE_CLASSES:
-        packed = classes.select(F.collect_list(F.struct(*classes.columns))).scalar()
-        out = items.select("*", F.explode(packed).alias("_c"))
-    else:
-        key = F.lit(0).alias("_k")
-        out = items.select("*", key).join(
-            classes.select(key, F.struct(*classes.columns).alias("_c")), "_k"
-        ).drop("_k")
+    """One row per (item, class): the class array is exploded next to each item, no join."""
+    out = items.select("*", F.explode(class_array(classes)).alias("_c"))
     return out.select(*items.columns, *[F.col(f"_c.{c}").alias(c) for c in classes.columns])

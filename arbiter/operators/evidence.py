@@ -57,7 +57,7 @@ def amounts_in_order(state: Column) -> tuple[Column, Column]:
         return (
             F.when(first(m).rlike("[0-9]"), F.substring_index(m, " ", 1))
             .when(first(m).rlike("[A-Z]"), F.substring_index(m, " ", -1))
-            .otherwise(_symbol_amount(first(m), F.substring(m, 2, 1 << 20)))
+            .otherwise(_symbol_amount(first(m), F.substr(m, F.lit(2))))
         )
 
     def currency(m: Column) -> Column:

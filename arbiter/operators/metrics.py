@@ -69,11 +69,21 @@ def confusion(c: DataFrame) -> DataFrame:
     )
 
 
-def confusion_wide(c: DataFrame, labels: list[str]) -> DataFrame:
-    """A4 wide form: one column per predicted label (plus ``<invalid>``)."""
+OTHER_LABEL = "<other>"
+
+
+def confusion_wide(c: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """A4 wide form: one column per predicted label, ``<invalid>`` and, where ``labels``
+    names the columns, ``<other>`` for predictions outside them. No prediction is lost:
+    without ``labels`` the columns are the labels that occur (a label set, not data)."""
     long = confusion(c)
-    cols = [*labels, INVALID_LABEL]
-    return long.groupBy("expected").pivot("predicted", cols).agg(F.first("n")).fillna(0)
+    if labels is None:
+        labels = sorted(r[0] for r in long.select("predicted").distinct().collect() if r[0] != INVALID_LABEL)
+        cols = [*labels, INVALID_LABEL]
+    else:
+        cols = [*labels, INVALID_LABEL, OTHER_LABEL]
+        long = long.withColumn("predicted", F.when(F.col("predicted").isin(cols), F.col("predicted")).otherwise(OTHER_LABEL))
+    return long.groupBy("expected").pivot("predicted", cols).agg(F.sum("n")).fillna(0)
 
 
 def latency_stats(df: DataFrame, group_cols: list[str], value: str) -> DataFrame:
@@ -107,21 +117,6 @@ def run_stats(results: DataFrame, latency: str, client: str, ts: str) -> DataFra
     )
 
 
-def label_distribution(records: DataFrame) -> DataFrame:
-    """A1: upper(answer) per split (wrong answers still counted); R4 failures excluded."""
-    ok = F.col("options").isNotNull() & (F.size("options") >= 2)
-    return (
-        records.where(ok)
-        .groupBy("split", F.upper(F.coalesce(F.col("answer").cast("string"), F.lit(""))).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def status_counts(resolved: DataFrame) -> DataFrame:
-    """A11."""
-    return resolved.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
 def coverage(tickets: DataFrame) -> DataFrame:
     """Counts over every combination of category and display tag (cube)."""
     tag = F.coalesce("variant", "adversarial", "tag").alias("display_tag")

@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbiter.session import staged
+
+ROWS_PER_PARTITION = 1_000_000
 _PID = "_ord_pid"
 _LOCAL = "_ord_local"
 
@@ -31,9 +34,9 @@ def ordinal_within(
     still a permutation.
     """
     keys = [*group_cols, *order_cols]
-    # An explicit partition count: AQE never coalesces such a shuffle, so every
-    # reader of it (the counts and the rows) sees the same partition ids.
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many partitions as the rows need: the table decides, not a session default.
+    df = staged(df, "ordinal-rows")
+    n = num_partitions or max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PARTITION))
     ranged = df.repartitionByRange(n, *keys)
     ranged = ranged.sortWithinPartitions(*keys).withColumn(_PID, F.spark_partition_id())
     # Inside a sorted partition this id grows with the sort order.
@@ -41,7 +44,7 @@ def ordinal_within(
     # Range bounds come from sampling, so two evaluations of this plan may cut
     # the key space differently. Write it once (shared checkpoint folder) and
     # take the counts and the rows from the same materialisation.
-    ranged = ranged.checkpoint(eager=True)
+    ranged = staged(ranged, "ordinal")
     counts = ranged.groupBy(_PID, *group_cols).agg(
         F.count(F.lit(1)).alias("_ord_n"), F.min(_LOCAL).alias("_ord_first")
     )
@@ -60,38 +63,66 @@ def ordinal_within(
     ).drop(_PID, _LOCAL, "_ord_first", "_ord_offset")
 
 
+CUTS = 64
+
+
 def group_quantiles(
     df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float]
 ) -> DataFrame:
     """Exact rule quantile per group: sorted[min(n-1, floor(p*n))].
 
-    Returns one row per group with a column per entry of ``probs``.
+    Returns one row per group with a column per entry of ``probs``. No sort of the
+    data: approximate cut points split each group's values into ``CUTS`` bins, exact
+    bin counts (combined before the shuffle) tell which bin holds each wanted
+    position, and only the distinct values of those bins are counted and ordered. A
+    value on a third of all rows is one (value, count) row a task.
     """
-    data = df.select(*group_cols, F.col(value_col).alias("_v"))
-    data = data.where(F.col("_v").isNotNull())
-    pos = ordinal_within(data, group_cols, ["_v"])
-    sizes = data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    targets = sizes.select(
-        *group_cols,
+    data = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col(value_col).isNotNull())
+    key = [F.col(c) for c in group_cols]
+    cuts = staged(
+        data.groupBy(*key).agg(
+            F.array_distinct(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], F.lit(10_000))).alias("_cuts")
+        ),
+        "cuts",
+    )
+    binned = _attach(data, cuts, group_cols).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
+    bins = staged(binned.groupBy(*key, "_bin").agg(F.count(F.lit(1)).alias("_n")), "bins")
+    # At most CUTS rows a group.
+    w = Window.partitionBy(*key) if group_cols else Window.partitionBy(F.lit(0))
+    upto = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.select(
+        *key, "_bin", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), "_n", F.sum("_n").over(w).alias("_all")
+    )
+    wanted = F.array(
         *[
-            F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p).cast("double")))
-            .cast("long")
-            .alias(f"_k_{name}")
+            F.struct(
+                F.lit(name).alias("q"),
+                F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(p).cast("double"))).cast("long").alias("k"),
+            )
             for name, p in probs.items()
-        ],
+        ]
     )
-    # Only the target rows survive the join: each group keeps len(probs) rows.
-    stacked = targets.select(
-        *group_cols,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("q"), F.col(f"_k_{name}").alias("k"))
-                    for name in probs
-                ]
-            )
-        ).alias("t"),
-    ).select(*group_cols, "t.q", F.col("t.k").alias("pos"))
-    # Equi-join on (group, position): unique keys, so a hot group spreads by position.
-    picked = pos.join(stacked, [*group_cols, "pos"], "inner")
-    return picked.groupBy(*group_cols).pivot("q", list(probs)).agg(F.first("_v"))
+    held = F.filter(wanted, lambda t: (t["k"] >= F.col("_before")) & (t["k"] < F.col("_before") + F.col("_n")))
+    bins = staged(bins.select(*key, "_bin", "_before", held.alias("_q")).where(F.size("_q") > 0), "wanted-bins")
+    inside = _attach(binned.drop("_cuts"), bins, [*group_cols, "_bin"])
+    inside = inside.groupBy(*key, "_bin", "_before", "_q", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*key, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(run))
+    inside = inside.select(*key, "_v", "_end", "_c", F.explode("_q").alias("t")).where(
+        (F.col("t.k") < F.col("_end")) & (F.col("t.k") >= F.col("_end") - F.col("_c"))
+    )
+    return inside.groupBy(*key).pivot("t.q", list(probs)).agg(F.first("_v"))
+
+
+def _attach(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Join on columns that may hold nulls; without columns, ``small`` is one row."""
+    if not on:
+        one = small.select(F.struct(*small.columns)).scalar()
+        return rows.select("*", *[one[c].alias(c) for c in small.columns])
+    renamed = small.select(*[F.col(c).alias(f"_k{i}") if c in on else F.col(c) for i, c in enumerate(small.columns)])
+    names = {c: f"_k{i}" for i, c in enumerate(small.columns) if c in on}
+    cond = None
+    for c in on:
+        e = rows[c].eqNullSafe(renamed[names[c]])
+        cond = e if cond is None else cond & e
+    return rows.join(renamed, cond).drop(*names.values())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arbiter.operators.rules import conclude_recon
 from arbiter.sources.fixtures import facts
 
-MONEY = "decimal(14,2)"
+MONEY = "decimal(24,2)"
 
 
 def reduce_side(df: DataFrame, key: str, amount, currency=None, prefix: str = "l") -> DataFrame:
@@ -54,10 +54,12 @@ def reconcile(
 
     Missing on either side ⇒ needs_review; repeated left reference ⇒
     duplicate ⇒ mismatch; currencies differ ⇒ mismatch; equal amounts ⇒
-    match; |a − b| ≤ tolerance (inclusive; relative tolerances scale |b|) ⇒ match.
+    match; |a − b| ≤ tolerance (inclusive, unrounded; relative tolerances scale
+    |b|) ⇒ match. A row without a reference belongs to no other row: each is a
+    ``needs_review`` row of its own.
     """
-    lside = reduce_side(left, left_key, left_amount, left_currency, "l")
-    rside = reduce_side(right, right_key, right_amount, right_currency, "r")
+    lside = reduce_side(left.where(F.col(left_key).isNotNull()), left_key, left_amount, left_currency, "l")
+    rside = reduce_side(right.where(F.col(right_key).isNotNull()), right_key, right_amount, right_currency, "r")
     j = lside.join(rside, "ref", "full_outer")
     tol = None
     if tolerance is not None:
@@ -69,17 +71,31 @@ def reconcile(
         b=F.col("r_amount"),
         curA=F.col("l_cur"),
         curB=F.col("r_cur"),
-        tolerance=tol,
         missingRef=F.col("l_n").isNull() | F.col("r_n").isNull(),
         duplicate=(F.col("l_n") > 1) if dedupe_left else F.lit(False),
         dupVocab=F.lit(False),
     )
-    return j.select(
+    # The facts type rounds to cents; amounts and the tolerance are compared as they are.
+    f = f.withField("a", F.col("l_amount")).withField("b", F.col("r_amount"))
+    f = f.withField("tolerance", F.lit(None).cast(MONEY) if tol is None else tol)
+    out = j.select(
         "ref",
         F.col("l_amount").alias("a"),
         F.col("r_amount").alias("b"),
         conclude_recon(f).alias("conclusion"),
-    ).withColumn(
+    )
+    none = F.lit(None).cast(MONEY)
+    review = F.lit("needs_review").alias("conclusion")
+
+    def alone(side: DataFrame, key: str, amount, at: int) -> DataFrame:
+        value = F.round(amount, 2).cast(MONEY)
+        pair = [value if i == at else none for i in (0, 1)]
+        return side.where(F.col(key).isNull()).select(
+            F.col(key).alias("ref"), pair[0].alias("a"), pair[1].alias("b"), review
+        )
+
+    out = out.unionByName(alone(left, left_key, left_amount, 0)).unionByName(alone(right, right_key, right_amount, 1))
+    return out.withColumn(
         "status",
         F.when(F.col("conclusion") == "needs_review", "needs_review")
         .when(F.col("conclusion").isin("match", "unique"), "match")

@@ -3,14 +3,13 @@ centroid (W4), softmax (W1), ranking (W2), decision assembly (P12),
 continuation split (W5), answer-only masks (P8).
 
 Scale notes
-- Tokens are pre-counted per (record, token) with a map-side aggregate before
-  any join, so a stop word repeated a million times in one document is one row.
+- Scoring never shuffles a text: tokens are exploded where the text is read,
+  meet the model, and leave the task as one partial sum per class.
 - The model table is (label, token) for tokens seen with a label; the score
   of unseen (label, token) pairs is a per-label constant folded in
   arithmetically, so the labels × vocabulary matrix is never materialised.
-- Joins against the model are plain equi-joins; Spark/AQE broadcast the model
-  when its measured size is under the threshold and otherwise shuffle-join
-  with skew splitting on hot tokens.
+- The model is a written table, so the planner knows its size: it is broadcast
+  under Spark's own threshold and otherwise joined by token, hot tokens split by AQE.
 - Softmax/ranking windows are partitioned by item: a group is one item's
   options, bounded by the option count, never by data size.
 """
@@ -23,21 +22,14 @@ from pyspark.sql import functions as F
 from arbiter.functions.subquery import attach_classes, class_array, row_value
 from arbiter.functions.text import tokens
 from arbiter.operators.ordinal import ordinal_within
+from arbiter.session import staged
 
-# Largest naive-Bayes model (vocabulary × class vector) shipped to every task.
-MODEL_BROADCAST_BYTES = 256 * 1024 * 1024
 
-
-# ---- P9 vocabulary ------------------------------------------------------------------
+def _cols(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, c): occurrences of each token per row, pre-aggregated."""
-    return (
-        df.select(key, F.explode(tokens(text)).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+# ---- P9 vocabulary ------------------------------------------------------------------
 
 
 def build_vocab(df: DataFrame, text: str) -> DataFrame:
@@ -61,13 +53,14 @@ def fit_nb(train: DataFrame, key: str = "rec_id", text: str = "state", label: st
     (label, token, delta) where delta = ln((c+1)/(N+V)) − ln(1/(N+V)) = ln(c+1).
     """
     n_docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_label"))
-    tc = token_counts(train.select(key, label, text), key, text)
-    lab = train.select(key, F.col(label).alias("label"))
-    lt = tc.join(lab, key).groupBy("label", "token").agg(F.sum("c").alias("c"))
-    # The model is a table (written once to the shared checkpoint folder), so
-    # scoring reads it instead of recomputing the fit in every branch.
-    lt = lt.checkpoint(eager=True)
-    n_docs = n_docs.checkpoint(eager=True)
+    lt = (
+        train.select(F.col(label).alias("label"), F.explode(tokens(text)).alias("token"))
+        .groupBy("label", "token")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    # The model is a table, so scoring reads it instead of recomputing the fit in every branch.
+    lt = staged(lt, "nb-counts")
+    n_docs = staged(n_docs, "nb-labels")
     n_tokens = lt.groupBy("label").agg(F.sum("c").alias("N"))
     vocab = lt.select("token").distinct()
     v = vocab.agg(F.count(F.lit(1)).alias("V"))
@@ -88,87 +81,44 @@ def _priors(n_docs: DataFrame, n_tokens: DataFrame, v: DataFrame, total: DataFra
 
 
 def score_nb(
-    docs: DataFrame, fitted: dict[str, DataFrame], key: str = "rec_id", text: str = "state", prior_only: bool = False
+    docs: DataFrame,
+    fitted: dict[str, DataFrame],
+    key: str | list[str] = "rec_id",
+    text: str = "state",
+    prior_only: bool = False,
 ) -> DataFrame:
-    """(key, label, logp) = log prior + Σ over in-vocabulary token
-    occurrences of ln P(token | label); tokens outside the vocabulary are ignored."""
-    priors = fitted["priors"]
-    items = docs.select(key)
-    labels = priors.select("label", "log_prior", "default_logp")
+    """(key columns, label, logp) = log prior + Σ over in-vocabulary token
+    occurrences of ln P(token | label); tokens outside the vocabulary are ignored.
+
+    Each vocabulary token carries a dense vector over the classes, vec[i] =
+    ln P(token | class i). An item's scores are sums of those vectors: one column a
+    class, added up before the only shuffle, which moves the key and the class sums.
+    """
+    keys = _cols(key)
+    labels = fitted["priors"].select("label", "log_prior", "default_logp")
     if prior_only:
-        return _per_label(items, labels, key).select(key, "label", F.col("log_prior").alias("logp"))
-    # One pass over the text: (key, token, c); explode_outer keeps items that
-    # have no token at all as a (key, null) row, so every item stays present.
-    tc = (
-        docs.select(key, F.explode_outer(tokens(text)).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count("token").alias("c"))
-    )
-    # The model keyed by token (one row per vocabulary token, ≤ K label entries):
-    # a token outside the vocabulary finds no row.
-    by_token = fitted["model"].groupBy("token").agg(
+        return attach_classes(docs.select(*keys), labels).select(*keys, "label", F.col("log_prior").alias("logp"))
+    classes = labels.orderBy("label").collect()  # the label set
+    deltas = fitted["model"].groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "delta"))).alias("deltas")
     )
-    rows = tc.join(by_token, "token", "left")
-    classes = class_array(labels)
-    if classes is None:  # very many classes: join-based form
-        n_in = rows.groupBy(key).agg(F.sum(F.when(F.col("deltas").isNotNull(), F.col("c")).otherwise(0)).alias("n_in"))
-        delta = (
-            rows.select(key, "c", F.explode("deltas").alias("label", "delta"))
-            .groupBy(key, "label")
-            .agg(F.sum(F.col("c") * F.col("delta")).alias("sum_delta"))
-        )
-        scored = _per_label(n_in, labels, key).join(delta, [key, "label"], "left")
-    else:
-        # Few classes: give each vocabulary token a dense vector over the
-        # classes, vec[i] = ln P(token | class i) = default_i + delta_i. An item's
-        # score is prior + Σ c·vec, so one explode of the vector per (item,
-        # token) row and one aggregate per (item, class) give every term; the
-        # text is tokenised and shuffled once, and no item or class is lost.
-        dense = by_token.select("token", "deltas", classes.alias("_classes")).select(
-            "token",
-            F.transform(
-                "_classes",
-                lambda cl: cl["default_logp"] + F.coalesce(F.element_at(F.col("deltas"), cl["label"]), F.lit(0.0)),
-            ).alias("vec"),
-        )
-        zeros = F.array_repeat(F.lit(0.0), F.size(classes))
-        # Size check on the model: vocabulary rows × class-vector bytes.
-        n_vocab, n_classes = fitted["vocab"].count(), labels.count()
-        if n_vocab * (8 * n_classes + 64) <= MODEL_BROADCAST_BYTES:
-            # Bounded model: broadcast it and cluster the texts by item once,
-            # so the token counts, the join and the per-class sums all run
-            # inside the item's partition — one shuffle of text, none of tokens.
-            tc = (
-                docs.select(key, text)
-                .repartition(key)
-                .select(key, F.explode_outer(tokens(text)).alias("token"))
-                .groupBy(key, "token")
-                .agg(F.count("token").alias("c"))
-            )
-            dense = F.broadcast(dense)
-        sums = (
-            tc.join(dense, "token", "left")
-            .select(key, "c", F.posexplode(F.coalesce("vec", zeros)).alias("idx", "v"))
-            .groupBy(key, "idx")
-            .agg(F.sum(F.col("c") * F.col("v")).alias("s"))
-        )
-        cls = F.get(classes, F.col("idx"))
-        return sums.select(key, cls["label"].alias("label"), (cls["log_prior"] + F.col("s")).alias("logp"))
-    return scored.select(
-        key,
-        "label",
-        (
-            F.col("log_prior")
-            + F.coalesce(F.col("n_in"), F.lit(0)) * F.col("default_logp")
-            + F.coalesce(F.col("sum_delta"), F.lit(0.0))
-        ).alias("logp"),
+    vec = [
+        (F.lit(c["default_logp"]) + F.coalesce(F.col("deltas")[c["label"]], F.lit(0.0))).alias(f"_v{i}")
+        for i, c in enumerate(classes)
+    ]
+    dense = staged(deltas.select("token", *vec), "nb-vectors")
+    # explode_outer keeps items without any token.
+    found = docs.select(*keys, F.explode_outer(tokens(text)).alias("token")).join(dense, "token", "left")
+    sums = found.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(f"_v{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(classes))]
     )
-
-
-def _per_label(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """One row per (item, class); the class table is bounded by the label set."""
-    return attach_classes(items, labels)
+    rows = [
+        F.struct(F.lit(c["label"]).alias("label"), (F.lit(c["log_prior"]) + F.col(f"_s{i}")).alias("logp"))
+        for i, c in enumerate(classes)
+    ]
+    if not rows:
+        return sums.select(*keys, F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("logp")).limit(0)
+    return sums.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.label", "_r.logp")
 
 
 # ---- W4 centroids ----------------------------------------------------------------------
@@ -193,11 +143,7 @@ def score_centroid(items: DataFrame, cents: DataFrame, key: str = "vec_id", vec:
     """
     per_class = cents.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "c"))).alias("_dc"))
     table = per_class.select("label", F.transform("_dc", lambda e: e["c"]).alias("centroid"))
-    classes = class_array(table)
-    if classes is None:  # very many classes: keyed join on the class table
-        x = items.select(key, F.posexplode(vec).alias("dim", "x"))
-        return x.join(cents, "dim").groupBy(key, "label").agg(F.sum(F.col("x").cast("double") * F.col("c")).alias("logp"))
-    with_classes = items.select(key, F.col(vec).alias("_v"), classes.alias("_classes"))
+    with_classes = items.select(key, F.col(vec).alias("_v"), class_array(table).alias("_classes"))
     dots = F.transform(
         "_classes",
         lambda cl: F.struct(
@@ -215,18 +161,18 @@ def score_centroid(items: DataFrame, cents: DataFrame, key: str = "vec_id", vec:
 # ---- W1 / W2 / P12 ------------------------------------------------------------------------
 
 
-def softmax(scores: DataFrame, item: str, logp: str = "logp", digits: int = 6) -> DataFrame:
+def softmax(scores: DataFrame, item: str | list[str], logp: str = "logp", digits: int = 6) -> DataFrame:
     """p = exp(lp − max) / Σ exp(lp − max) per item, rounded."""
-    w = Window.partitionBy(item)
+    w = Window.partitionBy(*_cols(item))
     z = F.exp(F.col(logp) - F.max(logp).over(w))
     return scores.withColumn("_z", z).withColumn(
         "p", F.round(F.col("_z") / F.sum("_z").over(w), digits)
     ).drop("_z")
 
 
-def rank_options(probs: DataFrame, item: str, pos: str = "pos") -> DataFrame:
+def rank_options(probs: DataFrame, item: str | list[str], pos: str = "pos") -> DataFrame:
     """Rank 1.. by p descending; ties keep option order."""
-    w = Window.partitionBy(item).orderBy(F.col("p").desc(), F.col(pos))
+    w = Window.partitionBy(*_cols(item)).orderBy(F.col("p").desc(), F.col(pos))
     return probs.withColumn("rank", F.row_number().over(w))
 
 

@@ -235,7 +235,8 @@ def a4_confusion(spark, sf_dir):
     "a4_confusion_wide",
     sql=lambda: f"""SELECT expected,
         count(*) FILTER (WHERE label = 'A') AS "A", count(*) FILTER (WHERE label = 'B') AS "B",
-        count(*) FILTER (WHERE label = 'C') AS "C", count(*) FILTER (WHERE label IS NULL) AS "<invalid>"
+        count(*) FILTER (WHERE label = 'C') AS "C", count(*) FILTER (WHERE label IS NULL) AS "<invalid>",
+        count(*) FILTER (WHERE label NOT IN ('A', 'B', 'C')) AS "<other>"
       FROM ({_scored_sql()}) WHERE expected IS NOT NULL GROUP BY 1""",
 )
 def a4_confusion_wide(spark, sf_dir):

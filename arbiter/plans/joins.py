@@ -71,10 +71,10 @@ def _recon(spark, sf_dir):
 
 def _recon_sql() -> str:
     return """WITH o AS (SELECT o_orderkey AS ref, count(*) AS l_n,
-          CAST(round(sum(o_totalprice), 2) AS DECIMAL(14,2)) AS a FROM orders GROUP BY 1),
+          CAST(round(sum(o_totalprice), 2) AS DECIMAL(24,2)) AS a FROM orders GROUP BY 1),
       l AS (SELECT l_orderkey AS ref, count(*) AS r_n,
           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
-                         * (1 + CAST(l_tax AS DECIMAL(4,2)))), 2) AS DECIMAL(14,2)) AS b
+                         * (1 + CAST(l_tax AS DECIMAL(4,2)))), 2) AS DECIMAL(24,2)) AS b
           FROM lineitem GROUP BY 1)
       SELECT coalesce(o.ref, l.ref) AS ref, a, b,
         CASE WHEN o.ref IS NULL OR l.ref IS NULL THEN 'needs_review'
@@ -96,6 +96,38 @@ def j6_reconcile_counts(spark, sf_dir):
     return _recon(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _boundary_sides(orders):
+    """Amounts a cent below, at and above the last cent within 10 %, and rows without a reference."""
+    k = F.col("o_orderkey")
+    ref = F.when(k % 11 != 0, k)
+    cents = (k % 9973) * 100 + 15
+    paid = cents + F.floor(cents / 10) + (k % 3 - 1)
+    hundredth = F.lit("0.01").cast("decimal(3,2)")
+    return (
+        orders.select(ref.alias("ref"), (paid.cast("long") * hundredth).alias("amount")),
+        orders.where(k % 13 != 0).select(ref.alias("ref"), (cents.cast("long") * hundredth).alias("amount")),
+    )
+
+
+@query(
+    "j6_boundary",
+    sql="""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS ref,
+          (o_orderkey % 9973) * 100 + 15 AS bc FROM orders),
+      l AS (SELECT ref, k, CAST((bc + bc // 10 + k % 3 - 1) * 0.01 AS DECIMAL(24,2)) AS a FROM o),
+      r AS (SELECT ref, k, CAST(bc * 0.01 AS DECIMAL(24,2)) AS b FROM o WHERE k % 13 <> 0)
+      SELECT l.ref, a, b, CASE WHEN b IS NULL THEN 'needs_review'
+          WHEN abs(a - b) * 10 <= abs(b) THEN 'match' ELSE 'mismatch' END AS status
+        FROM l LEFT JOIN r ON l.ref = r.ref WHERE l.ref IS NOT NULL
+      UNION ALL SELECT NULL, a, NULL, 'needs_review' FROM l WHERE ref IS NULL
+      UNION ALL SELECT NULL, NULL, b, 'needs_review' FROM r WHERE ref IS NULL""",
+)
+def j6_boundary(spark, sf_dir):
+    """J6 at the edge of the tolerance (half cents) and with rows that have no reference."""
+    left, right = _boundary_sides(Tables(spark, sf_dir).orders)
+    r = reconcile(left, right, "ref", "ref", F.col("amount"), F.col("amount"), tolerance=0.1, relative=True)
+    return r.select("ref", "a", "b", "status")
+
+
 J7_COLS = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus",

@@ -152,13 +152,13 @@ def raw_outputs() -> str:
             for i, w in enumerate(RAW_WRAPPERS)
         },
     )
-    return f"""SELECT 'priority' AS source, o_orderkey AS rec_id, o_orderpriority AS raw,
+    return f"""SELECT 'priority' AS source, CAST(o_orderkey AS VARCHAR) AS rec_id, o_orderpriority AS raw,
         ['URGENT', 'HIGH', 'LOW'] AS allowed FROM orders
       UNION ALL
-      SELECT 'assistant', conv_id * 1000 + turn, text, ['A', 'THE', 'LA'] FROM conversations
+      SELECT 'assistant', conv_id || ':' || turn, text, ['A', 'THE', 'LA'] FROM conversations
         WHERE role = 'assistant'
       UNION ALL
-      SELECT 'finance', rec_id, {wrap}, list_transform(options, lambda o: o.label)
+      SELECT 'finance', CAST(rec_id AS VARCHAR), {wrap}, list_transform(options, lambda o: o.label)
         FROM ({finance_set()}) f"""
 
 

@@ -89,7 +89,7 @@ def _request_body():
         F.col("props"), F.lit("}"),
     )
     return (
-        F.when(k == 0, F.substring(F.col("props"), 2, 1_000_000))
+        F.when(k == 0, F.substr(F.col("props"), F.lit(2)))
         .when(k == 1, F.col("props"))
         .when(k == 2, F.concat(F.lit("["), F.col("props"), F.lit("]")))
         .otherwise(good)

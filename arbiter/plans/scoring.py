@@ -104,7 +104,7 @@ def _decide(scores, key):
     """W1 → W2 → top row: label with the highest rounded p, ties by label order."""
     p = S.softmax(scores.withColumn("pos", F.ascii("label") - 65), key)
     r = S.rank_options(p, key)
-    return r.where(F.col("rank") == 1).select(key, "label", "p")
+    return r.where(F.col("rank") == 1).select(*([key] if isinstance(key, str) else key), "label", "p")
 
 
 def _decide_sql2(scores: str, key: str = "rec_id") -> str:
@@ -373,14 +373,12 @@ def p8_mask_examples(spark, sf_dir):
 def _batch_decisions(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.select("doc_id", _blob().alias("blob"))
     items, _err = R.split_states(docs, "blob", "doc_id")
-    # One long key per (batch, item); a batch holds far fewer than 10^6 states.
-    items = items.withColumn("item", F.col("doc_id") * 1_000_000 + F.col("item_no"))
-    top = _decide(S.score_nb(items.select("item", "state"), _fit(spark, sf_dir), "item", "state"), "item")
+    # The preview is cut before scoring and travels with the key, so no state is shuffled.
+    key = ["doc_id", "item_no", "preview"]
+    items = items.select("doc_id", "item_no", preview("state", 160).alias("preview"), "state")
+    top = _decide(S.score_nb(items, _fit(spark, sf_dir), key, "state"), key)
     keys = F.when(F.col("label") == "A", "good").otherwise("poor")
-    return items.join(top, "item").select(
-        "doc_id", "item_no", preview("state", 160).alias("preview"), "label", keys.alias("key"),
-        F.col("p").alias("confidence"),
-    )
+    return top.select(*key, "label", keys.alias("key"), F.col("p").alias("confidence"))
 
 
 def _batch_sql() -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,41 +42,38 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only choose our own
-    (a fresh folder under the system temp dir) when it is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that runs in one
+    process (``local[...]``: tests, bench, smoke check) may do without; it gets a fresh
+    folder under the system temp dir. On a cluster an unset folder is an error: executors
+    could not see one another's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="arbiter-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet scan of one table.
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    A file written as a single row group can only be read by one task, which
-    would run every per-row text operator on one core. When the scan has
-    fewer partitions than half the session's parallelism, rows are spread
-    round-robin to that parallelism; a warehouse-sized scan (thousands of
-    splits) is returned untouched.
+    Cuts the lineage, lets later readers prune columns, and gives joins a measured size.
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        try:
-            target = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # sessions without RDD access: leave the scan as it is
-            return df
-        if splits * 2 <= target:
-            df = df.repartition(target)
-    return df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of one table, as it lies."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class Tables:

@@ -391,19 +391,19 @@ def raw_outputs(orders: DataFrame, conversations: DataFrame) -> DataFrame:
     """(source, rec_id, raw, allowed) from three families of model-like text."""
     pri = orders.select(
         F.lit("priority").alias("source"),
-        F.col("o_orderkey").alias("rec_id"),
+        F.col("o_orderkey").cast("string").alias("rec_id"),
         F.col("o_orderpriority").alias("raw"),
         F.array(F.lit("URGENT"), F.lit("HIGH"), F.lit("LOW")).alias("allowed"),
     )
     conv = conversations.where(F.col("role") == "assistant").select(
         F.lit("assistant").alias("source"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("rec_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("rec_id"),
         F.col("text").alias("raw"),
         F.array(F.lit("A"), F.lit("THE"), F.lit("LA")).alias("allowed"),
     )
     wrap = finance_set(orders).select(
         F.lit("finance").alias("source"),
-        F.col("rec_id"),
+        F.col("rec_id").cast("string").alias("rec_id"),
         wrapped_answer(F.col("rec_id"), F.col("answer")).alias("raw"),
         F.transform("options", lambda o: o["label"]).alias("allowed"),
     )
