@@ -42,7 +42,7 @@ P = 17
 #: Shared values of K that the union sketch must show.
 EST = 14
 #: Rows of one list compared in a task at once (twice as many for two parts of a long list).
-BLOCK = 512
+BLOCK = 1024
 _U = np.uint64
 KEPT_WORDS = 1_000_000
 
