@@ -100,53 +100,76 @@ def _portions(raw: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield s, raw[s : s + PORTION + length - 1]
 
 
+def _anchors(part: np.ndarray, length: int) -> tuple[_Names, np.ndarray, np.ndarray]:
+    """(names, hash of every seed, per window its least seed: hash above, place in the low bits)."""
+    names, at = _Names(part), np.arange(len(part) - SEED + 1)
+    h = names.of(at, at + SEED)
+    # The low bits of a hash make room for the place: the leftmost wins ties.
+    return names, h, _window_min((h & ~_LOW) | at.astype(_U), length - SEED + 1)
+
+
+def _starts(changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs that begin where ``changes`` (of index 1, 2, ...) holds."""
+    lo = np.flatnonzero(np.concatenate([[True], changes]))
+    return lo, np.concatenate([lo[1:], [len(changes) + 1]]) - 1
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    if not parts:
+        return (np.empty(0, _U),) * 2 + (np.empty(0, np.int64),) * 2
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def _runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(anchor name, text name, first window, windows - 1) of every run of a text."""
     out = []
     for s, part in _portions(raw, length):
-        names, n = _Names(part), len(part)
-        at = np.arange(n - SEED + 1)
-        h = names.of(at, at + SEED)
-        # The least hash, the leftmost on ties: the low bits make room for the place.
-        least = _window_min((h & ~_LOW) | at.astype(_U), length - SEED + 1)
-        lo = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        hi = np.concatenate([lo[1:], [len(least)]]) - 1
+        names, h, least = _anchors(part, length)
+        lo, hi = _starts(least[1:] != least[:-1])
         out.append((h[(least[lo] & _LOW).astype(np.int64)], names.of(lo, hi + length), lo + s, hi - lo))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, _U),) * 2 + (np.empty(0, np.int64),) * 2
+    return _joined(out)
+
+
+def _spread(packed: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """(item number, window) of all windows of packed positions, windows counted from ``s``."""
+    n = (packed & ((1 << BITS) - 1)) + 1
+    item = np.repeat(np.arange(len(packed)), n)
+    return item, (packed >> BITS)[item] - s + np.arange(len(item)) - (np.cumsum(n) - n)[item]
 
 
 def _groups(raw: np.ndarray, runs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(shared name, text name, first window, windows - 1) of the window groups of given runs."""
     out = []
-    for packed in runs:
-        lo, n = int(packed) >> BITS, (int(packed) & ((1 << BITS) - 1)) + 1
-        part = raw[lo : lo + n + length - 1]
-        names = _Names(part)
-        at = np.arange(length - SEED + 1)
-        anchor = int(np.argmin(names.of(at, at + SEED) >> _U(BITS)))
-        block = (anchor - np.arange(n)) // STEP
-        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        last = np.concatenate([cut[1:], [n]]) - 1
-        core = anchor - block[cut] * STEP
+    for s, part in _portions(raw, length):
+        mine = runs[(runs >> BITS >= s) & (runs >> BITS < s + PORTION)]
+        if not len(mine):
+            continue
+        names, _, least = _anchors(part, length)
+        item, p = _spread(mine, s)
+        anchor = (least[p] & _LOW).astype(np.int64)
+        block = (anchor - p) // STEP
+        first, last = _starts((item[1:] != item[:-1]) | (block[1:] != block[:-1]))
+        cut, end, core = p[first], p[last], anchor[first] - block[first] * STEP
         # The group's place relative to its anchor is part of both names.
-        place = (block[cut] + 1).astype(_U)
-        inside = (anchor - cut).astype(_U)
+        place = (block[first] + 1).astype(_U)
+        inside = (anchor[first] - cut).astype(_U)
         out.append((
             _final(names.of(core, core + length - STEP + 1) + place),
-            _final(names.of(cut, last + length) + inside * _U(0x9E3779B97F4A7C15)),
-            cut + lo, last - cut,
+            _final(names.of(cut, end + length) + inside * _U(0x9E3779B97F4A7C15)),
+            cut + s, end - cut,
         ))
-    return tuple(np.concatenate(c) for c in zip(*out))
+    return _joined(out)
 
 
 def _windows(raw: np.ndarray, groups: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(shared name, window name, window, 0) of the single windows of given groups."""
     out = []
-    for packed, key in zip(groups, shared):
-        lo, n = int(packed) >> BITS, (int(packed) & ((1 << BITS) - 1)) + 1
-        names, p = _Names(raw[lo : lo + n + length - 1]), np.arange(n)
-        out.append((np.full(n, key, np.int64).view(_U), names.of(p, p + length), p + lo, np.zeros(n, np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out))
+    for s, part in _portions(raw, length):
+        mine = (groups >> BITS >= s) & (groups >> BITS < s + PORTION)
+        if mine.any():
+            item, p = _spread(groups[mine], s)
+            out.append((shared[mine][item].view(_U), _Names(part).of(p, p + length), p + s, np.zeros(len(p), np.int64)))
+    return _joined(out)
 
 
 def _first_in_text(short: np.ndarray, full: np.ndarray) -> np.ndarray:
