@@ -196,10 +196,15 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _rank(rows: DataFrame, name: str, deeper: bool) -> tuple[DataFrame, DataFrame | None]:
-    """One round over (short, full) pairs: (repeats, what the next round must look at)."""
+    """One round over (short, full) pairs: (repeats, what the next round must look at).
+
+    Each written table goes as soon as its last reader is written.
+    """
+    again = staged(rows.where("again").select("id", "at"), f"{name}-again")
     own = rows.where("NOT again").drop("again")
     shared = own.groupBy("short").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short")
     hits = staged(own.join(shared, "short", "left_semi"), f"{name}-hits")
+    drop_staged(rows)
     pairs = hits.groupBy("short", "full").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     if deeper:
         pairs = staged(pairs, f"{name}-pairs")
@@ -212,7 +217,8 @@ def _rank(rows: DataFrame, name: str, deeper: bool) -> tuple[DataFrame, DataFram
         told.select("id", "at", "short", (F.col("id") > F.col("first")).alias("repeat"), "several").where("repeat OR several"),
         f"{name}-told",
     )
-    repeats = told.where("repeat").select("id", "at").union(rows.where("again").select("id", "at"))
+    drop_staged(hits)
+    repeats = told.where("repeat").select("id", "at").union(again)
     return repeats, told.where("several AND NOT repeat").select("id", "at", "short") if deeper else None
 
 
@@ -237,8 +243,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     runs = staged(texts.mapInPandas(first, _ROWS), "runs")
     repeats1, deeper = _rank(runs, "runs", True)
-    again1 = staged(repeats1, "repeats1")
-    drop_staged(runs)
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
@@ -266,7 +270,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     items = _per_text(deeper.select("id", F.struct("at", "short").alias("items")), "items")
     windows = staged(texts.join(items.hint("shuffle_hash"), "id").mapInPandas(third, _ROWS), "windows")
     repeats3, _ = _rank(windows, "windows", False)
-    spans = staged(_per_text(again1.union(repeats2).union(repeats3), "at"), "spans")
+    spans = staged(_per_text(repeats1.union(repeats2).union(repeats3), "at"), "spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
