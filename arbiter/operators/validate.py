@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.functions.json import parse_json
 from arbiter.functions.text import py_strip
 
 FIELDS = ["state", "question", "options", "answer"]
@@ -37,7 +38,7 @@ def _blank_or_not_string(x: Column) -> Column:
 
 def parse_records(df: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``v`` (VARIANT, null when the body is not valid JSON)."""
-    return df.withColumn("v", F.try_parse_json(F.col(body)))
+    return df.withColumn("v", parse_json(F.col(body)))
 
 
 def violations_expr(v: Column) -> Column:
@@ -116,16 +117,22 @@ def parsed_label_distribution(records: DataFrame) -> DataFrame:
 def check_tickets(tickets: DataFrame, required_categories: list[str]) -> DataFrame:
     """ticket contract as one row of counts (all zero / true ⇒ valid)."""
     labels = F.transform("options", lambda o: o["label"])
-    cats = F.collect_set("category")
+    # Only required categories are gathered: the set stays as small as the list asked for.
+    cats = F.collect_set(F.when(F.col("category").isin(required_categories), F.col("category")))
+
+    def fault(holds: Column) -> Column:
+        """Rows where the rule does not hold; a null field breaks it, an empty table has none."""
+        return F.coalesce(F.sum((~F.coalesce(holds, F.lit(False))).cast("int")), F.lit(0))
+
     return tickets.agg(
         F.count(F.lit(1)).alias("n"),
         (F.count(F.lit(1)) - F.count_distinct("id")).alias("duplicate_ids"),
         (F.count(F.lit(1)) - F.count_distinct(F.sha2("state", 256))).alias("duplicate_states"),
-        F.sum((py_strip("state") == "").cast("int")).alias("blank_states"),
-        F.sum((py_strip("question") == "").cast("int")).alias("blank_questions"),
-        F.sum((F.size("options") < 2).cast("int")).alias("few_options"),
-        F.sum((~F.array_contains(labels, F.col("expected"))).cast("int")).alias("expected_not_in_labels"),
-        F.sum((F.size(F.array_distinct(labels)) != F.size(labels)).cast("int")).alias("duplicate_labels"),
+        fault(py_strip("state") != "").alias("blank_states"),
+        fault(py_strip("question") != "").alias("blank_questions"),
+        fault(F.size("options") >= 2).alias("few_options"),
+        fault(F.array_contains(labels, F.col("expected"))).alias("expected_not_in_labels"),
+        fault(F.size(F.array_distinct(labels)) == F.size(labels)).alias("duplicate_labels"),
         F.size(F.array_except(F.array(*[F.lit(c) for c in required_categories]), cats)).alias(
             "missing_categories"
         ),

@@ -126,6 +126,90 @@ def s4_parse_requests(spark, sf_dir):
     return okc.unionByName(bad).select(*cols)
 
 
+HARD_BATCHES = {
+    0: ('["a", "b "]', ["a", "b "], None),
+    1: ('["a", "b"] junk', None, "invalid JSON array"),
+    2: ('[null, true, false, "null"]', ["None", "True", "False", "null"], None),
+    3: ("[]", None, "empty batch"),
+    4: ("  ", None, "empty batch"),
+    5: ("x\n\n y \n\n", ["x", "y"], None),
+    6: ('["a"]["b"]', None, "invalid JSON array"),
+    7: ('["a"', None, "invalid JSON array"),
+}
+HARD_REQUESTS = {
+    0: ('{"options": "A: x", "state": "s"}', None, "A: x"),
+    1: ('{"options": "A: x"} junk}', "invalid JSON", None),
+    2: ('{"options": "A: x"}{"options": "A: y"}', "invalid JSON", None),
+    3: ('{"options": "A: x", "options": "B: y"}', None, "B: y"),
+    4: ("{'options': 'A: x'}", "invalid JSON", None),
+    5: ('"options"', "not an object", None),
+    6: ('{"options": ""}', "missing options", ""),
+    7: ('{"options": "A: x"}]', "invalid JSON", None),
+}
+_OPTS = '"options": [{"label": "A", "key": "k", "description": "d"}, {"label": "B", "key": "m", "description": "e"}]'
+HARD_BODIES = {
+    0: ('{"state": "s", "question": "q", ' + _OPTS + ', "answer": "A"}', None),
+    1: ('{"state": "s", "question": "q", ' + _OPTS + ', "answer": "A"} trailing', "invalid_json"),
+    2: ('"text": 1}', "invalid_json"),
+    3: ('{"state": "s", "question": "q", ' + _OPTS + ', "answer": "Z", "answer": "B"}', None),
+    4: ('{"state": "s", "question": "q", ' + _OPTS + ', "answer": "A", "answer": "Z"}', "answer_not_in_labels"),
+    5: ('{"state": "s"}{"state": "t"}', "invalid_json"),
+}
+
+
+def _pick(cases: dict, key):
+    return F.element_at(F.array(*[F.lit(c[0]) for c in cases.values()]), (key % len(cases) + 1).cast("int"))
+
+
+def _pick_sql(cases: dict, key: str, at: int) -> str:
+    vals = ", ".join("NULL" if c[at] is None else sql_str(c[at]) for c in cases.values())
+    return f"([{vals}])[{key} % {len(cases)} + 1]"
+
+
+@query(
+    "s3_hard_batches",
+    sql=lambda: "SELECT event_id, CAST(NULL AS INTEGER) AS item_no, NULL AS state, "
+    f"{_pick_sql(HARD_BATCHES, 'event_id', 2)} AS error FROM events WHERE {_pick_sql(HARD_BATCHES, 'event_id', 2)} IS NOT NULL"
+    + "".join(
+        f" UNION ALL SELECT event_id, {n + 1}, {sql_str(s)}, NULL FROM events WHERE event_id % {len(HARD_BATCHES)} = {k}"
+        for k, c in HARD_BATCHES.items() if c[1] for n, s in enumerate(c[1])
+    ),
+)
+def s3_hard_batches(spark, sf_dir):
+    """S3 on trailing text, several documents, non-string elements and empty batches."""
+    e = Tables(spark, sf_dir).events.select("event_id", _pick(HARD_BATCHES, F.col("event_id")).alias("blob"))
+    ok, err = R.split_states(e, "blob", "event_id")
+    none = F.lit(None)
+    return ok.select("event_id", F.col("item_no").cast("int").alias("item_no"), "state", none.cast("string").alias("error")).unionByName(
+        err.select("event_id", none.cast("int").alias("item_no"), none.cast("string").alias("state"), "error")
+    )
+
+
+@query(
+    "s4_hard_requests",
+    sql=lambda: f"SELECT event_id, {_pick_sql(HARD_REQUESTS, 'event_id', 1)} AS reason, "
+    f"{_pick_sql(HARD_REQUESTS, 'event_id', 2)} AS options_text FROM events",
+)
+def s4_hard_requests(spark, sf_dir):
+    """S4 on trailing text, two documents, repeated keys, single quotes and bare strings."""
+    e = Tables(spark, sf_dir).events.select("event_id", _pick(HARD_REQUESTS, F.col("event_id")).alias("body"))
+    ok, bad = R.parse_requests(e)
+    return ok.select("event_id", F.lit(None).cast("string").alias("reason"), "options_text").unionByName(
+        bad.select("event_id", "reason", "options_text")
+    )
+
+
+@query(
+    "f1_hard_bodies",
+    sql=lambda: f"SELECT event_id, {_pick_sql(HARD_BODIES, 'event_id', 1)} AS rule FROM events "
+    f"WHERE {_pick_sql(HARD_BODIES, 'event_id', 1)} IS NOT NULL",
+)
+def f1_hard_bodies(spark, sf_dir):
+    """F1 on trailing text, a bare member, two documents and repeated keys."""
+    e = Tables(spark, sf_dir).events.select("event_id", _pick(HARD_BODIES, F.col("event_id")).alias("body"))
+    return V.validate(V.parse_records(e), "event_id").select("event_id", "rule")
+
+
 # ---- S6 / S7 / S5 ---------------------------------------------------------------------
 
 
@@ -145,6 +229,16 @@ def s7_catalogue(spark, sf_dir):
     return R.catalogue(X.ticket_set(Tables(spark, sf_dir).orders))
 
 
+@query(
+    "s7_listing",
+    sql=lambda: f"SELECT id, category, tag, md5(state) AS state_md5, array_to_string(list_transform(options, lambda o: o.label), ',') AS labels, expected FROM ({O.ticket_set()})",
+)
+def s7_listing(spark, sf_dir):
+    """The tickets themselves."""
+    t = R.listing(X.ticket_set(Tables(spark, sf_dir).orders))
+    return t.select("id", "category", "tag", F.md5("state").alias("state_md5"), F.array_join("labels", ",").alias("labels"), "expected")
+
+
 # ---- F1 / F2 / A10 / A1 -------------------------------------------------------------------
 
 

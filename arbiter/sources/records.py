@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbiter.functions.json import json_text, parse_json
 from arbiter.functions.subquery import row_value
 from arbiter.functions.text import py_strip
 
@@ -66,8 +67,8 @@ def split_states(df: DataFrame, blob: str, batch_key: str) -> DataFrame:
     """
     raw = py_strip(F.coalesce(F.col(blob), F.lit("")))
     is_json = F.startswith(raw, F.lit("["))
-    arr = F.from_json(raw, "array<string>")
     # JSON elements are kept as they are; text blocks are stripped, empties dropped.
+    arr = F.transform(F.try_variant_get(parse_json(F.when(is_json, raw)), "$", "array<variant>"), json_text)
     blocks = F.filter(F.transform(F.split(raw, "\n\n", -1), py_strip), lambda s: s != "")
     states = F.when(is_json, arr).otherwise(blocks)
     # Parse once into columns; the error test and the explode read the columns
@@ -87,30 +88,10 @@ def split_states(df: DataFrame, blob: str, batch_key: str) -> DataFrame:
     ).select(batch_key, "error")
 
 
-def strict_json(text: Column) -> Column:
-    """try_parse_json that also rejects trailing content after the document.
-
-    Spark's parser stops after the first complete value (``"k": 1}`` parses
-    as the string "k"); a JSON document must end where its value ends, so
-    the last non-blank character has to agree with the parsed type.
-    """
-    v = F.try_parse_json(text)
-    t = F.schema_of_variant(v)
-    last = F.substring(F.regexp_replace(text, r"\s+$", ""), -1, 1)
-    ends_ok = (
-        F.when(F.startswith(t, F.lit("OBJECT")), last == "}")
-        .when(F.startswith(t, F.lit("ARRAY")), last == "]")
-        .when(t == "STRING", last == '"')
-        .when(t == "VOID", last == "l")
-        .when(t == "BOOLEAN", last == "e")
-        .otherwise(last.rlike("[0-9.]"))
-    )
-    return F.when(ends_ok, v)
-
-
 def parse_requests(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Request JSON → typed (state, question, options) or a rejection reason."""
-    v = strict_json(F.col(body))
+    df = df.withColumn("_v", parse_json(F.col(body)))
+    v = F.col("_v")
     is_obj = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     opts = F.try_variant_get(v, "$.options", "string")
     reason = (
@@ -125,26 +106,16 @@ def parse_requests(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFr
         F.coalesce(F.try_variant_get(v, "$.question", "string"), F.lit("")).alias("question"),
         opts.alias("options_text"),
     )
+    typed = typed.drop("_v")
     return typed.where(F.col("reason").isNull()).drop("reason"), typed.where(F.col("reason").isNotNull())
 
 
-TOP_K_INLINE = 100_000
-
-
 def head_n(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
     """First n rows in an explicit (total) order; 0 or None means all rows.
 
-    A small n is a top-k (each task keeps its best n, one merge). A large n
-    would gather n rows in one task, so it numbers rows with a range
-    partition instead and keeps positions below n, spread over all tasks.
+    Spark's top-k: each task keeps its best n and one merge ends it (n is the caller's).
     """
-    if not n:
-        return df
-    if n <= TOP_K_INLINE:
-        return df.orderBy(*order_cols).limit(n)
-    from arbiter.operators.ordinal import ordinal_within
-
-    return ordinal_within(df, [], order_cols, out="_head_pos").where(F.col("_head_pos") < n).drop("_head_pos")
+    return df.orderBy(*order_cols).limit(n) if n else df
 
 
 def catalogue(df: DataFrame) -> DataFrame:
@@ -152,6 +123,13 @@ def catalogue(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"))
 
 
+def listing(df: DataFrame) -> DataFrame:
+    """The listing itself, each ticket with the label it should get."""
+    return df.select(
+        "id", "category", "tag", "state", "question", F.transform("options", lambda o: o["label"]).alias("labels"), "expected"
+    )
+
+
 def export_results(
     summary: DataFrame, per_class: DataFrame, tickets: DataFrame, path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
