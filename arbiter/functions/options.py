@@ -110,8 +110,3 @@ def format_options(options: Column | str) -> Column:
         )
 
     return F.array_join(F.transform(col_(options), line), "\n")
-
-
-def format_options_text(text: Column | str) -> Column:
-    """P3 for a pre-formatted options string: only stripped."""
-    return py_strip(col_(text))

@@ -33,10 +33,6 @@ def render_prompt(
     )
 
 
-def render_record_prompt(options: str = "options", **kw) -> Column:
-    return render_prompt("state", "question", format_options(options), **kw)
-
-
 def render_training_text(prompt: Column, answer: Column | str) -> Column:
     """Prompt + upper(strip(answer)) + newline."""
     return F.concat(prompt, F.upper(py_strip(col_(answer))), F.lit("\n"))
@@ -86,7 +82,3 @@ def fit_state(
         folded["truncated"].alias("truncated"),
         folded["state"].alias("state"),
     )
-
-
-def answer_label(answer: Column | str) -> Column:
-    return norm_label(answer)

@@ -59,12 +59,6 @@ def money(c: Column | str) -> Column:
     return col_(c).cast("decimal(14,2)").cast("string")
 
 
-def pad_start(c: Column | str, width: int, fill: str = "0") -> Column:
-    """JS padStart: pads short strings, never truncates long ones."""
-    s = col_(c).cast("string")
-    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, fill))
-
-
 def template(tpl: str, values: dict[str, Column]) -> Column:
     """Render a ``{name}`` template as one ``concat`` (null in ⇒ null out).
 

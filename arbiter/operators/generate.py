@@ -59,8 +59,8 @@ def permute_options(df: DataFrame, shift: int = 1) -> DataFrame:
     )
 
 
-def perturb(records: DataFrame) -> DataFrame:
-    """Each record × the six probes → (rec_id, probe, state, options, expected).
+def perturb(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each record × the six probes → (rec_id, probe, state, options, expected, *keep).
 
     ``expected`` follows the first-hit rules on the perturbed evidence:
     injection / filler probes keep the answer; a currency conflict gives
@@ -90,6 +90,6 @@ def perturb(records: DataFrame) -> DataFrame:
         probe("option_ordering", st, rotated, remap_answer(opts, rotated, ans)),
         probe("long_state_evidence_at_end", F.concat(filler, F.lit(" "), st), opts, ans),
     )
-    return records.select("rec_id", "kind", F.explode(probes).alias("p")).select(
-        "rec_id", "kind", "p.probe", "p.state", "p.options", "p.expected"
+    return records.select("rec_id", "kind", *keep, F.explode(probes).alias("p")).select(
+        "rec_id", "kind", "p.probe", "p.state", "p.options", "p.expected", *keep
     )

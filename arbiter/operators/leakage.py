@@ -1,10 +1,10 @@
 """Cross-split leakage (J1) and global duplicate states.
 
-Both shuffle a 256-bit digest of STATE instead of the text, so the shuffle
-is ~40 bytes a row however long the documents are. The first owner of a
+Both shuffle a 256-bit digest of STATE instead of the text. The first owner of a
 state is found by a map-side combined ``min`` (a state repeated by a third of
-all rows collapses to one row per task before the shuffle), then joined back
-one-to-one; no window over a state group is ever formed.
+all rows collapses to one row per task before the shuffle). Joining it back is
+many-to-one: a hot leaked state is one key of that join, which adaptive execution
+splits; no window over a state group is ever formed.
 """
 
 from __future__ import annotations
@@ -25,16 +25,14 @@ def leakage(records: DataFrame, preview_chars: int = 80) -> DataFrame:
     ``records`` needs rec_id, split_rank (0 train, 1 valid, 2 test), state.
     Returns (first_split, split, rec_id, preview).
     """
-    keyed = records.select(
-        "rec_id",
-        "split_rank",
-        state_digest().alias("h"),
-        F.substring("state", 1, preview_chars).alias("preview"),
-    )
-    first = keyed.groupBy("h").agg(F.min("split_rank").alias("first_rank"))
-    leaks = keyed.join(first, "h").where(F.col("split_rank") > F.col("first_rank"))
+    keyed = records.select("rec_id", "split_rank", state_digest().alias("h"))
+    seen = keyed.groupBy("h").agg(F.min("split_rank").alias("first_rank"), F.max("split_rank").alias("last_rank"))
+    # Only states of several splits come back to the rows; their previews are fetched last.
+    first = seen.where("last_rank > first_rank").drop("last_rank")
+    leaks = keyed.join(first, "h").where(F.col("split_rank") > F.col("first_rank")).drop("h")
+    previews = records.select("rec_id", F.substring("state", 1, preview_chars).alias("preview"))
     names = F.array(*[F.lit(s) for s in SPLIT_NAMES])
-    return leaks.select(
+    return leaks.join(previews, "rec_id").select(
         F.get(names, F.col("first_rank")).alias("first_split"),
         F.get(names, F.col("split_rank")).alias("split"),
         "rec_id",

@@ -199,20 +199,21 @@ def compare_runs(base: DataFrame, tuned: DataFrame, key: str = "rec_id", by: lis
     )
 
 
-def filter_results(joined: DataFrame, which: str) -> DataFrame:
-    """all / correct / wrong / adversarial / variations over tickets ⟕ results.
-
-    ``wrong`` is scored and label ≠ expected, null labels included.
-    """
+def result_filters() -> dict[str, Column]:
+    """the condition of each filter; ``wrong`` is scored and label ≠ expected, null labels included."""
     scored = F.col("status").isNotNull()
-    preds = {
+    return {
         "all": F.lit(True),
         "correct": scored & F.equal_null(F.col("label"), F.col("expected")),
         "wrong": scored & ~F.equal_null(F.col("label"), F.col("expected")),
         "adversarial": F.col("adversarial").isNotNull(),
         "variations": F.col("variant").isNotNull(),
     }
-    return joined.where(preds[which])
+
+
+def filter_results(joined: DataFrame, which: str) -> DataFrame:
+    """all / correct / wrong / adversarial / variations over tickets ⟕ results."""
+    return joined.where(result_filters()[which])
 
 
 def pending(tickets: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:

@@ -12,7 +12,6 @@ from arbiter.plans import oracle_fixtures as O
 from arbiter.plans.registry import query
 from arbiter.session import Tables
 from arbiter.sources import fixtures as X
-from arbiter.sources.catalogue import ABSTAIN_TEXT
 
 # ---- shared builders ------------------------------------------------------------
 
@@ -310,6 +309,3 @@ def d5_found_counts(spark, sf_dir):
     allowed = F.array(F.lit("A"), F.lit("THE"), F.lit("LA"))
     found = F.array_distinct(F.regexp_extract_all(norm_label("text"), label_pattern(allowed), F.lit(1)))
     return c.groupBy(F.size(found).alias("n_found")).agg(F.count(F.lit(1)).alias("n"))
-
-
-_ = ABSTAIN_TEXT

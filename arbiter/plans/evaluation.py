@@ -215,8 +215,9 @@ def g5_perturb(spark, sf_dir):
 def a9_robustness(spark, sf_dir):
     """Pass rate per probe (label = expected) and how often the label moved."""
     f = X.finance_set(Tables(spark, sf_dir).orders)
-    base = decide_from_text(f).select("rec_id", F.col("label").alias("base_label"))
-    p = decide_from_text(G.perturb(f)).join(base, "rec_id")
+    # The unperturbed decision is made first and carried along: no join back.
+    base = decide_from_text(f).select(*f.columns, F.col("label").alias("base_label"))
+    p = decide_from_text(G.perturb(base, keep=("base_label",)))
     ok = F.equal_null(F.col("label"), F.col("expected"))
     return p.groupBy("probe").agg(
         F.count(F.lit(1)).alias("n"),
@@ -283,12 +284,11 @@ def j4_tickets_results(spark, sf_dir):
 )
 def f4_filter_results(spark, sf_dir):
     """size of each result filter (all / correct / wrong / adversarial / variations)."""
-    j = _joined(spark, sf_dir)
-    out = None
-    for which in ["all", "correct", "wrong", "adversarial", "variations"]:
-        part = M.filter_results(j, which).agg(F.count(F.lit(1)).alias("n")).select(F.lit(which).alias("filter"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = ["all", "correct", "wrong", "adversarial", "variations"]
+    holds = M.result_filters()
+    one = _joined(spark, sf_dir).agg(*[F.count(F.when(holds[n], 1)).alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(n).alias("filter"), F.col(n).alias("n")) for n in names])
+    return one.select(F.explode(rows).alias("r")).select("r.filter", "r.n")
 
 
 @query(

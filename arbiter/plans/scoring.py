@@ -348,7 +348,8 @@ def p8_mask_examples(spark, sf_dir):
     full = render_training_text(prompt, "answer")
     # The vocabulary covers the texts being encoded, so no token is dropped.
     vocab = S.build_vocab(d.select(full.alias("t")), "t").select("token", "id")
-    ex = d.select("rec_id", F.size(tokens(prompt)).alias("n_prompt"), tokens(full).alias("toks"))
+    # Only the first MASK_MAX_LEN tokens have a place in the example.
+    ex = d.select("rec_id", F.size(tokens(prompt)).alias("n_prompt"), F.slice(tokens(full), 1, MASK_MAX_LEN).alias("toks"))
     e = ex.select("rec_id", "n_prompt", F.posexplode("toks").alias("pos", "token"))
     ids = (
         e.join(vocab, "token")

@@ -16,7 +16,8 @@ from arbiter.operators import scoring as S
 from arbiter.plans import oracle_fixtures as O
 from arbiter.plans.decisions import _headline_sql, _tickets_decided_sql
 from arbiter.plans.records import _prompt_sql
-from arbiter.plans.registry import query
+from arbiter.plans.registry import REGISTRY, query
+from arbiter.plans.scoring import _decide_sql2
 from arbiter.session import Tables
 from arbiter.sources import fixtures as X
 from arbiter.sources.records import scratch_path
@@ -46,9 +47,23 @@ def t2_stats_stream(spark, sf_dir):
     """Running counts; the final snapshot gives the batch headline."""
     root, schema = _arrivals(spark, sf_dir)
     stats, ckpt = scratch_path(spark, "t2-stats"), scratch_path(spark, "t2-ckpt")
-    q = T.stats_stream(T.ticket_stream(spark, root, schema), stats, ckpt)
+    q = T.stats_stream(T.ticket_stream(spark, root, schema, files_per_trigger=1), stats, ckpt)
     q.awaitTermination()
-    return M.headline(spark.read.parquet(stats))
+    return M.headline(T.read_stats(spark, stats))
+
+
+@query(
+    "t2_stats_per_class",
+    sql=lambda: f"""SELECT expected, count(*) AS n, count(*) FILTER (WHERE label = expected) AS correct,
+        count(*) FILTER (WHERE label = expected) / count(*) AS accuracy
+      FROM ({_tickets_decided_sql()}) WHERE expected IS NOT NULL GROUP BY 1""",
+)
+def t2_stats_per_class(spark, sf_dir):
+    """Running recall per class from the newest snapshot."""
+    root, schema = _arrivals(spark, sf_dir)
+    stats, ckpt = scratch_path(spark, "t2-stats"), scratch_path(spark, "t2-ckpt")
+    T.stats_stream(T.ticket_stream(spark, root, schema, files_per_trigger=1), stats, ckpt).awaitTermination()
+    return M.per_class(T.read_stats(spark, stats))
 
 
 @query("t3_resume_stream", sql=lambda: f"SELECT id, label, status FROM ({_tickets_decided_sql()})")
@@ -91,9 +106,9 @@ def u1_scorer_hook(spark, sf_dir):
     return H.with_scorer(rows, H.length_stub_factory)
 
 
-@query("u1_hook_decisions")
+@query("u1_hook_decisions", sql=lambda: _decide_sql2(REGISTRY["u1_scorer_hook"].sql))
 def u1_hook_decisions(spark, sf_dir):
-    """U1 → W1 → W2: decisions from the user scorer (rows-only check)."""
+    """U1 → W1 → W2: decisions from the user scorer ."""
     scores = u1_scorer_hook(spark, sf_dir)
     p = S.softmax(scores, "rec_id")
     return S.rank_options(p, "rec_id").where(F.col("rank") == 1).select("rec_id", "label", "p")

@@ -17,12 +17,11 @@ from arbiter.operators.rules import classify
 DECISION_COLS = ["id", "expected", "conclusion", "label", "status"]
 
 
-def ticket_stream(spark: SparkSession, source_dir: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(source_dir)
-    )
+def ticket_stream(spark: SparkSession, source_dir: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source_dir)
 
 
 def classify_stream(stream: DataFrame, sink_dir: str, checkpoint: str, available_now: bool = True):
@@ -39,10 +38,11 @@ def classify_stream(stream: DataFrame, sink_dir: str, checkpoint: str, available
 
 
 def stats_stream(stream: DataFrame, stats_dir: str, checkpoint: str, available_now: bool = True):
-    """Running (expected, label) counts; each batch replaces the snapshot.
+    """Running (expected, label) counts; each batch writes a snapshot folder of its own.
 
     The aggregate is labels² rows however many tickets arrive, so the
-    complete-mode state and the snapshot stay small.
+    complete-mode state and the snapshot stay small. Readers take the newest complete
+    one (``read_stats``), so none ever sees half a snapshot.
     """
     cells = (
         classify(stream)
@@ -50,14 +50,20 @@ def stats_stream(stream: DataFrame, stats_dir: str, checkpoint: str, available_n
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(stats_dir)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{stats_dir}/epoch={epoch}")
 
     writer = cells.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def read_stats(spark: SparkSession, stats_dir: str) -> DataFrame:
+    """The newest snapshot of ``stats_stream``."""
+    all_ = spark.read.parquet(stats_dir)
+    return all_.where(F.col("epoch") == all_.agg(F.max("epoch")).scalar()).drop("epoch")
+
+
 def resumable_stream(stream: DataFrame, results_dir: str, checkpoint: str, available_now: bool = True):
     """Append only tickets whose id has no result yet.
 

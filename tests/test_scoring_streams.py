@@ -36,8 +36,8 @@ def test_vocab_ids_are_a_ranking(spark):
     assert w.where(F.col("rk") != F.col("id")).count() == 0
 
 
-def test_nb_paths_agree(spark, monkeypatch):
-    """The broadcast path and the shuffle-join path give the same scores."""
+def test_nb_paths_agree(spark):
+    """The planner's broadcast join and its shuffle join give the same scores."""
     from arbiter.session import Tables
     from arbiter.sources import fixtures as X
 
@@ -45,8 +45,10 @@ def test_nb_paths_agree(spark, monkeypatch):
     d = X.d_set(t.documents, t.labels)
     fitted = S.fit_nb(d.where(F.col("split") == "train"))
     a = {(r.rec_id, r.label): round(r.logp, 6) for r in S.score_nb(d, fitted).collect()}
-    monkeypatch.setattr(S, "MODEL_BROADCAST_BYTES", 0)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     b = {(r.rec_id, r.label): round(r.logp, 6) for r in S.score_nb(d, fitted).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert a == b and len(a) == 2 * d.count()
 
 
@@ -115,3 +117,21 @@ def test_every_query_has_a_builder_and_most_an_oracle():
     assert set(sql) <= set(qs)
     assert len(qs) >= 70
     assert set(qs) - set(sql) == {"u1_hook_decisions"}
+
+
+def test_quantiles_hot_value_and_null_group(spark):
+    rows = [(None if i % 5 == 0 else "g", 0.0 if i % 3 else float(i % 97)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in group_quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for g in ("g", None):
+        vs = sorted(v for k, v in rows if k == g)
+        assert got[g] == (vs[min(len(vs) - 1, int(0.5 * len(vs)))], vs[min(len(vs) - 1, int(0.95 * len(vs)))])
+    one = group_quantiles(df, [], "v", {"p50": 0.5}).first()
+    assert one.p50 == 0.0
+
+
+def test_centroids_keep_empty_and_null_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], "vec_id long, embedding array<double>, label string")
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None)], "vec_id long, embedding array<double>")
+    rows = S.score_centroid(items, S.centroids(v)).collect()
+    assert sorted((r.vec_id, r.label) for r in rows) == [(i, c) for i in (1, 2, 3) for c in "ab"]
