@@ -162,7 +162,8 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(split, regex.V0).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        longest = sorted(self.special, key=len, reverse=True)
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")")
         shown = byte_alphabet()
         self.inner = [vocab[c] for c in shown]
         self.last = [vocab[c + self.suffix] for c in shown]
@@ -211,7 +212,7 @@ class WordBpe:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text in order, as portions of little-endian 32-bit integers."""
-        for part in self.specials.split(text) if "<|" in text else (text,):
+        for part in self.specials.split(text) if any(s in text for s in self.special) else (text,):
             if part in self.special:
                 yield np.asarray([self.special[part]], "<u4").tobytes()
                 continue

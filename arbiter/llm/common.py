@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,20 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbiter.session import ensure_checkpoint_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a folder is created here.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    named = named or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir`` of the session)."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

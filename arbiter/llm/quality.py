@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,12 +285,13 @@ def keep_good(
     model = fit(docs, id_col, text_col, sample)
     w, posterior = model["weights"], model["bad"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             keep = []
-            for t in pdf["_t"]:
+            for t in batch.column(batch.num_columns - 1).to_pylist():
                 bad, short = _judge(t, w)
                 keep.append((posterior[votes(t)] if short else bad) < reject)
-            yield pdf.loc[keep, pdf.columns[:-1]]
+            # Arrow hands the other columns through as they are, whatever their types.
+            yield batch.select([*range(batch.num_columns - 1)]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("_t", F.col(text_col)).mapInPandas(run, docs.schema)
+    return docs.withColumn("_t", F.col(text_col)).mapInArrow(run, docs.schema)
