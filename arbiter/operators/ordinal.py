@@ -77,7 +77,8 @@ def group_quantiles(
     position, and only the distinct values of those bins are counted and ordered. A
     value on a third of all rows is one (value, count) row a task.
     """
-    data = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col(value_col).isNotNull())
+    # Read three times, so whatever computes the values runs once.
+    data = staged(df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col(value_col).isNotNull()), "values")
     key = [F.col(c) for c in group_cols]
     cuts = staged(
         data.groupBy(*key).agg(

@@ -366,6 +366,39 @@ def s5_export_summary(spark, sf_dir):
     )
 
 
+@query(
+    "s5_export_document",
+    sql=lambda: f"""WITH r AS (SELECT * FROM ({_joined_sql()}) WHERE status IS NOT NULL)
+      SELECT 'summary' AS section, '' AS key, NULL AS label, count(*) AS n, count(*) FILTER (WHERE label = expected) AS correct,
+        round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 4) AS throughput_per_sec FROM r
+      UNION ALL SELECT 'class', expected, NULL, count(*), count(*) FILTER (WHERE label = expected), NULL FROM r GROUP BY expected
+      UNION ALL SELECT 'ticket', id, label, 1, CASE WHEN label = expected THEN 1 ELSE 0 END, NULL FROM r""",
+)
+def s5_export_document(spark, sf_dir):
+    """The whole export as one table: summary with throughput, one row a class, one row a ticket."""
+    r = results(spark, sf_dir)
+    tk = X.ticket_set(Tables(spark, sf_dir).orders).select("id", "expected")
+    j = r.join(tk, "id").withColumn("hit", F.coalesce(F.col("label") == F.col("expected"), F.lit(False)).cast("long"))
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    run = M.run_stats(j.withColumn("c", F.col("client_ms")), "latency_ms", "c", "ts").select("throughput")
+    total = j.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("correct"))
+    speed = F.round(row_value(run)["throughput"], 4)
+    per = j.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("correct"))
+
+    def section(name, df, key, label, last):
+        return df.select(
+            F.lit(name).alias("section"), key.alias("key"), label.alias("label"),
+            F.col("n").cast("long").alias("n"), F.col("correct").cast("long").alias("correct"), last.alias("throughput_per_sec"),
+        )
+
+    lines = j.select("id", "label", F.lit(1).alias("n"), F.col("hit").alias("correct"))
+    return (
+        section("summary", total, F.lit(""), text, speed)
+        .unionByName(section("class", per, F.col("expected"), text, none))
+        .unionByName(section("ticket", lines, F.col("id"), F.col("label"), none))
+    )
+
+
 # ---- A8 / A12 ----------------------------------------------------------------------------------
 
 
