@@ -103,7 +103,8 @@ def mix(
 
     ``weights``: (source, rows, weight), e.g. of `capped_weights`. ``position`` orders the mix.
     """
-    plan = staged(template(in_ticks(weights)), "schedule")
+    # Written first: inside the schedule's lambdas the weights would be computed anew for every slot.
+    plan = staged(template(staged(in_ticks(weights), "ticks")), "schedule")
     rows = weights.agg(F.sum("rows")).first()[0] or 0
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"))
     d = with_position(d.withColumn("seed", F.lit(SEED)), ["source"], ["id", "seed"], "n", rows).drop("seed")
