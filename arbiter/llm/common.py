@@ -46,7 +46,7 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
 
 
 def with_position(
-    df: DataFrame, group: list[str], order: list[str], out: str, rows: int, per_bucket: int = 20_000
+    df: DataFrame, group: list[str], order: list[str], out: str, rows: int, per_bucket: int = 5_000
 ) -> DataFrame:
     """Add ``out``: the 0-based position of a row in its group, in the order of ``order``' hash.
 
