@@ -30,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.llm.common import sole
+
 #: Pieces up to this many bytes are remembered; the table is emptied when it holds so many.
-KEPT_PIECE, KEPT_PIECES = 48, 400_000
+KEPT_PIECE, KEPT_PIECES = 48, 250_000
 #: Symbols a transducer takes in before it looks for stable tokens.
 STEP = 2048
 #: Characters of text per front-end window (extended to the next white space).
@@ -282,6 +284,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
+        sole(bpe.pieces)
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
@@ -306,6 +309,7 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
+        sole(bpe.pieces)
         for pdf in batches:
             ids = [np.frombuffer(b"".join(bpe.encode(t or "")), "<u4").astype(np.int32) for t in pdf["text"]]
             yield pd.DataFrame({id_col: pdf["id"], "n_tokens": [len(x) for x in ids], "ids": ids})
@@ -320,6 +324,7 @@ def decode_table(encoded: DataFrame, path: str, id_col: str = "doc_id", spaced:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
+        sole(bpe.pieces)
         for pdf in batches:
             texts = []
             for ids in pdf["ids"]:

@@ -41,6 +41,21 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_TABLES: list[dict] = []
+
+
+def sole(*tables: dict) -> None:
+    """Keep only these lookup tables of a Python worker; those of other operators are emptied.
+
+    A worker serves one operator after another, and each remembers words or pieces. Called where a
+    partition starts, so a worker never holds the tables of two operators.
+    """
+    for t in _TABLES:
+        if not any(t is mine for mine in tables):
+            t.clear()
+    _TABLES[:] = tables
+
+
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

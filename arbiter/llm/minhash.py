@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import blocks, by_block, components, forest, framed, in_blocks, shared_counts, staged
+from arbiter.llm.common import blocks, by_block, components, forest, framed, in_blocks, shared_counts, sole, staged
 
 K = 32
 #: Lists a larger set enters: sketches sharing K - P + 1 values meet in one of them.
@@ -44,7 +44,7 @@ EST = 14
 #: Rows of one list compared in a task at once (twice as many for two parts of a long list).
 BLOCK = 1024
 _U = np.uint64
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 class _Words(dict):
@@ -85,6 +85,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int = K
     """(id, n, set_id, sketch) of every document; ``sketch``: the k least hashes, ascending."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole(_WORDS)
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
@@ -152,6 +153,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole(_WORDS)
         last, mine = None, None
         for pdf in batches:
             keep = []
@@ -214,6 +216,7 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
     rows = by_block(live.join(texts, "id"))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole(_WORDS)
         for b in blocks(batches):
             sets = [shingle_hashes(t, words) for t in b["text"]]
             for x, y in _halves(b):

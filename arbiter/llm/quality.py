@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import staged
+from arbiter.llm.common import sole, staged
 
 #: Documents that train the scorer, and the size of its hashed weight vector.
 SAMPLE, DIMENSIONS = 3000, 1 << 12
@@ -33,7 +33,7 @@ SAMPLE, DIMENSIONS = 3000, 1 << 12
 REJECT = 0.8
 #: A shorter text shows too few shapes for the scorer: its votes alone decide.
 MIN_WORDS = 8
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = frozenset(
@@ -231,6 +231,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole(_WORDS, _SHAPES)
         for pdf in batches:
             pdf["votes"] = [votes(t) for t in pdf["text"]]
             yield pdf[["id", "votes"]]
@@ -245,6 +246,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     picked = staged(voted.where(F.xxhash64("id", F.lit(4)) <= F.lit(min(bound, 2**63 - 1))).limit(2 * sample), "sample")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole(_WORDS, _SHAPES)
         for pdf in batches:
             yield pd.DataFrame({"votes": pdf["votes"], "f": [np.sort(features(t)).astype(np.int32) for t in pdf["text"]]})
 
@@ -262,6 +264,7 @@ def classify(
     w, posterior = model["weights"], model["bad"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole(_WORDS, _SHAPES)
         for pdf in batches:
             found = [_judge(t, w) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "bad": [f[0] for f in found], "short": [f[1] for f in found]})
@@ -286,6 +289,7 @@ def keep_good(
     w, posterior = model["weights"], model["bad"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_WORDS, _SHAPES)
         for batch in batches:
             keep = []
             for t in batch.column(batch.num_columns - 1).to_pylist():

@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.llm.common import sole
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-KEPT_SEGMENT, KEPT_SEGMENTS = 64, 400_000
+KEPT_SEGMENT, KEPT_SEGMENTS = 64, 250_000
 
 
 class Unigram(dict):
@@ -116,6 +118,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
+        sole(model)
         for pdf in batches:
             found = [model.of(t) for t in pdf["text"]]
             yield pd.DataFrame(
