@@ -1,17 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling. DataFrame functions only.
 
-Each source's documents, in a seeded order, are cut into blocks. Block i of a source of weight w is
-released at slot floor(i / w) and due by slot ceil((i + 1) / w); in each slot the released block
-with the earliest deadline runs. Windows of this kind, with weights adding up to one, always have a
-schedule, and at every slot each source has had its due share to within less than one block.
+The mix is as large as the target weights allow: ``take`` rows of each source, so that the source
+scarcest for its weight is used up and no other falls short. Each source's documents, in a seeded
+order, are cut into blocks.
 
-Weights are whole ticks of one period, so the schedule repeats: it is computed for one period (an
-``aggregate`` over the period's slots; its size depends on the number of sources only) and joined
-to the blocks by (source, place in the period). All blocks are placed at once, no row waits for
-another.
+The slots repeat in periods. A source has a whole number of ticks in a period, at least its exact
+share, and tick j of a source with t ticks is released at slot floor(j * period / t) and due by slot
+ceil((j + 1) * period / t); in each slot the released tick with the earliest deadline runs. Windows of
+this kind always have a schedule. It is computed for one period (an ``aggregate`` over the period's
+slots; its size depends on the number of sources only) and joined to the blocks by (source, place in
+the period). All blocks are placed at once, no row waits for another.
 
-The mix holds its weights up to the slot where the first source runs out (the horizon);
-``in_mix`` tells which documents stand before it. Every row is returned.
+Rounding shares up to ticks leaves a source more ticks than blocks; its blocks take them at even
+distances over the whole mix and the other slots stay empty. So a source of two blocks has one at
+the start and one half-way, every source ends with the mix, and none ends it for the others. At every
+slot a source has had its due share to within less than two blocks (one, where it uses all its ticks).
+
+``in_mix`` tells which documents the mix takes. Every row is returned; those it does not take follow
+after the mix or, in the last block taken of a source, behind the rows taken.
 
 Defined results: null is a source of its own; an empty source does not exist; equal ids are ordered
 arbitrarily among themselves; an empty table gives an empty result; extra columns are ignored.
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from arbiter.llm.common import staged, with_position
 
-#: Documents of a block; ticks of a period for each source (the weights' resolution).
+#: Documents of a block; slots of a period for each source.
 BLOCK, TICKS_PER_SOURCE, SEED = 16, 64, 11
 
 
@@ -42,26 +48,34 @@ def capped_weights(docs: DataFrame, cap: float, source_col: str = "source") -> D
     return n.select("source", "rows", F.when(big, F.lit(cap)).otherwise(share).alias("weight"))
 
 
-def in_ticks(weights: DataFrame) -> DataFrame:
-    """(source, ticks, period): weights as whole ticks by largest remainder, one tick at least.
+def in_ticks(weights: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(period, s): one row; ``s`` has source, rows, take, blocks, ticks and span of every source.
 
-    A period has a power of two of slots, about ``TICKS_PER_SOURCE`` for each source.
+    ``take`` is the source's rows in the mix, ``blocks`` what they fill, ``ticks`` its slots of one
+    period (its exact share, rounded up) and ``span`` its slots in the whole mix (``blocks`` or more).
+    A period has about ``TICKS_PER_SOURCE`` slots for each source, or those of the whole mix.
     """
-    w = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "weight", "rows"))).alias("s"))
-    period = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("s"), F.lit(1)) * TICKS_PER_SOURCE))).cast("int")
-    w = w.withColumn("period", period).where(F.size("s") > 0)
-    total = F.aggregate("s", F.lit(0.0).cast("double"), lambda a, x: a + x["weight"])
-    # One tick each, the others by weight: floors first, then the largest remainders.
-    spare = F.col("period") - F.size("s")
+    w = weights.groupBy().agg(
+        F.sort_array(F.collect_list(F.struct("source", "weight", "rows"))).alias("s"),
+        F.min(F.col("rows") / F.col("weight")).alias("size"),
+    ).where(F.size("s") > 0)
+    # The thousandth of a row is for the last bits of weight * (rows / weight).
     w = w.withColumn("s", F.transform("s", lambda x: F.struct(
-        x["source"].alias("source"), x["rows"].alias("rows"), (x["weight"] / total * spare).alias("exact"))))
-    w = w.withColumn("left", (spare - F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.floor(x["exact"]))).cast("int"))
-    order = F.array_sort(F.transform("s", lambda x, i: F.struct(
-        (F.floor(x["exact"]) - x["exact"]).alias("r"), i.alias("i"))))
-    w = w.withColumn("more", F.transform(F.slice(order, F.lit(1), F.col("left")), lambda o: o["i"]))
-    return w.select("period", F.transform("s", lambda x, i: F.struct(
         x["source"].alias("source"), x["rows"].alias("rows"),
-        (F.floor(x["exact"]) + 1 + F.array_contains("more", i).cast("int")).cast("int").alias("ticks"))).alias("s"))
+        F.least(x["rows"], F.floor(x["weight"] * F.col("size") + 0.001)).alias("take"))))
+    w = w.withColumn("s", F.transform("s", lambda x: F.struct(
+        x["source"].alias("source"), x["rows"].alias("rows"), x["take"].alias("take"),
+        F.greatest(F.ceil(x["take"] / block), F.lit(1)).alias("blocks"))))
+    w = w.withColumn("slots", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["blocks"]))
+    share = F.least(F.col("slots"), F.pow(F.lit(2), F.ceil(F.log2(F.size("s") * TICKS_PER_SOURCE))).cast("long"))
+    w = w.withColumn("share", share).withColumn("s", F.transform("s", lambda x: F.struct(
+        x["source"].alias("source"), x["rows"].alias("rows"), x["take"].alias("take"), x["blocks"].alias("blocks"),
+        F.ceil(x["blocks"] * F.col("share") / F.col("slots")).cast("int").alias("ticks"))))
+    w = w.withColumn("turns", F.array_max(F.transform("s", lambda x: F.ceil(x["blocks"] / x["ticks"]))))
+    return w.select(
+        F.aggregate("s", F.lit(0), lambda a, x: a + x["ticks"]).alias("period"),
+        F.transform("s", lambda x: x.withField("span", x["ticks"] * F.col("turns"))).alias("s"),
+    )
 
 
 def _earliest_deadline(s: Column, period: Column) -> Column:
@@ -86,14 +100,12 @@ def _earliest_deadline(s: Column, period: Column) -> Column:
 
 
 def template(ticks: DataFrame) -> DataFrame:
-    """(source, place, slot, ticks, period, rows): the schedule of one period."""
+    """(source, rows, take, blocks, ticks, span, period, place, slot): the schedule of one period."""
     t = ticks.select("period", "s", _earliest_deadline(F.col("s"), F.col("period")).alias("slots"))
     t = t.select("period", "s", F.posexplode("slots").alias("slot", "i"))
     places = t.groupBy("i").agg(F.sort_array(F.collect_list("slot")).alias("at"), F.first("s").alias("s"), F.first("period").alias("period"))
     x = F.col("s")[F.col("i")]
-    return places.select(
-        x["source"].alias("source"), x["ticks"].alias("ticks"), x["rows"].alias("rows"), "period", F.posexplode("at").alias("place", "slot")
-    )
+    return places.select(x.alias("x"), "period", F.posexplode("at").alias("place", "slot")).select("x.*", "period", "place", "slot")
 
 
 def mix(
@@ -101,35 +113,33 @@ def mix(
 ) -> DataFrame:
     """One row per document: id, source, block, release, deadline, slot, position, in_mix.
 
-    ``weights``: (source, rows, weight), e.g. of `capped_weights`. ``position`` orders the mix.
+    ``weights``: (source, rows, weight), e.g. of `capped_weights`. ``release`` and ``deadline`` are the
+    window of the tick the block takes; ``position`` orders the mix.
     """
     # Written first: inside the schedule's lambdas the weights would be computed anew for every slot.
-    plan = staged(template(staged(in_ticks(weights), "ticks")), "schedule")
+    plan = staged(template(staged(in_ticks(weights, block), "ticks")), "schedule")
     rows = weights.agg(F.sum("rows")).first()[0] or 0
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"))
     d = with_position(d.withColumn("seed", F.lit(SEED)), ["source"], ["id", "seed"], "n", rows).drop("seed")
     d = d.withColumn("block", F.floor(F.col("n") / block))
-    per = plan.groupBy("source").agg(
-        F.first("ticks").alias("ticks"), F.first("period").alias("period"), F.first("rows").alias("rows"),
+    per = staged(plan.groupBy("source").agg(
+        *[F.first(c).alias(c) for c in ("take", "blocks", "ticks", "span", "period")],
         F.sort_array(F.collect_list(F.struct("place", "slot"))).alias("at"),
-    )
-    # The first slot that would need a block a source no longer has ends the mix.
-    per = per.withColumn("blocks", F.ceil(F.col("rows") / block)).withColumn(
-        "ends", (F.floor(F.col("blocks") / F.col("ticks")) * F.col("period")
-                 + F.col("at")[F.pmod("blocks", "ticks").cast("int")]["slot"]))
-    ends = staged(per, "sources")
-    horizon = ends.agg(F.min("ends")).first()[0] or 0
+    ), "sources")
     # One row per source: where they are few, a hot source stays spread over all tasks.
-    j = d.join(F.broadcast(ends) if _few(ends) else ends, d["source"].eqNullSafe(ends["source"]))
-    turn, place = F.floor(F.col("block") / F.col("ticks")), F.pmod("block", "ticks").cast("int")
+    j = d.join(F.broadcast(per) if _few(per) else per, d["source"].eqNullSafe(per["source"]))
+    # Block i takes tick ceil(i * span / blocks): another one for every block, in even steps.
+    j = j.select("id", d["source"].alias("source"), "n", "block", "take", "ticks", "period", "at",
+                 F.expr("block + (block * (span - blocks) + blocks - 1) div blocks").alias("tick"))
+    turn, place = F.floor(F.col("tick") / F.col("ticks")), F.pmod("tick", "ticks").cast("int")
     slot = turn * F.col("period") + F.col("at")[place]["slot"]
     return j.select(
-        "id", d["source"].alias("source"), "block",
-        F.floor(F.col("block") * F.col("period") / F.col("ticks")).alias("release"),
-        F.ceil((F.col("block") + 1) * F.col("period") / F.col("ticks")).alias("deadline"),
+        "id", "source", "block",
+        F.floor(F.col("tick") * F.col("period") / F.col("ticks")).alias("release"),
+        F.ceil((F.col("tick") + 1) * F.col("period") / F.col("ticks")).alias("deadline"),
         slot.cast("long").alias("slot"),
         (slot * block + F.pmod(F.col("n"), F.lit(block))).cast("long").alias("position"),
-        (slot < F.lit(horizon)).alias("in_mix"),
+        (F.col("n") < F.col("take")).alias("in_mix"),
     )
 
 

@@ -61,6 +61,29 @@ def test_mix_keeps_every_block_in_its_window(spark):
             assert sum(r.deadline <= t for r in b) <= served <= sum(r.release < t for r in b)
 
 
+def _sized(spark, sizes: dict):
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    return spark.createDataFrame(rows, "doc_id long, source string")
+
+
+def test_small_sources_do_not_end_the_mix(spark):
+    """A tiny and a null source leave all the others at their exact weights."""
+    sizes = {f"s{k:02d}": 700 for k in range(19)} | {"hot": 6650, "tiny": 5, None: 37}
+    rows = _mix(spark, _sized(spark, sizes))
+    kept = collections.Counter(r.source for r in rows if r.in_mix)
+    rest = sum(n for s, n in sizes.items() if s != "hot")
+    assert kept == {s: n for s, n in sizes.items() if s != "hot"} | {"hot": rest // 3}
+    even = {f"s{k:02d}": 700 for k in range(20)} | {None: 100}
+    assert all(r.in_mix for r in _mix(spark, _sized(spark, even)))
+    # Shares hold all along, not just at the end, and no slot is given twice.
+    blocks = {(r.source, r.block): r.slot for r in rows if r.in_mix}
+    assert len(set(blocks.values())) == len(blocks)
+    end = max(blocks.values()) + 1
+    for s, n in collections.Counter(s for s, _ in blocks).items():
+        at = sorted(t for (x, _), t in blocks.items() if x == s)
+        assert all(abs(i - t * n / end) < 2.05 for i, t in enumerate(at))
+
+
 def test_mix_of_edge_tables(spark):
     assert _mix(spark, H.empty_docs(spark)) == []
     one = spark.createDataFrame([(1, "x", None), (1, "x", None)], "doc_id long, text string, source string")
