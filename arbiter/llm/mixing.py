@@ -25,6 +25,8 @@ arbitrarily among themselves; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +37,25 @@ BLOCK, TICKS_PER_SOURCE, SEED = 16, 64, 11
 
 
 def capped_weights(docs: DataFrame, cap: float, source_col: str = "source") -> DataFrame:
-    """(source, rows, weight): shares of the rows; those above ``cap`` (1 / sources at least) are
-    set to it and the rest is spread over the other sources in proportion to their rows."""
+    """(source, rows, weight): shares of the rows, none above ``cap`` (1 / sources at least).
+
+    Sources above it are set to it and the rest is spread over the others in proportion to their
+    rows; the largest of those may then be above it in turn, so the level is solved for all of them.
+    """
     n = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
     n = staged(n, "source-rows")
     total, m = n.agg(F.sum("rows"), F.count(F.lit(1))).first()
-    total, cap = total or 0, max(cap, 1.0 / max(1, m))
-    big = F.col("rows") > cap * total
-    many, others = n.agg(F.sum(big.cast("long")), F.sum(F.when(big, 0).otherwise(F.col("rows")))).first()
-    left = max(0.0, 1.0 - cap * (many or 0))
-    share = F.col("rows") / float(max(1, others or 0)) * left
-    return n.select("source", "rows", F.when(big, F.lit(cap)).otherwise(share).alias("weight"))
+    left, cap = total or 0, max(cap, 1.0 / max(1, m))
+    # At most 1 / cap sources are capped. With the k largest capped the others make up 1 - k * cap.
+    size, capped = float(left), []
+    for r in n.orderBy(F.desc("rows")).limit(math.ceil(1 / cap)).collect():
+        if r["rows"] <= cap * size * (1 + 1e-9) or len(capped) >= m - 1:
+            break
+        capped.append(r["rows"])
+        left -= r["rows"]
+        size = left / (1.0 - cap * len(capped))
+    big = F.col("rows") >= F.lit(min(capped, default=None))
+    return n.select("source", "rows", F.when(big, F.lit(cap)).otherwise(F.col("rows") / F.lit(size)).alias("weight"))
 
 
 def in_ticks(weights: DataFrame, block: int = BLOCK) -> DataFrame:

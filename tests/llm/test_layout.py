@@ -84,6 +84,19 @@ def test_small_sources_do_not_end_the_mix(spark):
         assert all(abs(i - t * n / end) < 2.05 for i, t in enumerate(at))
 
 
+def test_no_source_is_above_the_cap(spark):
+    """Sources raised by the capping of others are capped in turn."""
+    for sizes in ([450, 230, 120, 120, 80], [500, 240, 240, 20], [300, 300, 200, 100, 60, 40], [900, 30, 30, 20, 20], [70, 30]):
+        docs = _sized(spark, {f"s{k}": n for k, n in enumerate(sizes)})
+        weights = {r.source: r.weight for r in mixing.capped_weights(docs, 0.25).collect()}
+        cap = max(0.25, 1 / len(sizes))
+        assert abs(sum(weights.values()) - 1) < 1e-9 and max(weights.values()) < cap + 1e-9
+        kept = collections.Counter(r.source for r in _mix(spark, docs) if r.in_mix)
+        # A row may be missing from a capped source's share, never one too many in it.
+        assert max(kept.values()) <= cap * sum(kept.values()) + 1
+        assert all(kept[s] == n for s, n in zip(sorted(weights), sizes) if weights[s] < cap - 1e-9)
+
+
 def test_mix_of_edge_tables(spark):
     assert _mix(spark, H.empty_docs(spark)) == []
     one = spark.createDataFrame([(1, "x", None), (1, "x", None)], "doc_id long, text string, source string")
