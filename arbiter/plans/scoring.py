@@ -277,7 +277,8 @@ def w6_shuffle(spark, sf_dir):
 
 # ---- P7 / P8 -------------------------------------------------------------------------------
 
-FIT_MAX_LEN = 512
+# The original's limits: space/app.py (prompt budget), scripts/train.py (max_seq_len).
+FIT_MAX_LEN = 1536
 QUALITY_BLOCK = "A: good — Good quality\nB: poor — Poor quality"
 
 
@@ -302,7 +303,7 @@ def _fit_sql(max_len: int = FIT_MAX_LEN) -> str:
 
 @query("p7_fit_state", sql=_fit_sql)
 def p7_fit_state(spark, sf_dir):
-    """Shrink each document's state until the prompt fits 512 − 8 words."""
+    """Shrink each document's state until the prompt fits 1536 − 8 words."""
     d = Tables(spark, sf_dir).documents
     f = fit_state(F.col("text"), F.lit(X.QUALITY_QUESTION), F.lit(QUALITY_BLOCK), max_len=FIT_MAX_LEN)
     return d.select("doc_id", f.alias("f")).select(
@@ -310,7 +311,7 @@ def p7_fit_state(spark, sf_dir):
     )
 
 
-MASK_MAX_LEN = 64
+MASK_MAX_LEN = 2048
 
 
 def _mask_sql() -> str:
@@ -341,7 +342,7 @@ def _mask_sql() -> str:
 
 @query("p8_mask_examples", sql=_mask_sql)
 def p8_mask_examples(spark, sf_dir):
-    """Answer-only label masks over vocabulary ids (max length 64)."""
+    """Answer-only label masks over vocabulary ids (max length 2048)."""
     t = Tables(spark, sf_dir)
     d = X.d_set(t.documents, t.labels)
     prompt = render_prompt("state", "question", format_options("options"))

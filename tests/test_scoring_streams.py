@@ -135,3 +135,16 @@ def test_centroids_keep_empty_and_null_vectors(spark):
     items = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None)], "vec_id long, embedding array<double>")
     rows = S.score_centroid(items, S.centroids(v)).collect()
     assert sorted((r.vec_id, r.label) for r in rows) == [(i, c) for i in (1, 2, 3) for c in "ab"]
+
+
+def test_masked_examples_reach_the_answer(spark):
+    """The answer stands behind the whole document; only over-long examples lose it."""
+    from arbiter.plans import load_all, scoring
+    from tests.conftest import SF001
+
+    assert (scoring.MASK_MAX_LEN, scoring.FIT_MAX_LEN) == (2048, 1536)
+    rows = load_all()["p8_mask_examples"].build(spark, SF001).collect()
+    whole = [r for r in rows if r.n_input < scoring.MASK_MAX_LEN]
+    assert sum(r.n_input > 64 for r in whole) > 0.5 * len(rows)
+    # The answers are two labels of one token each.
+    assert all(r.n_masked == r.n_input - 1 for r in whole) and len({r.supervised for r in whole}) == 2
