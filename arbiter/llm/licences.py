@@ -6,12 +6,18 @@
 2. Features are word pairs and triples of the training wordings that hold a word outside everyday
    speech; a multinomial logistic regression (Spark ML) weighs them: a sparse table
    (n-gram, family, weight) of bounded size.
-3. Every paragraph (line) of every document is read. One without any such word has no feature at
-   all, so its class is unknown without further work; the n-grams of the others join the weights.
+3. Every paragraph (line, without its comment mark) of every document is read, and so is every
+   passage that runs over line breaks: the words of the text, an empty line as a word of its own, are
+   cut into windows of 16, 32, ... words that overlap by half. A statement of n words lies whole in one
+   of the windows of at least 2 n words, wherever its lines break. A piece without any such word has
+   no feature at all, so its class is unknown without further work; the n-grams of the others join
+   the weights.
 4. Calibration on the held-out wordings fits a temperature and the least probability at which no
    held-out unknown sentence is taken for a licence. Below it the answer is unknown.
-5. A prediction is confirmed when the paragraph holds most word pairs of one template of the
-   family (containment), so a high probability alone is not enough.
+5. A prediction is confirmed when the piece holds most word pairs of one template of the family
+   (containment), so a high probability alone is not enough. A window counts for the templates of
+   its length only, and where no line in it already states the family; overlapping windows of a
+   family are one finding, at the line of its first telling word pair.
 
 Defined results: null and empty texts have no paragraph with a licence; paragraphs are counted as
 pieces between line feeds; ties between families go to the first by name; an empty table gives an
@@ -25,7 +31,7 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbiter.llm.common import staged
@@ -33,6 +39,8 @@ from arbiter.llm.common import staged
 UNKNOWN = "unknown"
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
+#: What comment lines begin with.
+MARK = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|>+|\||(?i:dnl|rem)(?=\s))\s*"
 
 # Wordings of licence statements by family (SPDX names), and sentences of no family.
 STATEMENTS = {
@@ -140,6 +148,36 @@ def _grams(words, n: int):
     return F.array_distinct(F.when(last >= 0, every).otherwise(F.array().cast("array<string>")))
 
 
+def _level(n: int) -> int:
+    """Words of the windows that look for a template of n words."""
+    return 1 << max(4, (2 * n - 1).bit_length())
+
+
+def _pieces(text, levels: list[int]):
+    """Lines (level 0) and windows over line breaks: (level, start, words, line of each word)."""
+    lines = F.transform(F.split(text, "\n"), lambda t: _words(F.regexp_replace(t, MARK, "")))
+
+    # One-element arrays bind the words, so they are found once a text.
+    def of_lines(lw):
+        whole = F.transform(lw, lambda w, i: F.struct(
+            F.lit(0).alias("level"), i.alias("start"), w.alias("words"), F.array(i).alias("at")))
+        filled = F.transform(lw, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(F.lit("\n"))))
+        at = F.flatten(F.transform(filled, lambda w, i: F.array_repeat(i, F.size(w))))
+        flat = F.struct(F.flatten(filled).alias("words"), at.alias("at"))
+        return F.concat(whole, F.flatten(F.transform(F.array(flat), of_words)))
+
+    def windows(d, n):
+        starts = F.sequence(F.lit(0), F.size(d["words"]) - 1, F.lit(n // 2))
+        return F.transform(starts, lambda i: F.struct(
+            F.lit(n).alias("level"), i.alias("start"), F.slice(d["words"], i + 1, n).alias("words"), F.slice(d["at"], i + 1, n).alias("at")))
+
+    def of_words(d):
+        every = F.concat(*[windows(d, n) for n in levels])
+        return F.filter(every, lambda x: F.element_at(x["at"], 1) < F.element_at(x["at"], -1))
+
+    return F.flatten(F.transform(F.array(lines), of_lines))
+
+
 def _training(spark: SparkSession) -> DataFrame:
     """(family, held_out, words) of the statements above."""
     rows = [
@@ -210,14 +248,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confir
     model = train(spark)
     told = F.array(*[F.lit(w) for w in model["words"]])
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = text.where(F.arrays_overlap(_words(F.col("text")), told)).select(
-        "id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")
-    )
-    lines = lines.select("id", "row", "paragraph", _words(F.col("line")).alias("words")).where(F.arrays_overlap("words", told))
-    lines = lines.select("id", "row", "paragraph", _grams(F.col("words"), 2).alias("pairs"), _grams(F.col("words"), 3).alias("triples"))
-    lines = staged(lines, "lines")
-    key = ["id", "row", "paragraph"]
-    grams = lines.select(*key, F.explode(F.concat("pairs", "triples")).alias("gram"))
+    templates = _training(spark).where(F.col("family") != UNKNOWN).select(
+        "family", _grams(F.col("words"), 2).alias("t"), F.size("words").alias("n"))
+    levels = sorted({_level(r["n"]) for r in templates.select("n").collect()})
+    level = F.create_map(*[F.lit(x) for r in range(1, levels[-1] // 2 + 1) for x in (r, _level(r))])
+    templates = templates.select("family", "t", level[F.col("n")].alias("for_level"))
+    # Numbered in a step of its own: beside the explode every piece would get another number.
+    text = text.where(F.arrays_overlap(_words(F.col("text")), told)).withColumn("row", F.monotonically_increasing_id())
+    pieces = text.select("id", "row", F.explode(_pieces(F.col("text"), levels)).alias("p")).select("id", "row", "p.*").where(F.arrays_overlap("words", told))
+    pieces = staged(pieces, "pieces")
+    key = ["id", "row", "level", "start"]
+    both = F.concat(_grams(F.col("words"), 2), _grams(F.col("words"), 3))
+    grams = pieces.select(*key, F.explode(both).alias("gram"))
     sums = grams.join(model["weights"], "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z"))
     # A family without a matching n-gram has its bias only.
     names = F.array(*[F.lit(n) for n in sorted(model["bias"])])
@@ -231,11 +273,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confir
     found = found.withColumn("raw", raw).withColumn("top", top).select(
         *key, best.alias("family"), (F.lit(1.0) / total).alias("probability")
     ).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model["threshold"]))
-    templates = _training(spark).where(F.col("family") != UNKNOWN).select("family", _grams(F.col("words"), 2).alias("t"))
-    both = found.join(lines.select(*key, "pairs"), key).join(F.broadcast(templates), "family")  # the statements above
+    both = found.join(pieces, key).withColumn("pairs", _grams(F.col("words"), 2))
+    both = both.join(F.broadcast(templates), "family").where((F.col("level") == 0) | (F.col("level") == F.col("for_level")))
     inside = F.size(F.array_intersect("pairs", "t")) / F.greatest(F.size("t"), F.lit(1))
-    return both.groupBy(*key, "family", "probability").agg(F.max(inside).alias("containment")).select(
-        "id", "paragraph", "family", F.round("probability", 6).alias("probability"),
+    # The line of the first telling word pair of the template.
+    pair = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.concat_ws(" ", w, F.col("words")[i + 1]))
+    telling = F.filter("t", lambda g: ~_everyday(g))
+    begins = F.array_position(F.transform(pair, lambda g: F.array_contains(telling, g)), F.lit(True))
+    line = F.when(F.col("level") == 0, F.col("start")).otherwise(F.col("at")[F.greatest(begins - 1, F.lit(0)).cast("int")])
+    best = both.select(
+        *key, "family", "probability", F.element_at("at", 1).alias("lo"), F.element_at("at", -1).alias("hi"),
+        F.struct(inside.alias("containment"), (-line).alias("line")).alias("best"),
+    ).groupBy(*key, "family", "probability", "lo", "hi").agg(F.max("best").alias("best"))
+    best = staged(best.select(
+        "id", "row", "level", "family", "probability", "lo", "hi",
+        F.col("best.containment").alias("containment"), (-F.col("best.line")).alias("line"),
+    ).where((F.col("level") == 0) | (F.col("containment") >= confirm)), "scanned")
+    stated = best.where("level = 0")
+    said = stated.where(F.col("containment") >= confirm).select("id", "row", "family", F.col("lo").alias("at"))
+    over = best.where("level > 0").join(said, ["id", "row", "family"], "left").groupBy(*best.columns).agg(
+        F.coalesce(F.max(F.col("at").between(F.col("lo"), F.col("hi"))), F.lit(False)).alias("said")
+    ).where("NOT said")
+    # Findings of one family in one text: windows that share a line are one.
+    of = Window.partitionBy("id", "row", "family").orderBy("lo", "hi", "level")
+    before = F.max("hi").over(of.rowsBetween(Window.unboundedPreceding, -1))
+    over = over.withColumn("new", F.coalesce((F.col("lo") > before).cast("int"), F.lit(1)))
+    over = over.withColumn("place", F.sum("new").over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    wrapped = over.groupBy("id", "row", "family", "place").agg(
+        F.max(F.struct("containment", "probability", (-F.col("line")).alias("line"))).alias("b")
+    ).select("id", (-F.col("b.line")).alias("paragraph"), "family", "b.probability", "b.containment")
+    return stated.select("id", F.col("line").alias("paragraph"), "family", "probability", "containment").union(wrapped).select(
+        "id", F.col("paragraph").cast("int").alias("paragraph"), "family", F.round("probability", 6).alias("probability"),
         F.round("containment", 6).alias("containment"), (F.col("containment") >= confirm).alias("confirmed"),
     )
 

@@ -178,3 +178,36 @@ def test_licences(spark):
     assert all(got[100 + i].n_licences == 0 and got[100 + i].families == "" for i in range(len(none)))
     assert got[200].families == ",".join(sorted(lines)) and got[200].n_licences == 5
     assert licences.licences(docs.limit(0)).count() == 0
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL_TEXT = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_and_commented_licences(spark):
+    """Notices over several lines, in comments, narrow, after a long line, and far down a text."""
+    prose = "\n".join(f"plain prose number {i} about nothing at all" for i in range(3000))
+    narrow = "\n".join(" ".join(MIT_TEXT.split()[i : i + 2]) for i in range(0, len(MIT_TEXT.split()), 2))
+    rows = {
+        0: (f"import os\n\n{MIT_TEXT}\n\nprint()", "MIT", "2"),
+        1: ("\n".join(f"# {t}" for t in BSD_TEXT.split("\n")), "BSD", "0"),
+        2: ("/*\n" + "\n".join(f" * {t}" for t in GPL_TEXT.split("\n")) + "\n */\nint x;", "GPL", "2"),  # its second line is confirmed by itself
+        3: ("\n".join(f"dnl {t}" for t in MIT_TEXT.split("\n")), "MIT", "0"),
+        4: (narrow, "MIT", "0"),
+        5: (f"{prose}\n{BSD_TEXT}\n{prose}", "BSD", "3000"),
+        6: ("word " * 200 + "\nReleased under the\nMIT License.\nmore", "MIT", "1"),
+        7: (f"{prose}\nA license is needed\nto drive a car in this\nstate.", "", ""),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in rows.items()], "doc_id long, text string")
+    got = {r.id: (r.families, r.paragraphs, r.n_licences) for r in licences.licences(docs).collect()}
+    assert got == {i: (f, p, int(f != "")) for i, (_, f, p) in rows.items()}
