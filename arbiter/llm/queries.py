@@ -18,6 +18,7 @@ from arbiter.llm import quality as X4
 from arbiter.llm import repeats as X9
 from arbiter.llm import sharding as X7
 from arbiter.llm import token_counts as X3
+from arbiter.llm import vector_codes as X13
 from arbiter.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,12 @@ def op9_repeated_strings(spark, sf_dir):
 def op10_licence_scan(spark, sf_dir):
     """Confirmed licence families of every document, with the paragraphs that state them."""
     return X10.licences(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+# ---- 13: vector codes ---------------------------------------------------------------------------
+
+
+@_query("op13_vector_codes", sql=X13.codes_sql())
+def op13_vector_codes(spark, sf_dir):
+    """8 codebooks of 16 entries fitted by 6 exact Lloyd rounds; code and error of every vector."""
+    return X13.vector_codes(read_documents(spark, sf_dir, "embeddings"))
