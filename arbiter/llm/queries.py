@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
 from arbiter.llm import minhash as X8
+from arbiter.llm import fingerprints as X11
 from arbiter.llm import licences as X10
 from arbiter.llm import mixing as X6
 from arbiter.llm import near_vectors as X1
@@ -138,6 +139,15 @@ def op10_licence_scan(spark, sf_dir):
     return X10.licences(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+# ---- 11: fingerprints (tested against brute force) ----------------------------------------------
+
+
+@_query("op11_document_fingerprints")
+def op11_document_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and how near they are."""
+    return X11.fingerprints(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 # ---- 13: vector codes ---------------------------------------------------------------------------
 
 
