@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbiter.llm import alignment as X12
 from arbiter.llm import bpe as X2
 from arbiter.llm import exact_dedup as X5
 from arbiter.llm import minhash as X8
@@ -148,6 +149,16 @@ def op11_document_fingerprints(spark, sf_dir):
     return X11.fingerprints(read_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+# ---- 12: alignment of two tokenizers (tested against brute force) --------------------------------
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers over every whole document."""
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return X12.align(read_documents(spark, sf_dir), *paths).withColumnRenamed("id", "doc_id")
+
+
 # ---- 13: vector codes ---------------------------------------------------------------------------
 
 

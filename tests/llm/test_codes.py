@@ -6,10 +6,11 @@ import hashlib
 import math
 import random
 
-import duckdb
 import numpy as np
+import public_tokenizers as P
 import pytest
 
+from arbiter.llm import alignment as al
 from arbiter.llm import fingerprints as fp
 from arbiter.llm import vector_codes as vc
 from tests.llm import helpers as H
@@ -167,3 +168,110 @@ def test_few_combinations_reach_the_leaves():
         lambda rows, e: seen.update(leaf=seen["leaf"] + len(rows)),
     )
     assert sum(seen.values()) == 4000 and seen["leaf"] < 400
+
+
+# ---- alignment -----------------------------------------------------------------------------------
+
+A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def brute_alignment(libraries, texts):
+    """[(n_a, n_b, n_groups, n_links, n_best, count_sum, digest)] from the libraries on whole texts."""
+    a, b = libraries
+    letters = al._byte_letters()
+    rows, count = [], {}
+    for t in texts:
+        groups, links = [], []
+        if t:
+            raw = (" " + t).encode()
+            x = [(i, bytes(letters[c] for c in a.id_to_token(i))) for i in a.encode(" " + t, add_special_tokens=False).ids]
+            y = [
+                (i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode())
+                for i in b.encode(t)
+            ]
+            if b"".join(v for _, v in x) == raw == b"".join(v for _, v in y):
+                spans = []
+                for tokens in (x, y):
+                    at, out = 0, []
+                    for i, v in tokens:
+                        out.append((i, at, at + len(v)))
+                        at += len(v)
+                    spans.append(out)
+                ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+                lo = 0
+                for e in ends:
+                    own = [[s for s in side if lo < s[2] <= e] for side in spans]
+                    groups.append(",".join(str(s[0]) for s in own[0]) + "|" + ",".join(str(s[0]) for s in own[1]))
+                    links += [(p[0], q[0]) for p in own[0] for q in own[1] if p[1] < q[2] and q[1] < p[2]]
+                    lo = e
+        if not groups:
+            x = y = []
+        for link in links:
+            count[link] = count.get(link, 0) + 1
+        rows.append((len(x), len(y), groups, links))
+    top = {}
+    for (_, q), n in count.items():
+        top[q] = max(top.get(q, 0), n)
+    return [
+        (
+            n_a, n_b, len(groups), len(links), sum(count[v] == top[v[1]] for v in links), sum(count[v] for v in links),
+            hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "",
+        )
+        for n_a, n_b, groups, links in rows
+    ]
+
+
+TEXTS = [
+    "a  b", " a", "a ", "  ", "\n \n x\n y \t z", "Ähnliche Wörter, don't we'll 12345 <|endoftext|> </s> <0x41>", "x\u2581y",
+    "日本語の文章 と😀絵文字", "supercalifragilistic" * 300, "a\x00b\x1c c\u00a0 d \x85 e", "ab " * 30, "\u3000 \u2003 .", "é" * 900,
+]
+
+
+@pytest.mark.parametrize("chunk,fan", [(40, 2), (300, 3), (32_768, 16)])
+def test_alignment_equals_brute_force(spark, libraries, chunk, fan, monkeypatch):
+    monkeypatch.setattr(al, "WORD", 30)
+    docs, _ = H.awkward_docs(spark)
+    more = spark.createDataFrame([(500 + i, t, None, 0, 0, "", None, 0, 0) for i, t in enumerate(TEXTS)], H.SCHEMA)
+    docs = with_repeats(spark, docs.where("length(text) < 3000 OR text IS NULL")).union(more)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_alignment(libraries, [t for _, t in rows])
+    want = sorted(((i, *w) for (i, _), w in zip(rows, want)), key=str)
+    got = al.align(docs, A, B, chunk=chunk, fan=fan, hot=50).collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_fragments_compose_in_any_order(libraries):
+    pair = al.Pair(A, B)
+    rnd = random.Random(4)
+    for t in TEXTS[-5:] + ["".join(rnd.choice("ab é日 .\n") for _ in range(400)) for _ in range(10)]:
+        parts = [al.range_fragment(pair, *c[1:]) for c in al.cut_ranges(t, rnd.choice([3, 7, 20]))]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = al.compose(whole, p)
+        while len(parts) > 1:
+            i = rnd.randrange(len(parts) - 1)
+            parts[i : i + 2] = [al.compose(*parts[i : i + 2])]
+        assert parts[0] == whole
+        assert al._closed(whole)[:5] == brute_rows(pair, t)
+
+
+def brute_rows(pair, t):
+    f = pair.tokens(t)
+    if not f[4]:
+        return (0, 0, 0, 0, "")
+    whole = al.fragment(*f[:4], 0, 0)
+    return al._closed(whole)[:5]
+
+
+def test_alignment_of_no_rows(spark):
+    assert al.align(H.empty_docs(spark), A, B).collect() == []
