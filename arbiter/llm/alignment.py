@@ -9,7 +9,8 @@ second are one group. Composition is associative, so the ranges of a document ma
 1. Documents up to ``chunk`` bytes are one range. Longer ones are cut at byte offsets; a row carries
    its range with the words it cuts whole, so each range is tokenized on its own, in any task. Both
    tokenizers break before a U+0020 that follows a character that is no white space (`word_starts`;
-   checked against the vocabulary), so a word's tokens do not depend on what stands around it.
+   checked against the vocabulary), so a word's tokens do not depend on what stands around it. A's ids
+   come from an encoder by ranks where its file allows (ids in merge order), from its library elsewhere.
 2. Fragments of a document are composed in rounds of ``FAN`` neighbours until one is left.
 3. Pairs of linked ids are counted over the corpus. Pairs that hold at least 1 / HOT of all links, so
    at most HOT pairs, are looked up by broadcast; all others, whose rows are few by that very bound,
@@ -25,13 +26,14 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,6 @@ from arbiter.llm.common import drop_staged, sole, staged
 CHUNK, FAN, WORD = 32_768, 16, 4_096
 #: Pairs that may be broadcast: those with at least 1 / HOT of all links.
 HOT = 200_000
-#: Words a worker remembers, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 60_000, 200
-
 _CUT = re.compile(r"(?<=\S)(?= )")
 _SPACED = re.compile(r"\s ")
 
@@ -55,129 +54,60 @@ def word_starts(text: str) -> list[str]:
     return [w[1:] for w in _CUT.split(" " + text)]
 
 
-# ---- tokens of a word ----------------------------------------------------------------------------
-
-
-@dataclass
-class Fragment:
-    """Tokens whose ends lie in a byte range, as (ids, byte lengths) of A and B.
-
-    ``closed`` is None while the range holds no common end: then ``prefix`` holds all its tokens.
-    ``pairs`` counts the linked id pairs (a << 32 | b) of closed groups.
-    """
-
-    prefix: list = field(default_factory=lambda: [[], [], [], []])
-    suffix: list = field(default_factory=lambda: [[], [], [], []])
-    closed: list[str] | None = None
-    n_a: int = 0
-    n_b: int = 0
-    pairs: Counter = field(default_factory=Counter)
-    ok: bool = True
-
-
-def group_pairs(group: list) -> list[int]:
-    """Pairs of a group's tokens whose byte ranges overlap: two pointers over the token ends."""
-    a, alen, b, blen = group
-    out, i, j = [], 0, 0
-    ea, eb = (alen[0] if a else 0), (blen[0] if b else 0)
-    while i < len(a) and j < len(b):
-        out.append(a[i] << 32 | b[j])
-        end = min(ea, eb)
-        if ea == end:
-            i += 1
-            ea += alen[i] if i < len(a) else 0
-        if eb == end:
-            j += 1
-            eb += blen[j] if j < len(b) else 0
-    return out
-
-
-def _text_of(group: list) -> str:
-    return ",".join(map(str, group[0])) + "|" + ",".join(map(str, group[2]))
-
-
-def compose(x: Fragment, y: Fragment) -> Fragment:
-    """The fragment of two neighbouring ranges. Associative; an empty Fragment() is neutral."""
-    ok = x.ok and y.ok
-    if x.closed is None:
-        prefix = [p + q for p, q in zip(x.prefix, y.prefix)]
-        return Fragment(prefix, y.suffix, y.closed, y.n_a, y.n_b, y.pairs, ok)
-    if y.closed is None:
-        suffix = [p + q for p, q in zip(x.suffix, y.prefix)]
-        return Fragment(x.prefix, suffix, x.closed, x.n_a, x.n_b, x.pairs, ok)
-    middle = [p + q for p, q in zip(x.suffix, y.prefix)]
-    pairs = x.pairs + y.pairs
-    pairs.update(group_pairs(middle))
-    n_a, n_b = (f + g + len(m) for f, g, m in ((x.n_a, y.n_a, middle[0]), (x.n_b, y.n_b, middle[2])))
-    return Fragment(x.prefix, y.suffix, x.closed + [_text_of(middle)] + y.closed, n_a, n_b, pairs, ok)
-
-
-def fragment(a: list[int], alen: list[int], b: list[int], blen: list[int], start_a: int, start_b: int) -> Fragment:
-    """Of tokens in order; ``start_a``/``start_b``: byte offsets where the first tokens begin."""
-    ends_a, ends_b = start_a + np.cumsum(alen), start_b + np.cumsum(blen)
-    common = np.intersect1d(ends_a, ends_b)
-    if not len(common):
-        return Fragment([a, alen, b, blen])
-    i = [0, *(np.searchsorted(ends_a, common) + 1).tolist(), len(a)]
-    j = [0, *(np.searchsorted(ends_b, common) + 1).tolist(), len(b)]
-    groups = [[a[p:q], alen[p:q], b[r:s], blen[r:s]] for p, q, r, s in zip(i, i[1:], j, j[1:])]
-    out = Fragment(groups[0], groups[-1], [])
-    for g in groups[1:-1]:
-        out.closed.append(_text_of(g))
-        out.n_a += len(g[0])
-        out.n_b += len(g[2])
-        out.pairs.update(group_pairs(g))
-    return out
+# ---- fragments -----------------------------------------------------------------------------------
 
 
 class Pair:
-    """Both tokenizers of a worker, and the words it remembers."""
+    """Both tokenizers of a worker, with the bytes and decimal names of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        a = Tokenizer.from_file(path_a)
+        a.no_truncation()
+        a.no_padding()
+        a.encode_special_tokens = True
+        self.library_a = a
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = _byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(False).items()}
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        vocab = {i: bytes(letters[c] for c in t) for t, i in a.get_vocab(False).items()}
+        self.n_a, self.n_b = max(vocab) + 1, self.b.get_piece_size()
+        self.bytes_a = [vocab.get(i, b"") for i in range(self.n_a)]
+        # Ids follow the merge order in this file, so they serve as ranks; `usual` tells where that holds.
+        with open(path_a, encoding="utf-8") as f:
+            file = json.load(f)
+        merged = [m if isinstance(m, str) else " ".join(m) for m in file["model"]["merges"]]
+        ids = [file["model"]["vocab"][m.replace(" ", "")] for m in merged]
+        plain = file["normalizer"] is None and file["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+        }
+        self.usual = None
+        if plain and ids == sorted(ids):
+            ranks = {t: i for i, t in vocab.items()}
+            self.usual = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         if any(re.search("[^▁]▁", p) for p in pieces):
-            raise ValueError("a piece holds a space inside a word: words cannot be tokenized one by one")
+            raise ValueError("a piece holds a space inside a word: texts cannot be cut at words")
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        self.words: dict[str, tuple] = {}
-
-    def tokens(self, word: str) -> tuple[list[int], list[int], list[int], list[int], bool]:
-        """Ids and byte lengths of space + word, and whether the tokens spell it."""
-        a, b = self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word)
-        b = b or [self.b.piece_to_id("▁")]  # nothing but the space that B adds by itself
-        raw = (" " + word).encode("utf-8", "surrogatepass")
-        x, y = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        return a, [len(t) for t in x], b, [len(t) for t in y], b"".join(x) == raw == b"".join(y)
-
-    def word(self, word: str) -> tuple:
-        """(n_a, n_b, groups, text of the groups, pairs, spelled) of a whole word."""
-        a, alen, b, blen, ok = self.tokens(word)
-        if not ok:
-            return 0, 0, 0, "", [], False
-        f = fragment(a, alen, b, blen, 0, 0)
-        closed = [_text_of(f.prefix), *f.closed]
-        return len(a), len(b), len(closed), ";".join(closed), [*group_pairs(f.prefix), *f.pairs.elements()], True
-
-    def remembered(self, word: str) -> tuple:
-        got = self.words.get(word)
-        if got is None:
-            got = self.word(word)
-            if len(word) <= KEPT_CHARS:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+        self.len_a, self.len_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        #: Text of a token by its place: first of A, later of A, first of B, later of B in a group.
+        self.names = [f"{c}{i}" for c, n in ((";", self.n_a), (",", self.n_a), ("|", self.n_b), (",", self.n_b)) for i in range(n)]
+
+    def ids_a(self, text: str) -> list[int]:
+        if self.usual is None:
+            return self.library_a.encode(text, add_special_tokens=False).ids
+        return self.usual.encode_ordinary(text)
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of space + text, and whether both sides' tokens spell it."""
+        a, b = self.ids_a(" " + text), self.b.encode(text) or [self.b.piece_to_id("▁")]
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        ok = all(b"".join([v[i] for i in ids]) == raw for v, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        return np.array(a, np.int64), np.array(b, np.int64), ok
 
 
 def _byte_letters() -> dict[str, int]:
@@ -188,6 +118,77 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class Fragment:
+    """Tokens whose ends lie in a byte range.
+
+    ``prefix`` and ``suffix`` are (ids of A, ids of B) of the open ends. ``closed`` is the text of the
+    closed groups, each beginning with a semicolon; None while the range holds no common end: then
+    ``prefix`` holds all its tokens. ``pairs``/``times`` count the links inside closed groups, a pair being
+    id of A * size of B + id of B. A document's first range begins at a common end, so its prefix is empty.
+    """
+
+    prefix: tuple = ((), ())
+    suffix: tuple = ((), ())
+    closed: str | None = None
+    n_groups: int = 0
+    n_a: int = 0
+    n_b: int = 0
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    times: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    ok: bool = True
+
+
+def _joined(x: tuple, y: tuple) -> tuple:
+    return tuple((*p, *q) for p, q in zip(x, y))
+
+
+def _counted_pairs(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    return u, np.bincount(at, np.concatenate(times), len(u)).astype(np.int64)
+
+
+def fragment(v: Pair, a: np.ndarray, b: np.ndarray, start_a: int = 0, start_b: int = 0, first: bool = True) -> Fragment:
+    """Of tokens in order; they begin at byte ``start_a``/``start_b``; ``first``: the range begins a document."""
+    ends_a, ends_b = start_a + np.cumsum(v.len_a[a]), start_b + np.cumsum(v.len_b[b])
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    if not len(common) and not first:
+        return Fragment((tuple(a.tolist()), tuple(b.tolist())))
+    lo = 0 if first else int(common[0])
+    hi = int(common[-1]) if len(common) else 0
+    (i, p), (j, q) = (np.searchsorted(e, [lo, hi], "right").tolist() for e in (ends_a, ends_b))
+    out = Fragment(
+        (tuple(a[:i].tolist()), tuple(b[:j].tolist())), (tuple(a[p:].tolist()), tuple(b[q:].tolist())),
+        n_groups=len(common) - (not first), n_a=p - i, n_b=q - j,
+    )
+    a, b, ends_a, ends_b = a[i:p], b[j:q], ends_a[i:p], ends_b[j:q]
+    # Tokens in the order of the text: by group, A before B; the first of a side has its own sign.
+    group = [np.searchsorted(common, e) for e in (ends_a, ends_b)]
+    fresh = [np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool) for g in group]
+    code = np.concatenate([a + np.where(fresh[0], 0, v.n_a), 2 * v.n_a + b + np.where(fresh[1], 0, v.n_b)])
+    order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+    out.closed = "".join([v.names[c] for c in code[order].tolist()])
+    # Every end closes a stretch that lies in one token of A and one of B.
+    ends = np.union1d(ends_a, ends_b)
+    links = a[np.searchsorted(ends_a, ends)] * v.n_b + b[np.searchsorted(ends_b, ends)]
+    out.pairs, out.times = np.unique(links, return_counts=True)
+    return out
+
+
+def compose(v: Pair, x: Fragment, y: Fragment) -> Fragment:
+    """The fragment of two neighbouring ranges. Associative; an empty Fragment() is neutral."""
+    ok = x.ok and y.ok
+    if x.closed is None:
+        return replace(y, prefix=_joined(x.prefix, y.prefix), ok=ok)
+    if y.closed is None:
+        return replace(x, suffix=_joined(x.suffix, y.prefix), ok=ok)
+    middle = _joined(x.suffix, y.prefix)
+    m = fragment(v, *(np.array(t, np.int64) for t in middle)) if any(middle) else Fragment(closed="")
+    pairs, times = _counted_pairs([x.pairs, m.pairs, y.pairs], [x.times, m.times, y.times])
+    sums = (x.n_groups + m.n_groups + y.n_groups, x.n_a + m.n_a + y.n_a, x.n_b + m.n_b + y.n_b)
+    return Fragment(x.prefix, y.suffix, x.closed + m.closed + y.closed, *sums, pairs, times, ok)
+
+
 _LOADED: dict = {}
 
 
@@ -205,33 +206,20 @@ DOC = "row long, id long, n_a long, n_b long, n_groups long, n_links long, group
 _NONE = (0, 0, 0, 0, "", [], [])
 
 
-def _whole(pair: Pair, text: str) -> tuple:
-    """The row of a document of one range: words are whole groups of it."""
-    words = word_starts(text) if text else []
-    each = Counter(words)
-    found = {w: pair.remembered(w) for w in each}
-    if not words or not all(f[5] for f in found.values()):
+def _closed(f: Fragment) -> tuple:
+    """The row of a document: its one range, or all its ranges composed."""
+    if not f.ok or f.closed is None or any(f.prefix) or any(f.suffix):
         return _NONE
-    pairs: dict[int, int] = {}
-    n_a = n_b = groups = 0
-    for w, m in each.items():
-        f = found[w]
-        n_a, n_b, groups = n_a + m * f[0], n_b + m * f[1], groups + m * f[2]
-        for p in f[4]:
-            pairs[p] = pairs.get(p, 0) + m
-    digest = hashlib.sha256(";".join([found[w][3] for w in words]).encode()).hexdigest()
-    return n_a, n_b, groups, sum(pairs.values()), digest, list(pairs), list(pairs.values())
+    digest = hashlib.sha256(f.closed[1:].encode()).hexdigest()
+    return f.n_a, f.n_b, f.n_groups, int(f.times.sum()), digest, f.pairs, f.times
 
 
-def _closed(f: Fragment) -> tuple:
-    """The row of a document whose fragments have all been composed: its prefix began at offset 0."""
-    if not f.ok or f.closed is None or any(f.suffix):
+def _whole(v: Pair, text: str) -> tuple:
+    """The row of a document of one range."""
+    if not text:
         return _NONE
-    f.pairs.update(group_pairs(f.prefix))
-    closed = [_text_of(f.prefix), *f.closed]
-    digest = hashlib.sha256(";".join(closed).encode()).hexdigest()
-    n_a, n_b = f.n_a + len(f.prefix[0]), f.n_b + len(f.prefix[2])
-    return n_a, n_b, len(closed), sum(f.pairs.values()), digest, list(f.pairs), list(f.pairs.values())
+    a, b, ok = v.tokens(text)
+    return _closed(fragment(v, a, b)) if ok else _NONE
 
 
 def _frame(rows: list[tuple], schema: str = DOC) -> pd.DataFrame:
@@ -261,46 +249,42 @@ def cut_ranges(text: str, chunk: int) -> Iterator[tuple[int, str, int, int]]:
         yield k, " ".join(words[first : last + 1]), lo - begin, hi - begin
 
 
-def range_fragment(pair: Pair, words: str, lo: int, hi: int) -> Fragment:
-    """Of the tokens that end after byte ``lo`` and up to byte ``hi`` of space + words."""
-    cols: list[list[int]] = [[], [], [], []]
-    for w in word_starts(words):
-        *tokens, ok = pair.tokens(w)
-        if not ok:
-            return Fragment(ok=False)
-        for c, t in zip(cols, tokens):
-            c.extend(t)
-    a, alen, b, blen = cols
-    ea, eb = np.cumsum(alen), np.cumsum(blen)
+def range_fragment(v: Pair, k: int, words: str, lo: int, hi: int) -> Fragment:
+    """Range ``k`` of a document: the tokens that end after byte ``lo`` and up to byte ``hi`` of space + words."""
+    a, b, ok = v.tokens(words)
+    if not ok:
+        return Fragment(ok=False)
+    ea, eb = np.cumsum(v.len_a[a]), np.cumsum(v.len_b[b])
     i, j = (np.searchsorted(e, [lo, hi], "right").tolist() for e in (ea, eb))
-    begin = [int(e[k[0] - 1]) if k[0] else 0 for e, k in ((ea, i), (eb, j))]
-    return fragment(a[i[0] : i[1]], alen[i[0] : i[1]], b[j[0] : j[1]], blen[j[0] : j[1]], *begin)
+    begin = [int(e[x[0] - 1]) if x[0] else 0 for e, x in ((ea, i), (eb, j))]
+    return fragment(v, a[i[0] : i[1]], b[j[0] : j[1]], *begin, first=k == 0)
 
 
 RANGE = "row long, id long, k long, words string, lo long, hi long"
 FRAGMENT = (
-    "row long, id long, k long, ok boolean, prefix array<array<int>>, suffix array<array<int>>, closed string,"
-    " n_closed long, n_a long, n_b long, pairs array<long>, times array<int>"
+    "row long, id long, k long, ok boolean, prefix_a array<int>, prefix_b array<int>, suffix_a array<int>,"
+    " suffix_b array<int>, closed string, n_groups long, n_a long, n_b long, pairs array<long>, times array<int>"
 )
 
 
 def _row_of(row: int, doc_id, k: int, f: Fragment) -> tuple:
-    text = None if f.closed is None else ";".join(f.closed)
-    n = 0 if f.closed is None else len(f.closed)
-    return row, doc_id, k, f.ok, f.prefix, f.suffix, text, n, f.n_a, f.n_b, list(f.pairs), list(f.pairs.values())
+    ends = (list(t) for t in (*f.prefix, *f.suffix))
+    return row, doc_id, k, f.ok, *ends, f.closed, f.n_groups, f.n_a, f.n_b, f.pairs, f.times
 
 
 def _fragment_of(r) -> Fragment:
-    closed = None if r["closed"] is None else (r["closed"].split(";") if r["n_closed"] else [])
-    lists = lambda v: [[int(i) for i in x] for x in v]
-    pairs = Counter(dict(zip((int(p) for p in r["pairs"]), (int(n) for n in r["times"]))))
-    return Fragment(lists(r["prefix"]), lists(r["suffix"]), closed, int(r["n_a"]), int(r["n_b"]), pairs, bool(r["ok"]))
+    ends = [tuple(int(i) for i in r[c]) for c in ("prefix_a", "prefix_b", "suffix_a", "suffix_b")]
+    return Fragment(
+        tuple(ends[:2]), tuple(ends[2:]), r["closed"], int(r["n_groups"]), int(r["n_a"]), int(r["n_b"]),
+        np.asarray(r["pairs"], np.int64), np.asarray(r["times"], np.int64), bool(r["ok"]),
+    )
 
 
-def _reduced(fragments: DataFrame, fan: int) -> DataFrame:
+def _reduced(fragments: DataFrame, fan: int, path_a: str, path_b: str) -> DataFrame:
     """One fragment a document: neighbours are composed ``fan`` at a time, in rounds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair = _pair(path_a, path_b)
         held, key = None, None
         for pdf in batches:
             out = []
@@ -308,7 +292,7 @@ def _reduced(fragments: DataFrame, fan: int) -> DataFrame:
                 now = (int(r["row"]), int(r["k"]) // fan)
                 f = _fragment_of(r)
                 if held is not None and now == (key[0], key[2]):
-                    held = compose(held, f)
+                    held = compose(pair, held, f)
                 else:
                     if held is not None:
                         out.append(_row_of(*key, held))
@@ -333,8 +317,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan:
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair = _pair(path_a, path_b)
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf[lo : lo + 500]
+            for lo in range(0, len(pdf), 1_000):
+                part = pdf[lo : lo + 1_000]
                 yield _frame([(r, i, *_whole(pair, t)) for r, i, t in zip(part["row"], part["id"], part["text"])])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +330,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan:
         pair = _pair(path_a, path_b)
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                f = range_fragment(pair, r["words"], r["lo"], r["hi"])
+                f = range_fragment(pair, r["k"], r["words"], r["lo"], r["hi"])
                 yield _frame([_row_of(r["row"], r["id"], r["k"], f)], FRAGMENT)
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,13 +342,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan:
     ranges = docs.where(long).withColumn("row", -1 - F.col("row")).mapInPandas(cut, RANGE)
     fragments = staged(ranges.repartition("row", "k").mapInPandas(each, FRAGMENT), "fragments")
     whole = docs.where(~long).mapInPandas(short, DOC)
-    return whole.unionByName(_reduced(fragments, fan).mapInPandas(close, DOC))
+    return whole.unionByName(_reduced(fragments, fan, path_a, path_b).mapInPandas(close, DOC))
 
 
-def _counted(links: DataFrame) -> DataFrame:
+def _counted(links: DataFrame, n_b: int) -> DataFrame:
     """(pair, n, best): corpus-wide count of every linked pair, and whether it is its B id's highest."""
     counts = staged(links.groupBy("pair").agg(F.sum("times").alias("n")), "pair-counts")
-    b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    b = F.col("pair") % F.lit(n_b)
     top = counts.groupBy(b.alias("b")).agg(F.max("n").alias("top"))  # at most one row a token of B
     marked = counts.withColumn("b", b).join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
     return staged(marked, "pair-marks")
@@ -382,7 +366,7 @@ def align(
 
     links = done.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("l"))
     links = links.select("row", F.col("l.pairs").alias("pair"), F.col("l.times").cast("long").alias("times"))
-    counts = _counted(links)
+    counts = _counted(links, Pair(path_a, path_b).n_b)
     total = done.agg(F.sum("n_links")).first()[0] or 0
     often = F.col("n") * F.lit(hot) >= F.lit(total)  # so at most `hot` pairs
     sums = [

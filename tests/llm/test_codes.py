@@ -250,27 +250,33 @@ def test_alignment_equals_brute_force(spark, libraries, chunk, fan, monkeypatch)
     assert sorted(map(tuple, got), key=str) == want
 
 
-def test_fragments_compose_in_any_order(libraries):
+def test_fragments_compose_in_any_order(monkeypatch):
+    monkeypatch.setattr(al, "WORD", 400)
     pair = al.Pair(A, B)
     rnd = random.Random(4)
     for t in TEXTS[-5:] + ["".join(rnd.choice("ab é日 .\n") for _ in range(400)) for _ in range(10)]:
-        parts = [al.range_fragment(pair, *c[1:]) for c in al.cut_ranges(t, rnd.choice([3, 7, 20]))]
-        whole = parts[0]
+        if not pair.tokens(t)[2]:
+            continue
+        parts = [al.range_fragment(pair, *c) for c in al.cut_ranges(t, rnd.choice([3, 7, 20]))]
+        assert len(parts) > 3 or len(t) < 60 or len(t) > 400
+        left = parts[0]
         for p in parts[1:]:
-            whole = al.compose(whole, p)
+            left = al.compose(pair, left, p)
         while len(parts) > 1:
             i = rnd.randrange(len(parts) - 1)
-            parts[i : i + 2] = [al.compose(*parts[i : i + 2])]
-        assert parts[0] == whole
-        assert al._closed(whole)[:5] == brute_rows(pair, t)
+            parts[i : i + 2] = [al.compose(pair, *parts[i : i + 2])]
+        rows = [al._closed(f) for f in (left, parts[0], al.compose(pair, al.Fragment(), left))] + [al._whole(pair, t)]
+        assert len({r[:5] for r in rows}) == 1 and rows[0][0] > 0
+        assert len({(tuple(r[5]), tuple(r[6])) for r in rows}) == 1
 
 
-def brute_rows(pair, t):
-    f = pair.tokens(t)
-    if not f[4]:
-        return (0, 0, 0, 0, "")
-    whole = al.fragment(*f[:4], 0, 0)
-    return al._closed(whole)[:5]
+def test_both_encoders_of_a_agree(libraries):
+    pair = al.Pair(A, B)
+    assert pair.usual is not None
+    rnd = random.Random(9)
+    more = ["".join(rnd.choice("abcé日 '\n\t.,1٣x\u00a0\x1c😀") for _ in range(200)) for _ in range(300)]
+    for t in TEXTS + more:
+        assert pair.usual.encode_ordinary(t) == libraries[0].encode(t, add_special_tokens=False).ids
 
 
 def test_alignment_of_no_rows(spark):
