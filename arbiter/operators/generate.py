@@ -1,5 +1,5 @@
-"""Generators on Spark: split composer (G4), perturbations (G5), option
-permutation with answer remap (G6).
+"""Generators on Spark: perturbations (G5), option permutation with answer remap (G6). The split
+composer (G4) is in ``selection.py``.
 
 Perturbations multiply each record by a fixed, small probe list with
 ``explode`` of a literal array (a projection), not a join: output grows
@@ -13,26 +13,12 @@ from pyspark.sql import functions as F
 
 from arbiter.operators.rules import option_for
 from arbiter.sources import catalogue as C
-from arbiter.sources.fixtures import split_of
 
 CONFLICT_SUFFIX = " Amount matches but currency differs (EUR vs USD)."
 MISSING_SUFFIX = " There is no invoice reference."
 UNKNOWN_REF = "an unlabelled document"
 
 
-def build_splits(families: dict[str, DataFrame]) -> DataFrame:
-    """Union of record families with split by key (train 6 / valid 2 / test 2 in 10)."""
-    out = None
-    for name, df in families.items():
-        split, rank = split_of(F.col("rec_id"))
-        part = df.select(
-            F.lit(name).alias("family"), "rec_id", split.alias("split"), rank.alias("split_rank"),
-            "state", "question", "options", "answer",
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def rotate_options(options: Column, shift: int = 1) -> Column:
     """Labels stay in place, keys/descriptions move by ``shift`` positions."""
     n = F.size(options)

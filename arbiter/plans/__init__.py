@@ -11,6 +11,7 @@ MODULES = [
     "scoring",
     "evaluation",
     "streams",
+    "runs",
 ]
 
 

@@ -68,19 +68,6 @@ def g3_tickets(spark, sf_dir):
     return t.select("id", "category", "tag", "variant", "adversarial", "expected", F.md5("state").alias("state_md5"))
 
 
-@query(
-    "g4_build_splits",
-    sql=lambda: f"""SELECT family, split, count(*) AS n FROM (
-        SELECT 'finance' AS family, {O.split_sql('rec_id')[0]} AS split FROM ({O.finance_set()})
-        UNION ALL SELECT 'general', {O.split_sql('rec_id')[0]} FROM ({O.general_set()})) GROUP BY 1, 2""",
-)
-def g4_build_splits(spark, sf_dir):
-    """Both families composed into train/valid/test, counted by split and family."""
-    t = Tables(spark, sf_dir)
-    s = G.build_splits({"finance": X.finance_set(t.orders), "general": X.general_set(t.customer)})
-    return s.groupBy("family", "split").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- G6 / D7 / G5 / A9 ------------------------------------------------------------------------
 
 

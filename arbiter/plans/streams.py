@@ -22,6 +22,7 @@ from arbiter.session import Tables
 from arbiter.sources import fixtures as X
 from arbiter.sources.records import scratch_path
 from arbiter.streaming import tickets as T
+from arbiter.streaming.runs import TicketRun
 
 
 def _arrivals(spark, sf_dir, waves: int = 4):
@@ -68,21 +69,17 @@ def t2_stats_per_class(spark, sf_dir):
 
 @query("t3_resume_stream", sql=lambda: f"SELECT id, label, status FROM ({_tickets_decided_sql()})")
 def t3_resume_stream(spark, sf_dir):
-    """Stop after part of the input, continue, then reset the stream
-    position and replay everything; no ticket is scored twice."""
+    """Stop after part of the input, continue with the rest and with tickets that came before; no
+    ticket is scored twice."""
     tk = X.ticket_set(Tables(spark, sf_dir).orders)
     root = scratch_path(spark, "t3-in")
-    first = tk.where(F.col("rec_id") % 2 == 0)
-    first.write.parquet(f"{root}/part=0")
-    results = scratch_path(spark, "t3-results")
-    T.init_results(spark, results)
-    ckpt = scratch_path(spark, "t3-ckpt")
-    T.resumable_stream(T.ticket_stream(spark, root, tk.schema), results, ckpt).awaitTermination()
-    tk.where(F.col("rec_id") % 2 == 1).write.parquet(f"{root}/part=1")
-    T.resumable_stream(T.ticket_stream(spark, root, tk.schema), results, ckpt).awaitTermination()
-    fresh = scratch_path(spark, "t3-ckpt-reset")
-    T.resumable_stream(T.ticket_stream(spark, root, tk.schema), results, fresh).awaitTermination()
-    return spark.read.parquet(results).select("id", "label", "status")
+    run = TicketRun(spark, scratch_path(spark, "t3-run"))
+    tk.where(F.col("rec_id") % 2 == 0).write.parquet(f"{root}/part=0")
+    run.start(root, tk.schema).awaitTermination()
+    tk.where(F.col("rec_id") % 3 < 2).write.parquet(f"{root}/part=1")
+    tk.where(F.col("rec_id") % 2 == 1).write.parquet(f"{root}/part=2")
+    run.start(root, tk.schema).awaitTermination()
+    return run.results().select("id", "label", "status")
 
 
 # ---- U1 --------------------------------------------------------------------------------------

@@ -1,5 +1,5 @@
-"""Structured Streaming: continuous ticket classification (T1), running
-stats (T2) and stop / continue / reset without re-scoring (T3).
+"""Structured Streaming: continuous ticket classification (T1) and running decision counts.
+Runs that stop, continue and reset are in ``runs.py``, latency statistics in ``running.py``.
 
 Sources are file streams (new files = arriving tickets); every query has a
 checkpoint in the shared checkpoint folder so a lost executor or a restarted
@@ -17,6 +17,11 @@ from arbiter.operators.rules import classify
 DECISION_COLS = ["id", "expected", "conclusion", "label", "status"]
 
 
+def decide(tickets: DataFrame) -> DataFrame:
+    """The result row of each ticket (rules, no state)."""
+    return classify(tickets).select(*DECISION_COLS)
+
+
 def ticket_stream(spark: SparkSession, source_dir: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -26,9 +31,8 @@ def ticket_stream(spark: SparkSession, source_dir: str, schema, files_per_trigge
 
 def classify_stream(stream: DataFrame, sink_dir: str, checkpoint: str, available_now: bool = True):
     """Decide each ticket as it arrives; exactly-once parquet sink."""
-    decided = classify(stream).select(*DECISION_COLS)
     writer = (
-        decided.writeStream.format("parquet")
+        decide(stream).writeStream.format("parquet")
         .option("path", sink_dir)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -62,30 +66,3 @@ def read_stats(spark: SparkSession, stats_dir: str) -> DataFrame:
     """The newest snapshot of ``stats_stream``."""
     all_ = spark.read.parquet(stats_dir)
     return all_.where(F.col("epoch") == all_.agg(F.max("epoch")).scalar()).drop("epoch")
-
-
-def resumable_stream(stream: DataFrame, results_dir: str, checkpoint: str, available_now: bool = True):
-    """Append only tickets whose id has no result yet.
-
-    Each micro-batch is de-duplicated on id and anti-joined with the results
-    already written, so a replayed batch, a restart after Stop, or a run
-    with a fresh checkpoint (Reset of the stream position, not of results)
-    never scores an id twice. ``results_dir`` must hold a (possibly empty)
-    parquet table before the first batch — see ``init_results``.
-    """
-    decided = classify(stream).select(*DECISION_COLS)
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        done = spark.read.parquet(results_dir).select("id")
-        fresh = batch.dropDuplicates(["id"]).join(done, "id", "left_anti")
-        fresh.write.mode("append").parquet(results_dir)
-
-    writer = decided.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
-
-
-def init_results(spark: SparkSession, results_dir: str) -> None:
-    schema = "id STRING, expected STRING, conclusion STRING, label STRING, status STRING"
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(results_dir)
