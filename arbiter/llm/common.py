@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,16 +53,69 @@ def sole(*tables: dict) -> None:
     A worker serves one operator after another, and each remembers words or pieces. Called where a
     partition starts, so a worker never holds the tables of two operators.
     """
-    for t in _TABLES:
-        if not any(t is mine for mine in tables):
-            t.clear()
+    gone = [t for t in _TABLES if t and not any(t is mine for mine in tables)]
+    for t in gone:
+        t.clear()
     _TABLES[:] = tables
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory of this Python worker to the system, where its C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether the ids are distinct and none is null; shuffles ids only."""
+    counts = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n > 1 OR id IS NULL").isEmpty()
+
+
+def row_keyed(df: DataFrame, id_col: str, content: str) -> tuple[DataFrame, str]:
+    """(``df`` with a distinct long for every row, that column's name); keys follow the ids, null last.
+
+    Distinct ids are their own keys: the table stays as it is and the name is ``id_col``. Otherwise the
+    rows are sorted by (id, content) in ranges and written once, with keys that grow along the ranges;
+    equal rows get their keys in any order.
+    """
+    if unique_ids(df, id_col):
+        return df, id_col
+    key = "_row"
+    while key in df.columns:
+        key += "_"
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(F.col(content))]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(ranged.withColumn(key, F.monotonically_increasing_id()), "row-keyed"), key
+
+
+def by_row(
+    df: DataFrame, id_col: str, content: str, operator: Callable[[DataFrame], DataFrame], *id_columns: str
+) -> DataFrame:
+    """Run an operator that needs distinct ids in ``id_col`` on any table.
+
+    ``operator(rows)`` returns ``id`` and perhaps ``id_columns``, which hold other rows' ids. Where ids
+    repeat it works on row keys, which come back as the rows' ids; ``kept``, where there, then says again
+    whether the first of ``id_columns`` is the row's own id.
+    """
+    keyed, key = row_keyed(df, id_col, content)
+    if key == id_col:
+        return operator(df)
+    out = operator(keyed.drop(id_col).withColumnRenamed(key, id_col))
+    columns = out.columns
+    ids = keyed.select(F.col(key).alias("_key"), F.col(id_col).cast("long").alias("_id"))
+    for c in ("id", *id_columns):
+        out = out.join(ids.withColumnRenamed("_key", c), c, "left").drop(c).withColumnRenamed("_id", c)
+    if "kept" in columns and id_columns:
+        out = out.withColumn("kept", F.col("id").eqNullSafe(F.col(id_columns[0])))
+    return out.select(columns)
+
+
 def with_position(
     df: DataFrame, group: list[str], order: list[str], out: str, rows: int, per_bucket: int = 5_000
 ) -> DataFrame:
@@ -125,14 +181,19 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     )
 
 
-def in_blocks(rows: DataFrame, group: list[str], id_col: str, block: int) -> DataFrame:
+def in_blocks(
+    rows: DataFrame, group: list[str], id_col: str, block: int, weight: str | None = None, heavy: int = 1 << 20
+) -> DataFrame:
     """Deal the rows of each group out to blocks so that any two rows of a group share a block.
 
     A group of m rows has c = ceil(m / block) hashed parts and a block for each pair of parts; a
     row goes to the c blocks of its part. Adds ``_g`` (64-bit block key), ``_i``, ``_j`` (the
-    block's parts) and ``_c`` (the row's part). No block holds more than about 2 * block rows.
+    block's parts) and ``_c`` (the row's part). No block holds more than about 2 * block rows, nor, where
+    a column ``weight`` is named, rows of more than about 2 * heavy together (but for a heavier row).
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    parts = F.count(F.lit(1)) / block
+    parts = F.greatest(parts, F.sum(weight) / heavy) if weight else parts
+    sizes = rows.groupBy(*group).agg(F.ceil(parts).cast("int").alias("_n"))
     rows = rows.join(sizes, group).withColumn("_c", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.withColumns({"_i": F.least("_c", "_o").cast("int"), "_j": F.greatest("_c", "_o").cast("int")})

@@ -20,7 +20,8 @@ the estimate needs 14 of 32 (mean 25.6 +- 2.3): five standard deviations each. S
 kept whole and handled exactly.
 
 Defined results: null or empty text has no shingles and links with nothing; one word is one
-shingle; an empty table gives an empty result; extra columns are ignored.
+shingle; rows that share an id are documents of their own (null ids come last); an empty table gives an
+empty result; extra columns are ignored; whole texts are shingled, however long.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import blocks, by_block, components, forest, framed, in_blocks, shared_counts, sole, staged
+from arbiter.llm.common import blocks, by_block, by_row, components, forest, framed, in_blocks, shared_counts, sole, staged
 
 K = 32
 #: Lists a larger set enters: sketches sharing K - P + 1 values meet in one of them.
@@ -165,7 +166,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
                 keep.append(inter * 100 >= (len(mine) + len(other) - inter) * percent)
             yield pdf.loc[keep, ["a", "b"]]
 
-    # One row of a repeated id is enough: equal ids are told apart by no later step.
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
@@ -185,12 +185,14 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
     )
     mixed = mixed.where("lo < hi AND first = band").select("value", "band")
     rows = near.join(mixed, ["value", "band"], "left_semi").withColumn("first", F.col("own") == F.col("band")).drop("own")
-    rows = in_blocks(rows, ["value", "band"], "id", block)
+    rows = in_blocks(rows, ["value", "band"], "id", block, "n")
     rows = by_block(rows.join(reps.select("id", "sketch"), "id").drop("value", "band"))
 
     kept = ["_g", "_i", "_j", "_c", "id", "n", "component", "first"]
 
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole()
+
         def each():
             for b in blocks(batches):
                 keep = np.zeros(len(b["id"]), bool)
@@ -218,7 +220,7 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sole(_WORDS)
         for b in blocks(batches):
-            sets = [shingle_hashes(t, words) for t in b["text"]]
+            sets = [shingle_hashes(t, words) for t in b.pop("text")]  # a text goes when it is hashed
             for x, y in _halves(b):
                 shared = shared_counts([sets[i] for i in x], [sets[i] for i in y])
                 total = b["n"][x][:, None] + b["n"][y][None, :] - shared
@@ -251,12 +253,19 @@ def near_dups(
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
-    Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
+    Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets. Rows that
+    share an id are documents of their own.
     """
+    docs = docs.select(id_col, text_col)
+    return by_row(docs, id_col, text_col, lambda d: _near_dups(d, id_col, text_col, words, percent, k, p, est), "component_id")
+
+
+def _near_dups(docs, id_col: str, text_col: str, words: int, percent: int, k: int, p: int, est: int) -> DataFrame:
+    """`near_dups` of distinct ids."""
     s = staged(sketches(docs, id_col, text_col, words, k), "sketches")
     classes = staged(s.where("n > 0").groupBy("set_id").agg(F.min("id").alias("rep")), "classes")
     reps = staged(
-        s.join(classes, "set_id").where("id = rep").select("id", "n", "sketch").dropDuplicates(["id"]), "reps"
+        s.join(classes, "set_id").where("id = rep").select("id", "n", "sketch"), "reps"
     )
     lists = staged(_entries(reps, percent, k, p), "lists")
 

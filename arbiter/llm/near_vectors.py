@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import blocks, by_block, components, forest, in_blocks, staged
+from arbiter.llm.common import blocks, by_block, by_row, components, forest, in_blocks, staged
 
 #: Hash tables, and axes probed per rotation (nearest and runner-up; the pair of runners-up not).
 TABLES, PROBES, SEED = 10, 3, 7
@@ -93,7 +93,16 @@ def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
     cosine: float = 0.93, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept."""
+    """One row per vector: id, n_links, component_id, kept. Rows that share an id are vectors of their own."""
+    vectors = vectors.select(id_col, vec_col, label_col)
+    run = lambda v: _near_vectors(v, id_col, vec_col, label_col, cosine, tables, probes, block)
+    return by_row(vectors, id_col, vec_col, run, "component_id")
+
+
+def _near_vectors(
+    vectors: DataFrame, id_col: str, vec_col: str, label_col: str, cosine: float, tables: int, probes: int, block: int
+) -> DataFrame:
+    """`near_vectors` of distinct ids."""
     rows, classes = _classes(vectors, id_col, vec_col, label_col)
     classes = staged(classes, "vector-classes")
     reps = rows.select("id", "key", "label", "v").join(classes, "key").where("id = rep")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import sole, staged
+from arbiter.llm.common import by_row, sole, staged
 
 #: Documents that train the scorer, and the size of its hashed weight vector.
 SAMPLE, DIMENSIONS = 3000, 1 << 12
@@ -33,7 +33,7 @@ SAMPLE, DIMENSIONS = 3000, 1 << 12
 REJECT = 0.8
 #: A shorter text shows too few shapes for the scorer: its votes alone decide.
 MIN_WORDS = 8
-KEPT_WORDS = 200_000
+KEPT_WORDS, KEPT_CHARS = 200_000, 200
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = frozenset(
@@ -166,10 +166,12 @@ class _Shapes(dict):
     """Word -> (shape hash): letters to a or A, digits to 0, runs shortened, marks as they are."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        s = "".join("a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in w[:200])
-        h = self[w] = xxhash.xxh64_intdigest(re.sub(r"(.)\1+", r"\1", s).encode("utf-8", "surrogatepass"))
+        s = "".join("a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in w)
+        h = xxhash.xxh64_intdigest(re.sub(r"(.)\1+", r"\1", s).encode("utf-8", "surrogatepass"))
+        if len(w) <= KEPT_CHARS:  # the whole word has a shape, only short ones are remembered
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[w] = h
         return h
 
 
@@ -259,7 +261,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 def classify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = REJECT
 ) -> DataFrame:
-    """One row per document: id, votes, weak_bad (posterior of its votes), bad (scorer), kept."""
+    """One row per document: id, votes, weak_bad (posterior of its votes), bad (scorer), kept.
+
+    Rows that share an id are judged each by its own text.
+    """
+    docs = docs.select(id_col, text_col)
+    return by_row(docs, id_col, text_col, lambda d: _classify(d, id_col, text_col, sample, reject))
+
+
+def _classify(docs: DataFrame, id_col: str, text_col: str, sample: int, reject: float) -> DataFrame:
+    """`classify` of distinct ids."""
     model = fit(docs, id_col, text_col, sample)
     w, posterior = model["weights"], model["bad"]
 
@@ -275,7 +286,7 @@ def classify(
     table = voted.sparkSession.createDataFrame([*posterior.items()] or [(0, 0.0)], "votes int, weak_bad double")
     weak = staged(voted.join(F.broadcast(table), "votes", "left"), "weak")  # at most 3^m rows
     verdict = F.when(F.col("short"), F.col("weak_bad")).otherwise(F.col("bad"))
-    return scored.join(weak.dropDuplicates(["id"]), "id", "left").select(
+    return scored.join(weak, "id", "left").select(
         "id", "votes", F.round("weak_bad", 9).alias("weak_bad"), F.round("bad", 9).alias("bad"),
         F.coalesce(verdict < reject, F.lit(True)).alias("kept"),
     )

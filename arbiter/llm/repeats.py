@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by sparse distributed prefix doubling.
+"""Removal of repeated byte strings by anchored hash grouping, in place of full prefix doubling.
 
 A byte goes when a string of ``length`` (100) bytes that covers it also starts earlier: in a
 document of smaller id, or earlier in the same document. Plain prefix doubling ranks every byte
@@ -22,7 +22,8 @@ Names are 64-bit polynomial hashes, compared in pairs only (128 bits decide an e
 Texts are staged once, bucketed by document, so the three joins that need them shuffle no text.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; an empty table gives an
-empty result; extra columns are ignored. Ids must be distinct: an id names the place a string starts.
+empty result; extra columns are ignored. Rows that
+share an id count as documents of neighbouring ids (null ids last).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import drop_staged, framed, shared_dir, staged
+from arbiter.llm.common import by_row, drop_staged, framed, shared_dir, staged
 
 SEED, STEP = 24, 8
 #: Windows of one pass over a long text; a text of any length is done in such portions.
@@ -228,8 +229,16 @@ def _per_text(rows: DataFrame, *cols: str) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Of rows that share an id, one comes before the other as documents of neighbouring ids do.
+    """
+    docs = docs.select(id_col, text_col)
+    return by_row(docs, id_col, text_col, lambda d: _drop_repeats(d, id_col, text_col, length))
+
+
+def _drop_repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """`drop_repeats` of distinct ids."""
     texts = _bucketed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,6 +37,15 @@ def awkward_docs(spark, seed: int = 1, n: int = 120):
     return spark.createDataFrame(rows, SCHEMA), {r[0]: r[1] for r in rows}
 
 
+def with_repeated_ids(spark, docs):
+    """Rows that stand twice, rows with another text under a known id, and rows without an id."""
+    twice = docs.where("doc_id < 60")
+    kept = [c for c in docs.columns if c not in ("doc_id", "text")]
+    other = docs.where("doc_id BETWEEN 30 AND 120").selectExpr("doc_id + 3 AS doc_id", "concat(text, ' more')  AS text", *kept)
+    null = docs.where("doc_id IN (63, 66)").selectExpr("CAST(null AS long) AS doc_id", "text", *kept)
+    return docs.union(twice).union(other).union(null).repartition(5)
+
+
 def empty_docs(spark):
     return spark.createDataFrame([], SCHEMA)
 

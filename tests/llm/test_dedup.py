@@ -173,3 +173,40 @@ def test_empty_tables(spark):
     assert repeats.drop_repeats(docs).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors.near_vectors(vectors).count() == 0
+
+
+# ---- rows that share an id -----------------------------------------------------------------------
+
+
+def rows_in_order(docs):
+    """Rows as the operators order them: by id, null last."""
+    return sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def test_near_dups_of_repeated_ids(spark):
+    docs = H.with_repeated_ids(spark, H.awkward_docs(spark)[0])
+    rows = rows_in_order(docs)
+    want = H.near_groups(dict(enumerate(t for _, t in rows)))
+    want = [(rows[k][0], n, rows[c][0] if n else rows[k][0]) for k, (n, c) in want.items()]
+    got = minhash.near_dups(docs).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.kept == (r.id == r.component_id) for r in got)
+
+
+def test_repeats_of_repeated_ids(spark):
+    """Rows of one id are told apart: the first copy of a string stays somewhere."""
+    rnd = random.Random(8)
+    a, b = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (400, 250))
+    rows = [(1, a), (1, a), (2, "start " + a[100:350] + " end"), (2, b), (3, b + "x"), (None, a), (4, None), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.drop_repeats(docs).collect()), key=str)
+    want = [(1, 400, 0, 0), (1, 400, 400, 1), (2, 250, 0, 0), (2, 260, 250, 1), (3, 251, 250, 1), (None, 400, 400, 1), (4, 0, 0, 0), (4, 5, 0, 0)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_vectors_of_repeated_ids(spark):
+    v = lambda *x: [float(i) for i in x]
+    rows = [(1, v(1, 0, 0), 1), (1, v(0, 1, 0), 1), (2, v(1, 0.01, 0), 1), (2, v(1, 0.01, 0), 1), (3, v(0, 0, 1), 1), (None, v(0, 1, 0.01), 1)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.id, r.n_links, r.component_id) for r in near_vectors.near_vectors(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 1, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3), (None, 1, 1)], key=str)

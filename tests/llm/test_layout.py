@@ -118,14 +118,26 @@ def test_shards_are_even_and_keep_groups(spark):
 
 
 def test_shards_of_pairs_only(spark):
-    """Without unlinked documents moves are swaps; pairs still come together."""
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 2)).alias("text"))
-    rows = sharding.shard(docs, shards=8, rounds=8).collect()
-    assert set(collections.Counter(r.shard for r in rows).values()) == {50}
+    """Members far apart in id; with production settings nearly all pairs come together."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 2000).alias("text"))
+    rows = sharding.shard(docs, shards=8).collect()
+    assert set(collections.Counter(r.shard for r in rows).values()) == {500}
     shards = collections.defaultdict(set)
     for r in rows:
-        shards[r.id // 2].add(r.shard)
-    assert sum(len(s) > 1 for s in shards.values()) < 0.6 * len(shards)  # at random it would be 7 of 8
+        shards[r.id % 2000].add(r.shard)
+    # A swap takes two pairs that lie across the same two shards: at most one of each two shards is left.
+    assert sum(len(s) > 1 for s in shards.values()) <= 8 * 7 // 2
+
+
+def test_shards_of_repeated_rows(spark):
+    docs = H.with_repeated_ids(spark, H.awkward_docs(spark, n=300)[0])
+    rows = sharding.shard(docs, shards=7).collect()
+    want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 16) for r in docs.collect())
+    assert collections.Counter((r.id, r.size) for r in rows) == want
+    per = collections.Counter(r.shard for r in rows)
+    assert max(per.values()) - min(per.values()) <= 1
+    slots = H.group_by_value((r.slot, r.shard) for r in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def test_shards_with_a_group_larger_than_a_shard(spark):
@@ -168,6 +180,22 @@ def test_pipeline_stage_by_stage(spark):
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF001).collect()} == {tuple(r) for r in docs.collect()}
 
 
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    """Repeated ids: equal rows lose all but one, a text's only copy stays."""
+    rows = [(1, "x"), (5, "only copy of this text"), (5, "x"), (7, "same"), (7, "same"), (None, "x"), (None, "alone")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, docs, "").collect()), key=str)
+    assert got == [(1, "x"), (5, "only copy of this text"), (7, "same"), (None, "alone")]
+    docs = H.with_repeated_ids(spark, H.awkward_docs(spark)[0])
+    exact = staged(corpus_pipeline.exact_copies(spark, docs, ""), "test-stage")
+    fold = lambda t: quality.re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    texts = [fold(r.text) for r in exact.collect()]
+    assert sorted(texts) == sorted({fold(r.text) for r in docs.collect()})
+    near = corpus_pipeline.near_copies(spark, exact, "").collect()
+    groups = H.near_groups(dict(enumerate(texts)), corpus_pipeline.SHINGLE, corpus_pipeline.SIMILAR)
+    assert len(near) == len({c for _, c in groups.values()})
+
+
 def test_pipeline_of_awkward_rows(spark):
     docs, texts = H.awkward_docs(spark, n=60)
     for name, stage in corpus_pipeline.STAGES:

@@ -211,3 +211,12 @@ def test_wrapped_and_commented_licences(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _, _) in rows.items()], "doc_id long, text string")
     got = {r.id: (r.families, r.paragraphs, r.n_licences) for r in licences.licences(docs).collect()}
     assert got == {i: (f, p, int(f != "")) for i, (_, f, p) in rows.items()}
+
+
+def test_verdicts_of_repeated_ids_and_whole_words(spark):
+    docs = H.with_repeated_ids(spark, H.awkward_docs(spark)[0])
+    rows = quality.classify(docs).collect()
+    assert len(rows) == docs.count()
+    long = "b" * 200
+    a, b = quality.features(long + "#" * 50), quality.features(long + "9" * 9)
+    assert a.tolist() != b.tolist()
