@@ -6,16 +6,20 @@ of ``documents``. Documents leave by an anti-join against the ids that go: a wri
 the planner broadcasts only when its size is small.
 
 Defined results: null and empty texts pass the quality stage, count as one exact group, are near
-nothing and have no tokens; an empty table stays empty; extra columns are carried along.
+nothing and have no tokens; rows that share a doc_id are documents of their own (of equal texts under
+one id one stays); an empty table stays empty; extra columns are carried along.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arbiter.llm import bpe, exact_dedup, minhash, mixing, quality
-from arbiter.llm.common import staged
+from arbiter.llm.common import row_keyed, staged
 
 #: Words per shingle and least Jaccard similarity (percent) of near copies.
 SHINGLE, SIMILAR = 5, 80
@@ -23,9 +27,15 @@ SHINGLE, SIMILAR = 5, 80
 SOURCE_CAP = 0.25
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    gone = staged(ids.withColumnRenamed("id", "doc_id"), name)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, name: str, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` but those of which ``gone(rows)`` returns the ``id``.
+
+    Where doc_ids repeat, ``gone`` sees rows whose doc_id is a key of the row, so a row leaves by itself.
+    """
+    keyed, key = row_keyed(docs, "doc_id", "text")
+    rows = keyed if key == "doc_id" else keyed.drop("doc_id").withColumnRenamed(key, "doc_id")
+    ids = staged(gone(rows).select(F.col("id").alias(key)), name)
+    return keyed.join(ids, key, "left_anti").select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +45,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of every group of equal texts."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept").select("id"), "copies")
+    return _without(docs, "copies", lambda d: exact_dedup.exact_dedup(d).where("NOT kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by word shingles."""
-    d = minhash.near_dups(docs, words=SHINGLE, percent=SIMILAR)
-    return _without(docs, d.where("NOT kept").select("id"), "near-copies")
+    near = lambda d: minhash.near_dups(d, words=SHINGLE, percent=SIMILAR).where("NOT kept")
+    return _without(docs, "near-copies", near)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stand in the mix at target weights, up to where a source runs out."""
-    m = mixing.mix(docs, mixing.capped_weights(docs, SOURCE_CAP))
-    return _without(docs, m.where("NOT in_mix").select("id"), "not-in-mix")
+    mix = lambda d: mixing.mix(d, mixing.capped_weights(d, SOURCE_CAP)).where("NOT in_mix")
+    return _without(docs, "not-in-mix", mix)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
