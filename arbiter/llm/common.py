@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +64,21 @@ def sole(*tables: dict) -> None:
 def _give_back() -> None:
     """Return freed memory of this Python worker to the system, where its C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches, whose memory goes back to the system at its end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _give_back()
+
+    return whole
+
+
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

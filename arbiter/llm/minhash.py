@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import blocks, by_block, by_row, components, forest, framed, in_blocks, shared_counts, sole, staged
+from arbiter.llm.common import blocks, by_block, by_row, components, forest, framed, in_blocks, lean, shared_counts, sole, staged
 
 K = 32
 #: Lists a larger set enters: sketches sharing K - P + 1 values meet in one of them.
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int = K
             yield out
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "id long, n long, set_id binary, sketch array<long>"
+        lean(run), "id long, n long, set_id binary, sketch array<long>"
     )
 
 
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
                 keep.append(inter * 100 >= (len(mine) + len(other) - inter) * percent)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(lean(run), "a long, b long")
 
 
 def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est, block: int = BLOCK) -> DataFrame:
@@ -212,7 +212,7 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
         yield from framed(each())
 
     live = staged(
-        rows.mapInPandas(screen, "_g long, _i int, _j int, _c int, id long, n long, component long, first boolean"), "live"
+        rows.mapInPandas(lean(screen), "_g long, _i int, _j int, _c int, id long, n long, component long, first boolean"), "live"
     )
     texts = _texts(docs, id_col, text_col, live.select("id").distinct(), "between")
     rows = by_block(live.join(texts, "id"))
@@ -230,7 +230,7 @@ def _between(lists, comp, reps, docs, id_col, text_col, words, percent, k, est,
                     at = forest(b["component"][i], b["component"][j])
                     yield pd.DataFrame({"a": b["id"][i[at]], "b": b["id"][j[at]]})
 
-    return staged(rows.mapInPandas(links, "a long, b long"), "more")
+    return staged(rows.mapInPandas(lean(links), "a long, b long"), "more")
 
 
 def _halves(b: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

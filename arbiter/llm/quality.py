@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import by_row, sole, staged
+from arbiter.llm.common import by_row, lean, sole, staged
 
 #: Documents that train the scorer, and the size of its hashed weight vector.
 SAMPLE, DIMENSIONS = 3000, 1 << 12
@@ -309,4 +309,4 @@ def keep_good(
             # Arrow hands the other columns through as they are, whatever their types.
             yield batch.select([*range(batch.num_columns - 1)]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("_t", F.col(text_col)).mapInArrow(run, docs.schema)
+    return docs.withColumn("_t", F.col(text_col)).mapInArrow(lean(run), docs.schema)
