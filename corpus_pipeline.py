@@ -27,6 +27,14 @@ SHINGLE, SIMILAR = 5, 80
 SOURCE_CAP = 0.25
 
 
+#: Rows of one batch on its way to a Python worker: bounds what a worker and its buffers hold of whole texts.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _without(docs: DataFrame, name: str, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of ``docs`` but those of which ``gone(rows)`` returns the ``id``.
 
@@ -40,16 +48,19 @@ def _without(docs: DataFrame, name: str, gone: Callable[[DataFrame], DataFrame])
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier does not reject."""
+    _small_batches(spark)
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of every group of equal texts."""
+    _small_batches(spark)
     return _without(docs, "copies", lambda d: exact_dedup.exact_dedup(d).where("NOT kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by word shingles."""
+    _small_batches(spark)
     near = lambda d: minhash.near_dups(d, words=SHINGLE, percent=SIMILAR).where("NOT kept")
     return _without(docs, "near-copies", near)
 
@@ -62,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the encoded and decoded text of what is left."""
+    _small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
