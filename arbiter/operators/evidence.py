@@ -29,7 +29,6 @@ MISSING = (
     r"(?i)no invoice reference|no invoice link|unreadable|timed out|smudged|two active records"
     r"|does not exist|signature is missing|inconclusive"
 )
-REFERENCE = r"(?:INV|PO|PAY)-\d+"
 
 
 def _opt(pattern: str, group: int, text: Column) -> Column:

@@ -1,5 +1,5 @@
 """Runs as they happen: resumable scoring (T3), running statistics (T2), failing lines (S1), the export
-document (S5), generation (U1) and exact splits (G4)."""
+document (S5), exact splits (G4), generation (U1), the writing gate (F2) and references (D7)."""
 
 from __future__ import annotations
 
@@ -8,17 +8,24 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from arbiter.functions.json import parse_json
+from arbiter.functions.options import format_options
+from arbiter.functions.prompts import render_prompt
 from arbiter.functions.subquery import row_value
 from arbiter.functions.text import sql_str
+from arbiter.operators import generation as G
 from arbiter.operators import metrics as M
+from arbiter.operators import validate as V
+from arbiter.operators.references import ROLES, with_references
 from arbiter.operators.selection import build_splits, family_counts, id_bases
 from arbiter.plans import oracle_fixtures as O
-from arbiter.plans.decisions import _tickets_decided_sql
+from arbiter.plans.decisions import _resolve_sql, _tickets_decided_sql
 from arbiter.plans.evaluation import _joined_sql, _quantile_sql, results
+from arbiter.plans.records import _violations_sql
 from arbiter.plans.registry import query
 from arbiter.session import Tables, staged
 from arbiter.sources import document as D
 from arbiter.sources import fixtures as X
+from arbiter.sources import gate as W
 from arbiter.sources import lines as L
 from arbiter.sources.records import scratch_path
 from arbiter.streaming import running as RS
@@ -341,3 +348,99 @@ def g4_default_splits(spark, sf_dir):
 def g4_whole_splits(spark, sf_dir):
     """G4 at the largest multiple of the default sizes that both record tables fill."""
     return _splits(spark, sf_dir)
+
+
+# ---- U1 ------------------------------------------------------------------------------------------
+
+_PHRASES_SQL = """CASE length(p) % 7 % 6 WHEN 0 THEN l WHEN 1 THEN ' ' || lower(l) || chr(10) WHEN 2 THEN 'Answer: ' || l
+  WHEN 3 THEN 'The label is ' || l || '.' WHEN 4 THEN 'I cannot tell' ELSE '' END"""
+
+
+def _generated_sql() -> str:
+    from arbiter.plans.records import _prompt_sql
+
+    raw = f"""SELECT rec_id, {_PHRASES_SQL} AS raw FROM (SELECT rec_id, p, ['A', 'B', 'C'][length(p) % 3 + 1] AS l
+      FROM (SELECT rec_id, {_prompt_sql()} AS p FROM ({O.d_set()})))"""
+    return f"SELECT rec_id, raw, label, status FROM ({_resolve_sql('generated', ['A', 'B'], raw)})"
+
+
+@query("u1_generated_labels", sql=_generated_sql)
+def u1_generated_labels(spark, sf_dir):
+    """A user's generator (deterministic stub), once for each distinct prompt; the label found in its text."""
+    t = Tables(spark, sf_dir)
+    rows = X.d_set(t.documents, t.labels).select(
+        "rec_id",
+        render_prompt("state", "question", format_options("options")).alias("prompt"),
+        F.transform("options", lambda o: o["label"]).alias("labels"),
+    )
+    return G.generated_labels(rows, G.phrase_stub_factory).select("rec_id", "raw", "label", "status")
+
+
+# ---- F2 ------------------------------------------------------------------------------------------
+
+
+@query(
+    "f2_write_gate",
+    sql=lambda: f"""WITH s AS (SELECT unnest(['train', 'valid', 'test', 'other']) AS split),
+      v AS (SELECT split, count(*) AS n FROM ({_violations_sql()}) GROUP BY split),
+      r AS (SELECT split, count(*) AS n FROM ({O.d_set()}) GROUP BY split)
+      SELECT 'seeded' AS input, s.split, coalesce(v.n, 0) AS violations, 0 AS published FROM s LEFT JOIN v USING (split)
+      UNION ALL SELECT 'right', s.split, 0, coalesce(r.n, 0) FROM s LEFT JOIN r USING (split)""",
+)
+def f2_write_gate(spark, sf_dir):
+    """records with seeded defects are not published, right ones are; each in the one job that writes them."""
+    t = Tables(spark, sf_dir)
+    d = X.d_set(t.documents, t.labels)
+    body = F.to_json(F.struct("state", "question", "options", "answer")).alias("body")
+    out = []
+    for name, rows in (("seeded", X.corrupt_set(t.documents, t.labels)), ("right", d.select("rec_id", "split", body))):
+        path = scratch_path(spark, "f2-gate")
+        checked = V.parse_records(rows)
+        try:
+            counts = W.write_checked(checked, F.size(V.violations_expr(F.col("v"))), path, columns=["rec_id", "body"])
+            there = dict(spark.read.json(path).groupBy("split").count().collect())
+        except W.GateClosed as e:
+            counts, there = e.counts, {}
+        out += [(name, s, n, there.get(s, 0)) for s, n in counts.items()]
+    return spark.createDataFrame(out, "input string, split string, violations long, published long")  # a row a split
+
+
+# ---- D7 ------------------------------------------------------------------------------------------
+
+
+def _refs_sql(src: str) -> str:
+    first = lambda k: f"nullif(regexp_extract(state, '\\b({k}-[0-9]+)', 1), '')"
+    return f"""SELECT *, {first('INV')} AS invoice_ref, {first('PO')} AS po_ref, {first('PAY')} AS payment_ref,
+        len(regexp_extract_all(state, '\\b(INV|PO|PAY)-[0-9]+')) AS n_refs,
+        strpos(state, regexp_extract(state, '\\b(INV|PO|PAY)-[0-9]+')) - 1 AS first_pos FROM ({src})"""
+
+
+@query(
+    "d7_references",
+    sql=lambda: f"""SELECT id, invoice_ref, po_ref, payment_ref, n_refs, CASE WHEN n_refs > 0 THEN first_pos END AS first_pos
+      FROM ({_refs_sql(O.ticket_set())})""",
+)
+def d7_references(spark, sf_dir):
+    """Invoice, order and payment that each ticket's text names, how many references it has, where the first stands."""
+    r = with_references(X.ticket_set(Tables(spark, sf_dir).orders).select("id", "state"))
+    return r.select("id", *ROLES.values(), F.size("refs").alias("n_refs"), F.get("refs", 0)["pos"].alias("first_pos"))
+
+
+@query(
+    "d7_unreferenced_payments",
+    sql=lambda: f"""WITH r AS ({_refs_sql(O.finance_set())})
+      SELECT CASE WHEN payment_ref IS NULL THEN 'no payment' WHEN invoice_ref IS NULL THEN 'payment without invoice'
+        ELSE 'payment of an invoice' END AS role, count(*) AS n, count(DISTINCT payment_ref) AS payments, count(DISTINCT invoice_ref) AS invoices
+      FROM r GROUP BY 1""",
+)
+def d7_unreferenced_payments(spark, sf_dir):
+    """What payments the record texts name refer to, from the texts alone."""
+    r = with_references(X.finance_set(Tables(spark, sf_dir).orders).select("rec_id", "state"))
+    role = (
+        F.when(F.col("payment_ref").isNull(), "no payment")
+        .when(F.col("invoice_ref").isNull(), "payment without invoice")
+        .otherwise("payment of an invoice")
+    )
+    return r.groupBy(role.alias("role")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("payment_ref").alias("payments"), F.count_distinct("invoice_ref").alias("invoices")
+    )
