@@ -26,7 +26,7 @@ IS_IN = r"is in (EUR|USD|GBP)"
 CONFLICT = r"currency differs \((EUR|USD|GBP) vs (EUR|USD|GBP)\)"
 DUPLICATE = r"(?i)already paid|arrived again|already cleared|reappeared"
 MISSING = (
-    r"(?i)no invoice reference|no invoice link|unreadable|timed out|smudged|two active records"
+    r"(?i)no reference|no invoice reference|no invoice link|unreadable|timed out|smudged|two active records"
     r"|does not exist|signature is missing|inconclusive"
 )
 

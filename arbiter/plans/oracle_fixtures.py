@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from arbiter.functions.text import sql_str, template_sql
 from arbiter.sources import catalogue as C
-from arbiter.sources.fixtures import QUALITY_OPTIONS, QUALITY_QUESTION, RAW_WRAPPERS, TICKET_CATEGORY, TICKET_TAG
+from arbiter.sources.fixtures import ADVERSARIAL, QUALITY_OPTIONS, QUALITY_QUESTION, RAW_WRAPPERS, SHORT_TAG, TICKET_CATEGORY, TICKET_TAG
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -74,6 +74,7 @@ def _fin_values(tol: str = "1") -> dict:
         "amt_diff": f"CAST(CAST({amount} + {diff} AS DECIMAL(14,2)) AS VARCHAR)",
         "amt_plus1": f"CAST(CAST({amount} + {tol} AS DECIMAL(14,2)) AS VARCHAR)",
         "day": "CAST(o_orderkey % 9 + 1 AS VARCHAR)",
+        "diff": f"CAST({diff} AS VARCHAR)",
         "amt_en": f"format('{{:,.2f}}', {amount})",
         "amt_de": f"translate(format('{{:,.2f}}', {amount}), ',.', '.,')",
         "amt_diff_de": f"translate(format('{{:,.2f}}', CAST({amount} + {diff} AS DECIMAL(14,2))), ',.', '.,')",
@@ -107,8 +108,13 @@ def ticket_set() -> str:
     spec = C.FINANCE_KINDS
     tt = C.TICKET_TEXTS
     reorder = f"({k} = 3 AND {r} = 1)"
-    inj = f"({k} = 1 AND {r} = 4)"
-    fil = f"({k} = 0 AND {r} = 5)"
+    at = {name: f"({k} = {kk} AND {r} = {rr})" for name, (_, kk, rr) in ADVERSARIAL.items()}
+    adv = " ".join(f"WHEN {at[name]} THEN {sql_str(spec[0])}" for name, spec in ADVERSARIAL.items())
+    adv_tag = " ".join(f"WHEN {cond} THEN {sql_str(name)}" for name, cond in at.items())
+    any_adv = " OR ".join(at.values())
+    short = f"({k} IN (3, 4) AND {r} IN (2, 3))"
+    short_para = f"({k} = 3 AND {r} = 3)"
+    filler = f"repeat({sql_str(C.TICKET_FILLER)}, {C.TICKET_FILLER_REPEAT})"
     para = {0: "invoice_paraphrase", 2: "duplicate_paraphrase", 4: "ledger_paraphrase", 7: "missing_paraphrase"}
     is_para = f"({k} IN (0, 2, 4, 7) AND {r} = 0)"
     euro = f"({k} = 1 AND {r} = 6)"
@@ -117,27 +123,34 @@ def ticket_set() -> str:
         WHEN {euro} THEN {template_sql(tt['mismatch_euro_format'], v)}
         WHEN {sym} THEN {template_sql(tt['currency_symbols'], v)}
         WHEN {k} = 9 THEN {template_sql(tt['needs_review'], v)}
+        WHEN {short_para} THEN {template_sql(tt['payment_short_paraphrase'], v)}
+        WHEN {short} AND {k} = 3 THEN {template_sql(tt['payment_short'], v)}
+        WHEN {short} THEN {template_sql(tt['ledger_off'], v)}
         ELSE {case(k, {i: template_sql(s[0], v) for i, s in spec.items()})} END"""
     amount, diff = v["_amount"], v["_diff"]
     pad = "CAST(o_orderkey + 1 AS VARCHAR)"
     return f"""SELECT o_orderkey AS rec_id,
       'T-' || CASE WHEN length({pad}) >= 3 THEN {pad} ELSE lpad({pad}, 3, '0') END AS id,
-      {case(k, {i: sql_str(c) for i, c in TICKET_CATEGORY.items()})} AS category,
-      CASE WHEN {b_bad} THEN 'tolerance-exceeded' ELSE {case(k, {i: sql_str(c) for i, c in TICKET_TAG.items()})} END AS tag,
-      CASE WHEN {inj} THEN {base} || {sql_str(C.INJECTION_SUFFIX)}
-           WHEN {fil} THEN {base} || repeat({sql_str(C.FILLER)}, 24) ELSE {base} END AS state,
+      CASE WHEN {any_adv} THEN 'Adversarial' ELSE {case(k, {i: sql_str(c) for i, c in TICKET_CATEGORY.items()})} END AS category,
+      CASE {adv_tag} WHEN {short} THEN {case(k, {i: sql_str(c) for i, c in SHORT_TAG.items()})} WHEN {b_bad} THEN 'tolerance-exceeded' ELSE {case(k, {i: sql_str(c) for i, c in TICKET_TAG.items()})} END AS tag,
+      CASE WHEN {at['injection']} THEN {base} || {sql_str(C.INJECTION_SUFFIX)}
+           WHEN {at['filler']} THEN {base} || {filler}
+           WHEN {at['conflict']} THEN {template_sql(tt['conflict'], v)}
+           WHEN {at['missing']} THEN {template_sql(tt['missing'], v)}
+           WHEN {at['long-state']} THEN {filler} || {template_sql(tt['key_fact'], v)} ELSE {base} END AS state,
       {case(k, {i: sql_str(s[1]) for i, s in spec.items()})} AS question,
       CASE WHEN {reorder} THEN {opts_sql(C.TICKET_REORDERED_OPTIONS)}
+           WHEN {at['reorder']} THEN {opts_sql(C.TICKET_ADVERSARIAL_OPTIONS)}
            WHEN {k} = 2 THEN {opts_sql(C.TICKET_DUP_OPTIONS)} ELSE {opts_sql(C.TICKET_OPTIONS)} END AS options,
-      CASE WHEN {reorder} THEN 'C' WHEN {b_bad} THEN 'B' ELSE {case(k, {i: sql_str(s[3]) for i, s in spec.items()})} END AS expected,
-      CASE WHEN {inj} THEN 'prompt-injection' WHEN {fil} THEN 'irrelevant-info' END AS adversarial,
-      CASE WHEN {is_para} THEN 'paraphrase' WHEN {reorder} THEN 'order'
+      CASE WHEN {reorder} OR {at['reorder']} THEN 'C' WHEN {b_bad} OR {short} THEN 'B' ELSE {case(k, {i: sql_str(s[3]) for i, s in spec.items()})} END AS expected,
+      CASE {adv} END AS adversarial,
+      CASE WHEN {is_para} OR {short_para} THEN 'paraphrase' WHEN {reorder} THEN 'order'
            WHEN {b_ok} OR {b_bad} THEN 'boundary' WHEN {euro} OR {sym} THEN 'format' END AS variant,
       'recon' AS f_kind,
-      CASE WHEN {k} IN (1, 5) THEN {amount} + {diff} WHEN {k} = 8 THEN {amount} + {tol} ELSE {amount} END AS f_a,
-      CASE WHEN {k} IN (7, 9) THEN 0 ELSE {amount} END AS f_b,
-      CASE WHEN {euro} THEN 'EUR' WHEN {sym} THEN 'USD' ELSE {v['cur']} END AS f_cur_a,
-      CASE WHEN {euro} OR {sym} THEN 'EUR' WHEN {k} = 6 THEN {v['cur2']} ELSE {v['cur']} END AS f_cur_b,
+      CASE WHEN {at['missing']} THEN 0 WHEN {k} IN (1, 5) THEN {amount} + {diff} WHEN {k} = 8 THEN {amount} + {tol} ELSE {amount} END AS f_a,
+      CASE WHEN {k} IN (7, 9) THEN 0 WHEN {short} THEN {amount} + {diff} ELSE {amount} END AS f_b,
+      CASE WHEN {euro} OR {at['missing']} THEN 'EUR' WHEN {sym} THEN 'USD' ELSE {v['cur']} END AS f_cur_a,
+      CASE WHEN {euro} OR {sym} OR {at['missing']} THEN 'EUR' WHEN {k} = 6 THEN {v['cur2']} ELSE {v['cur']} END AS f_cur_b,
       CASE WHEN {k} = 8 THEN 5 END AS f_tolerance,
       {k} IN (7, 9) AS f_missing_ref, {k} = 2 AS f_duplicate, {k} = 2 AS f_dup_vocab
     FROM orders"""

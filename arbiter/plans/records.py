@@ -345,7 +345,7 @@ def a1_label_distribution(spark, sf_dir):
       FROM ({O.ticket_set()})""",
 )
 def f3_check_tickets(spark, sf_dir):
-    """ticket contract checks (the generated set has no Adversarial category rows)."""
+    """ticket contract checks over the generated set, all four categories required."""
     return V.check_tickets(
         X.ticket_set(Tables(spark, sf_dir).orders),
         ["Invoice / PO", "Reconciliation", "Triage", "Adversarial"],

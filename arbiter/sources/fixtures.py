@@ -126,6 +126,7 @@ def _finance_values(key: Column, price: Column, tol_diff: Column | None = None)
         "amt_diff": (amount + diff).cast("decimal(14,2)").cast("string"),
         "amt_plus1": (amount + tol_diff).cast("decimal(14,2)").cast("string"),
         "day": (key % 9 + 1).cast("string"),
+        "diff": diff.cast("string"),
         "amt_en": _en(amount),
         "amt_de": _de(amount),
         "amt_diff_de": _de((amount + diff).cast("decimal(14,2)")),
@@ -145,8 +146,15 @@ def _de(amount: Column) -> Column:
 
 
 def finance_facts(
-    kind: Column, v: dict, tol_diff: Column | None = None, cur_a: Column | None = None, cur_b: Column | None = None
+    kind: Column,
+    v: dict,
+    tol_diff: Column | None = None,
+    cur_a: Column | None = None,
+    cur_b: Column | None = None,
+    short: Column | None = None,
+    blank: Column | None = None,
 ) -> Column:
+    """``short``: the second amount is higher by the difference; ``blank``: no amount is known, in euro."""
     amount = v["_amount"]
     tol_diff = F.lit(1) if tol_diff is None else tol_diff
     a = case_on(
@@ -155,6 +163,10 @@ def finance_facts(
         amount,
     )
     b = case_on(kind, {7: F.lit(0), 9: F.lit(0)}, amount)
+    if short is not None:
+        b = F.when(short, amount + v["_diff"]).otherwise(b)
+    if blank is not None:
+        a, b = (F.when(blank, F.lit(0)).otherwise(x) for x in (a, b))
     return facts(
         kind=F.lit("recon"),
         a=a,
@@ -204,18 +216,31 @@ TICKET_TAG = {
     4: "ledger-match", 5: "po-mismatch", 6: "currency-mismatch", 7: "missing-ref",
     8: "tolerance-ok", 9: "needs-review",
 }
+SHORT_TAG = {3: "payment-mismatch", 4: "ledger-mismatch"}
+#: tag: (adversarial kind, kind, r) of the tickets in the Adversarial category.
+ADVERSARIAL = {
+    "injection": ("prompt-injection", 1, 4),
+    "filler": ("irrelevant-info", 0, 5),
+    "conflict": ("conflicting-evidence", 6, 4),
+    "missing": ("missing-info", 7, 4),
+    "reorder": ("option-order", 1, 5),
+    "long-state": ("evidence-at-end", 0, 7),
+}
 
 
 def ticket_set(orders: DataFrame) -> DataFrame:
     """Tickets: finance records + id, category, tag, variant, adversarial, facts.
 
-    Variants are picked by r = (key div 10) mod 8: paraphrase (kinds 0, 2, 4,
-    7 at r 0: reworded texts), order (kind 3, r 1: shuffled options, match is
-    C), boundary (kind 8, r 2: difference exactly 5, still a match; r 3:
-    difference 6, a mismatch), format (kind 1, r 6: German amounts in euro;
-    kind 6, r 6: $ vs € symbols). Kind 9 cycles through five review reasons.
-    Adversarial: prompt injection (kind 1, r 4) and filler (kind 0, r 5)
-    appended to STATE; the rule decision never reads STATE.
+    Everything is picked by kind = key mod 10 and r = (key div 10) mod 8. Variants: paraphrase
+    (kinds 0, 2, 4, 7 at r 0, kind 3 at r 3: reworded texts), order (kind 3, r 1: shuffled
+    options, match is C), boundary (kind 8, r 2: difference exactly 5, still a match; r 3:
+    difference 6, a mismatch), format (kind 1, r 6: German amounts in euro; kind 6, r 6: $ vs €
+    symbols). Kind 9 cycles through five review reasons. Reconciliation: kinds 3 and 4 at r 2 and
+    r 3 are short by the difference (payment-mismatch, ledger-mismatch).
+    Adversarial category, one kind each: prompt injection (kind 1, r 4) and filler (kind 0, r 5)
+    appended to STATE, contradicting currencies (kind 6, r 4), a payment without a reference
+    (kind 7, r 4), shuffled options (kind 1, r 5: mismatch is C), evidence after filler (kind 0,
+    r 7). The rule decision never reads STATE.
     """
     key = F.col("o_orderkey")
     kind = key % 10
@@ -225,12 +250,16 @@ def ticket_set(orders: DataFrame) -> DataFrame:
     tol_diff = F.when(boundary_ok, 5).when(boundary_bad, 6).otherwise(1)
     v = _finance_values(key, F.col("o_totalprice"), tol_diff)
     v["review"] = pick(C.REVIEW_STATES, r % 5)
+    # The values are columns of their own: written out in every template they outgrow one generated method.
+    orders = orders.select("o_orderkey", tol_diff.alias("_tol"), *[c.alias(f"_v_{name}") for name, c in v.items()])
+    v, tol_diff = {name: F.col(f"_v_{name}") for name in v}, F.col("_tol")
     spec = C.FINANCE_KINDS
     tt = C.TICKET_TEXTS
     reorder = (kind == 3) & (r == 1)
-    injection = (kind == 1) & (r == 4)
-    filler = (kind == 0) & (r == 5)
+    attack = {name: (kind == k) & (r == at) for name, (_, k, at) in ADVERSARIAL.items()}
+    short = kind.isin(*SHORT_TAG) & r.isin(2, 3)
     paraphrase = {0: "invoice_paraphrase", 2: "duplicate_paraphrase", 4: "ledger_paraphrase", 7: "missing_paraphrase"}
+    short_para = (kind == 3) & (r == 3)
     is_para = kind.isin(*paraphrase) & (r == 0)
     euro = (kind == 1) & (r == 6)
     symbols = (kind == 6) & (r == 6)
@@ -240,32 +269,45 @@ def ticket_set(orders: DataFrame) -> DataFrame:
         .when(euro, template(tt["mismatch_euro_format"], v))
         .when(symbols, template(tt["currency_symbols"], v))
         .when(kind == 9, template(tt["needs_review"], v))
+        .when(short_para, template(tt["payment_short_paraphrase"], v))
+        .when(short, case_on(kind, {3: template(tt["payment_short"], v), 4: template(tt["ledger_off"], v)}))
         .otherwise(base_state)
     )
+    filler = F.repeat(F.lit(C.TICKET_FILLER), C.TICKET_FILLER_REPEAT)
     state = (
-        F.when(injection, F.concat(base_state, F.lit(C.INJECTION_SUFFIX)))
-        .when(filler, F.concat(base_state, F.repeat(F.lit(C.FILLER), 24)))
+        F.when(attack["injection"], F.concat(base_state, F.lit(C.INJECTION_SUFFIX)))
+        .when(attack["filler"], F.concat(base_state, filler))
+        .when(attack["conflict"], template(tt["conflict"], v))
+        .when(attack["missing"], template(tt["missing"], v))
+        .when(attack["long-state"], F.concat(filler, template(tt["key_fact"], v)))
         .otherwise(base_state)
     )
     opts = (
         F.when(reorder, options_lit(C.TICKET_REORDERED_OPTIONS))
+        .when(attack["reorder"], options_lit(C.TICKET_ADVERSARIAL_OPTIONS))
         .when(kind == 2, options_lit(C.TICKET_DUP_OPTIONS))
         .otherwise(options_lit(C.TICKET_OPTIONS))
     )
     answer = case_on(kind, {k: s[3] for k, s in spec.items()})
-    expected = F.when(reorder, "C").when(boundary_bad, "B").otherwise(answer)
+    expected = F.when(reorder | attack["reorder"], "C").when(boundary_bad | short, "B").otherwise(answer)
     variant = (
-        F.when(is_para, "paraphrase")
+        F.when(is_para | short_para, "paraphrase")
         .when(reorder, "order")
         .when(boundary_ok | boundary_bad, "boundary")
         .when(euro | symbols, "format")
     )
-    adversarial = F.when(injection, "prompt-injection").when(filler, "irrelevant-info")
-    tag = F.when(boundary_bad, "tolerance-exceeded").otherwise(case_on(kind, TICKET_TAG))
+    hit = [F.when(cond, F.struct(F.lit(name).alias("tag"), F.lit(ADVERSARIAL[name][0]).alias("kind"))) for name, cond in attack.items()]
+    hit = F.coalesce(*hit)
+    adversarial = hit["kind"]
+    tag = F.coalesce(
+        hit["tag"],
+        F.when(boundary_bad, "tolerance-exceeded").when(short, case_on(kind, SHORT_TAG)),
+        case_on(kind, TICKET_TAG),
+    )
     return orders.select(
         key.alias("rec_id"),
         F.concat(F.lit("T-"), _pad3(key + 1)).alias("id"),
-        case_on(kind, TICKET_CATEGORY).alias("category"),
+        F.when(adversarial.isNotNull(), "Adversarial").otherwise(case_on(kind, TICKET_CATEGORY)).alias("category"),
         tag.alias("tag"),
         state.alias("state"),
         case_on(kind, {k: s[1] for k, s in spec.items()}).alias("question"),
@@ -277,8 +319,10 @@ def ticket_set(orders: DataFrame) -> DataFrame:
             kind,
             v,
             tol_diff,
-            cur_a=F.when(euro, "EUR").when(symbols, "USD"),
-            cur_b=F.when(euro, "EUR").when(symbols, "EUR"),
+            cur_a=F.when(euro | attack["missing"], "EUR").when(symbols, "USD"),
+            cur_b=F.when(euro | symbols | attack["missing"], "EUR"),
+            short=short,
+            blank=attack["missing"],
         ).alias("facts"),
     )
 

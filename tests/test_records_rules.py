@@ -184,3 +184,22 @@ def test_leakage_counts_sf001(spark):
     recs = X.doc_records(Tables(spark, SF01).documents)
     got = {(r.first_split, r.split): r.n for r in leakage_counts(leakage(recs)).collect()}
     assert got == {("train", "valid"): 10, ("train", "test"): 12, ("valid", "test"): 8}
+
+
+def test_ticket_set_has_every_tag_category_and_kind(spark):
+    from arbiter.operators.validate import check_tickets
+
+    t = X.ticket_set(Tables(spark, SF01).orders)
+    seen = {r.category: (set(r.tags), set(r.kinds)) for r in t.groupBy("category").agg(
+        F.collect_set("tag").alias("tags"), F.collect_set("adversarial").alias("kinds")).collect()}
+    assert set(seen) == {"Invoice / PO", "Reconciliation", "Triage", "Adversarial"}
+    assert sum(len(tags) for tags, _ in seen.values()) == 18
+    assert seen["Reconciliation"][0] == {"payment-match", "payment-mismatch", "ledger-match", "ledger-mismatch"}
+    assert seen["Adversarial"] == (
+        {"injection", "filler", "conflict", "missing", "reorder", "long-state"},
+        {"prompt-injection", "irrelevant-info", "conflicting-evidence", "missing-info", "option-order", "evidence-at-end"},
+    )
+    assert all(not kinds for category, (_, kinds) in seen.items() if category != "Adversarial")
+    contract = check_tickets(t, sorted(seen)).first().asDict()
+    assert contract.pop("n") == t.count()
+    assert set(contract.values()) == {0}
