@@ -23,16 +23,17 @@ def leakage(records: DataFrame, preview_chars: int = 80) -> DataFrame:
     """Rows whose exact state was first seen in an earlier split.
 
     ``records`` needs rec_id, split_rank (0 train, 1 valid, 2 test), state.
-    Returns (first_split, split, rec_id, preview).
+    Returns (first_split, split, rec_id, preview); rows that share a rec_id are rows of their own.
     """
-    keyed = records.select("rec_id", "split_rank", state_digest().alias("h"))
+    # The preview's few characters travel with the row: ids may repeat, so nothing is fetched by id.
+    preview = F.substring("state", 1, preview_chars).alias("preview")
+    keyed = records.select("rec_id", "split_rank", state_digest().alias("h"), preview)
     seen = keyed.groupBy("h").agg(F.min("split_rank").alias("first_rank"), F.max("split_rank").alias("last_rank"))
-    # Only states of several splits come back to the rows; their previews are fetched last.
+    # Only states of several splits come back to the rows.
     first = seen.where("last_rank > first_rank").drop("last_rank")
     leaks = keyed.join(first, "h").where(F.col("split_rank") > F.col("first_rank")).drop("h")
-    previews = records.select("rec_id", F.substring("state", 1, preview_chars).alias("preview"))
     names = F.array(*[F.lit(s) for s in SPLIT_NAMES])
-    return leaks.join(previews, "rec_id").select(
+    return leaks.select(
         F.get(names, F.col("first_rank")).alias("first_split"),
         F.get(names, F.col("split_rank")).alias("split"),
         "rec_id",

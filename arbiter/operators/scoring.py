@@ -8,8 +8,9 @@ Scale notes
 - The model table is (label, token) for tokens seen with a label; the score
   of unseen (label, token) pairs is a per-label constant folded in
   arithmetically, so the labels × vocabulary matrix is never materialised.
-- The model is a written table, so the planner knows its size: it is broadcast
-  under Spark's own threshold and otherwise joined by token, hot tokens split by AQE.
+- The model is a written table of rows of bounded width (`token_key`). Its most frequent tokens, as
+  many as ``HOT_BYTES`` hold, are broadcast; a larger model's rare tokens are joined by token, which
+  moves their occurrences only: no frequent token is a key of a shuffle (`with_values`).
 - Softmax/ranking windows are partitioned by item: a group is one item's
   options, bounded by the option count, never by data size.
 """
@@ -29,6 +30,49 @@ def _cols(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+# ---- token tables -------------------------------------------------------------------
+
+#: Bytes of a token table that are broadcast; tokens longer than TOKEN_BYTES stand for themselves by a digest.
+HOT_BYTES, TOKEN_BYTES = 32 << 20, 64
+
+
+def token_key(token: Column) -> Column:
+    """A token, or "#" and the SHA-256 of a long one (tokens are letters and digits)."""
+    return F.when(F.octet_length(token) <= TOKEN_BYTES, token).otherwise(F.concat(F.lit("#"), F.sha2(token, 256)))
+
+
+def _hot_and_cold(table: DataFrame, freq: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of a table (_token, ...) with the highest ``freq`` that ``HOT_BYTES`` hold, and the others."""
+    room = HOT_BYTES // (TOKEN_BYTES + 8 * (len(table.columns) + 4))
+    octave = F.floor(F.log2(F.col(freq).cast("double")) * 4)
+    at = table.groupBy(octave.alias("octave")).agg(F.count(F.lit(1)).alias("n"))  # 4 rows for each power of two
+    least, held = None, 0
+    counts = at.orderBy(F.desc("octave")).collect()
+    for r in counts:
+        if held + r["n"] > room:
+            return table.where(octave >= least if least is not None else F.lit(False)), table.where(
+                octave < least if least is not None else F.lit(True)
+            )
+        least, held = r["octave"], held + r["n"]
+    return table, None
+
+
+def with_values(rows: DataFrame, token: str, table: DataFrame, freq: str, outer: bool = False) -> DataFrame:
+    """``rows`` with the columns of the written ``table`` (_token, freq, values) for their token.
+
+    Every row whose token the table has comes once with its values. With ``outer`` all rows come, and
+    those of tokens outside the broadcast part once more without values: sums over values are the same.
+    """
+    hot, cold = _hot_and_cold(table, freq)
+    keyed = rows.withColumn("_token", token_key(F.col(token)))
+    found = keyed.join(F.broadcast(hot.drop(freq).withColumn("_hot", F.lit(True))), "_token", "left")
+    met = (found if outer else found.where("_hot")).drop("_token", "_hot")
+    if cold is None:
+        return met
+    missed = found.where("_hot IS NULL AND _token IS NOT NULL").select("_token", *rows.columns)
+    return met.unionByName(missed.join(cold.drop(freq), "_token").drop("_token"))
+
+
 # ---- P9 vocabulary ------------------------------------------------------------------
 
 
@@ -100,15 +144,16 @@ def score_nb(
         return attach_classes(docs.select(*keys), labels).select(*keys, "label", F.col("log_prior").alias("logp"))
     classes = labels.orderBy("label").collect()  # the label set
     deltas = fitted["model"].groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "delta"))).alias("deltas")
+        F.map_from_entries(F.collect_list(F.struct("label", "delta"))).alias("deltas"), F.sum("c").alias("freq")
     )
     vec = [
         (F.lit(c["default_logp"]) + F.coalesce(F.col("deltas")[c["label"]], F.lit(0.0))).alias(f"_v{i}")
         for i, c in enumerate(classes)
     ]
-    dense = staged(deltas.select("token", *vec), "nb-vectors")
+    dense = staged(deltas.select(token_key(F.col("token")).alias("_token"), "freq", *vec), "nb-vectors")
     # explode_outer keeps items without any token.
-    found = docs.select(*keys, F.explode_outer(tokens(text)).alias("token")).join(dense, "token", "left")
+    found = docs.select(*keys, F.explode_outer(tokens(text)).alias("token"))
+    found = with_values(found, "token", dense, "freq", outer=True)
     sums = found.groupBy(*keys).agg(
         *[F.coalesce(F.sum(f"_v{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(classes))]
     )

@@ -12,11 +12,12 @@ from arbiter.functions.prompts import fit_state, render_prompt, render_training_
 from arbiter.functions.text import preview, template_sql, tokens, words, sql_str
 from arbiter.operators import metrics as M
 from arbiter.operators import scoring as S
+from arbiter.operators.linear import fit_linear, score_linear
 from arbiter.operators.ordinal import ordinal_within
 from arbiter.plans import oracle_fixtures as O
 from arbiter.plans.records import _blob, _fmt_line_sql, _split_sql
 from arbiter.plans.registry import query
-from arbiter.session import Tables
+from arbiter.session import Tables, staged
 from arbiter.sources import fixtures as X
 from arbiter.sources import records as R
 from arbiter.sources.catalogue import DEFAULT_PERSONA, PROMPT_TEMPLATE
@@ -142,6 +143,18 @@ def j9_compare_runs(spark, sf_dir):
     return M.compare_runs(b, tuned.select("rec_id", "label"), "rec_id", by=["split"])
 
 
+@query("m1_linear_compare")
+def m1_linear_compare(spark, sf_dir):
+    """M1, second backend: naive Bayes (base) against the saved linear pipeline (tuned), both fitted on
+    the train split, over all records by split (J9). An iterative fit: no SQL, see tests/test_linear.py."""
+    d = _dset(spark, sf_dir)
+    path = fit_linear(d.where(F.col("split") == "train"), R.scratch_path(spark, "linear-model"))
+    base = _decide(S.score_nb(d, _fit(spark, sf_dir)), "rec_id")
+    tuned = _decide(score_linear(d, path), "rec_id")
+    exp = d.select("rec_id", "split", F.col("answer").alias("expected"))
+    return M.compare_runs(exp.join(base.select("rec_id", "label"), "rec_id"), tuned, "rec_id", by=["split"])
+
+
 @query(
     "j3_pair_predictions",
     sql=lambda: f"""WITH p AS ({_decide_sql2(_nb_sql('SELECT doc_id, text FROM documents', 'doc_id', 'text'), 'doc_id')}),
@@ -348,12 +361,13 @@ def p8_mask_examples(spark, sf_dir):
     prompt = render_prompt("state", "question", format_options("options"))
     full = render_training_text(prompt, "answer")
     # The vocabulary covers the texts being encoded, so no token is dropped.
-    vocab = S.build_vocab(d.select(full.alias("t")), "t").select("token", "id")
+    vocab = S.build_vocab(d.select(full.alias("t")), "t").select(S.token_key(F.col("token")).alias("_token"), "n", "id")
+    vocab = staged(vocab, "vocabulary")
     # Only the first MASK_MAX_LEN tokens have a place in the example.
     ex = d.select("rec_id", F.size(tokens(prompt)).alias("n_prompt"), F.slice(tokens(full), 1, MASK_MAX_LEN).alias("toks"))
     e = ex.select("rec_id", "n_prompt", F.posexplode("toks").alias("pos", "token"))
     ids = (
-        e.join(vocab, "token")
+        S.with_values(e, "token", vocab, "n")
         .groupBy("rec_id", "n_prompt")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("ps"))
         .select("rec_id", "n_prompt", F.transform("ps", lambda x: x["id"].cast("int")).alias("ids"))

@@ -203,3 +203,9 @@ def test_ticket_set_has_every_tag_category_and_kind(spark):
     contract = check_tickets(t, sorted(seen)).first().asDict()
     assert contract.pop("n") == t.count()
     assert set(contract.values()) == {0}
+
+
+def test_leaks_of_a_repeated_id_come_once(spark):
+    rows = [(1, 0, "same"), (1, 1, "same"), (1, 2, "other"), (2, 2, "same"), (2, 2, None)]
+    got = leakage(spark.createDataFrame(rows, "rec_id long, split_rank int, state string")).collect()
+    assert sorted(tuple(r) for r in got) == [("train", "test", 2, "same"), ("train", "valid", 1, "same")]

@@ -111,12 +111,13 @@ def test_streams_equal_batch(spark):
 
 
 def test_every_query_has_a_builder_and_an_oracle():
-    """Every query of the inventory has both; the training-data folder may be absent."""
+    """Every query of the inventory has both but one; the training-data folder may be absent."""
     import __spark_entry__ as E
 
     plans, qs, sql = load_all(), E.queries(), E.oracle_sql()
     assert len(plans) >= 70 and set(plans) <= set(qs) and set(sql) <= set(qs)
-    assert all(q.sql for q in plans.values())
+    # An iterative fit has no SQL; test_linear.py holds it.
+    assert {name for name, q in plans.items() if not q.sql} == {"m1_linear_compare"}
 
 
 def test_quantiles_hot_value_and_null_group(spark):
