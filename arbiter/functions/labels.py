@@ -48,24 +48,32 @@ def resolve_label(raw: Column | str, allowed: Column | str) -> Column:
     """
     raw = col_(raw)
     allowed_n = F.transform(F.coalesce(col_(allowed), F.array().cast("array<string>")), norm_label)
-    norm = norm_label(raw)
-    found = F.array_distinct(F.regexp_extract_all(norm, label_pattern(allowed_n), F.lit(1)))
-    label = (
-        F.when(F.array_contains(allowed_n, norm), norm)
-        .when(F.size(allowed_n) == 0, F.lit(None))
-        .when(F.size(found) == 1, F.get(found, 0))
-    )
-    status = (
-        F.when(F.array_contains(allowed_n, norm), "ok")
-        .when(F.size(allowed_n) == 0, "invalid_output")
-        .when(F.size(found) == 1, "extracted")
-        .otherwise("invalid_output")
-    )
-    return F.struct(
-        label.cast("string").alias("label"),
-        status.alias("status"),
-        F.coalesce(raw, F.lit("")).alias("raw"),
-    )
+
+    def found(norm: Column, allowed_n: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(norm, label_pattern(allowed_n), F.lit(1)))
+
+    return _resolved(raw, norm_label(raw), allowed_n, found)
+
+
+def _resolved(raw: Column, norm: Column, allowed: Column, found) -> Column:
+    """The resolution struct; ``found(norm, allowed)`` is searched once, and only where there is no exact hit."""
+    bound = F.array(F.struct(norm.alias("norm"), allowed.alias("allowed")))
+
+    def search(d: Column) -> Column:
+        exact = F.coalesce(F.array_contains(d["allowed"], d["norm"]), F.lit(False))
+        hits = F.when(~exact & (F.size(d["allowed"]) > 0), found(d["norm"], d["allowed"]))
+        return F.struct(d["norm"].alias("norm"), exact.alias("exact"), hits.alias("hits"))
+
+    def resolve(d: Column) -> Column:
+        one = F.size(d["hits"]) == 1
+        label = F.when(d["exact"], d["norm"]).when(one, F.get(d["hits"], 0))
+        status = F.when(d["exact"], "ok").when(one, "extracted").otherwise("invalid_output")
+        return F.struct(
+            label.cast("string").alias("label"), status.alias("status"), F.coalesce(raw, F.lit("")).alias("raw")
+        )
+
+    # One-element arrays bind what is used several times.
+    return F.transform(F.transform(bound, search), resolve)[0]
 
 
 def resolve_label_per_label(raw: Column | str, allowed: Column | str) -> Column:
@@ -78,16 +86,9 @@ def resolve_label_per_label(raw: Column | str, allowed: Column | str) -> Column:
     raw = col_(raw)
     allowed = F.coalesce(col_(allowed), F.array().cast("array<string>"))
     norm = F.upper(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+$", ""))
-    hits = F.array_distinct(
-        F.filter(allowed, lambda a: F.regexp(norm, F.concat(F.lit(_ASCII_B), a, F.lit(_ASCII_B))))
-    )
-    exact = F.array_contains(allowed, norm)
-    label = F.when(exact, norm).when(F.size(hits) == 1, F.get(hits, 0))
-    status = (
-        F.when(exact, "ok").when(F.size(hits) == 1, "extracted").otherwise("invalid_output")
-    )
-    return F.struct(
-        label.cast("string").alias("label"),
-        status.alias("status"),
-        F.coalesce(raw, F.lit("")).alias("raw"),
-    )
+
+    def found(norm: Column, allowed: Column) -> Column:
+        hit = lambda a: F.regexp(norm, F.concat(F.lit(_ASCII_B), a, F.lit(_ASCII_B)))
+        return F.array_distinct(F.filter(allowed, hit))
+
+    return _resolved(raw, norm, allowed, found)
