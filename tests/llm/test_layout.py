@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import collections
-import math
+import random
 import zlib
 
 import corpus_pipeline
@@ -15,15 +15,15 @@ from tests.conftest import SF001
 from tests.llm import helpers as H
 
 
-def _edf(ticks: list[int], period: int) -> list[int]:
-    """The schedule of one period, slot after slot."""
-    done, out = [0] * len(ticks), []
-    for t in range(period):
+def _edf(blocks: list[int]) -> list[int]:
+    """The source of every slot of a mix, scheduled slot after slot."""
+    total, done, out = sum(blocks), [0] * len(blocks), []
+    for t in range(total):
         ready = [
-            (math.ceil((done[s] + 1) * period / w), s)
-            for s, w in enumerate(ticks) if done[s] < w and math.floor(done[s] * period / w) <= t
+            (-(-(done[s] + 1) * total // b), s) for s, b in enumerate(blocks) if done[s] < b and done[s] * total // b <= t
         ]
-        s = min(ready)[1]
+        due, s = min(ready)
+        assert due > t
         done[s] += 1
         out.append(s)
     return out
@@ -34,14 +34,37 @@ def _mix(spark, docs, cap=0.25, block=4):
 
 
 def test_schedule_equals_a_sequential_scheduler(spark):
-    weights = spark.createDataFrame([("a", 50, 0.5), ("b", 30, 0.3), (None, 15, 0.15), ("d", 5, 0.05)], "source string, rows long, weight double")
-    rows = mixing.template(mixing.in_ticks(weights)).collect()
-    period = rows[0].period
-    ticks = {r.source: r.ticks for r in rows}
-    assert sum(ticks.values()) == period and sorted(r.slot for r in rows) == list(range(period))
-    names = sorted(ticks, key=lambda s: (s is not None, s or ""))
-    want = _edf([ticks[s] for s in names], period)
-    assert [names[i] for i in want] == [r.source for r in sorted(rows, key=lambda r: r.slot)]
+    """Frames scheduled apart give the schedule of one run over all slots, whatever their size."""
+    rnd = random.Random(5)
+    for frame in (1, 2, 7, 40, None):
+        for _ in range(1 if frame == 1 else 3):
+            blocks = [rnd.choice([1, 1, 2, rnd.randint(1, 9), rnd.randint(1, 40)]) for _ in range(rnd.randint(1, 9))]
+            total = sum(blocks)
+            names = [None] + [f"s{i}" for i in range(1, len(blocks))]
+            weights = spark.createDataFrame([(s, 4 * b, b / total) for s, b in zip(names, blocks)], "source string, rows long, weight double")
+            got = sorted(mixing.schedule(mixing.in_blocks_of(weights, 4), frame).collect(), key=lambda r: r.slot)
+            assert [r.slot for r in got] == list(range(total))
+            assert [r.i for r in got] == _edf(blocks)
+            assert all(r.release == r.block * total // blocks[r.i] for r in got)
+            assert all(r.deadline == -(-(r.block + 1) * total // blocks[r.i]) for r in got)
+
+
+def test_runs_of_boundaries(spark, monkeypatch):
+    """Blocks that lie across many boundaries: the running minimum goes from window to window."""
+    monkeypatch.setattr(mixing, "RUN", 3)
+    blocks = [30, 17, 1, 1, 2, 5, 1]
+    weights = spark.createDataFrame([(f"s{i}", b, b / 57) for i, b in enumerate(blocks)], "source string, rows long, weight double")
+    got = mixing.schedule(mixing.in_blocks_of(weights, 1), 2).orderBy("slot").collect()
+    assert [r.i for r in got] == _edf(blocks)
+
+
+def test_large_numbers_of_slots(spark):
+    """Sums and products of the shares stay exact beyond 64 bits."""
+    blocks = [3_000_000_007, 2_000_000_011, 999_999_937]
+    total, k = sum(blocks), 5_859_374
+    s = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).cast("long").alias("blocks")) for i, b in enumerate(blocks)])
+    got = spark.range(k, k + 1).select(mixing._at(s, F.col("id"), 1024, F.lit(total).cast("long")).alias("s")).first().s
+    assert [(e.c, e.f) for e in got] == [divmod(b * k * 1024, total) for b in blocks]
 
 
 def test_mix_keeps_every_block_in_its_window(spark):
@@ -75,13 +98,17 @@ def test_small_sources_do_not_end_the_mix(spark):
     assert kept == {s: n for s, n in sizes.items() if s != "hot"} | {"hot": rest // 3}
     even = {f"s{k:02d}": 700 for k in range(20)} | {None: 100}
     assert all(r.in_mix for r in _mix(spark, _sized(spark, even)))
-    # Shares hold all along, not just at the end, and no slot is given twice.
+    # No slot is empty or given twice, and shares hold in the order served, not just at the end.
     blocks = {(r.source, r.block): r.slot for r in rows if r.in_mix}
-    assert len(set(blocks.values())) == len(blocks)
-    end = max(blocks.values()) + 1
+    end = len(blocks)
+    assert sorted(blocks.values()) == list(range(end))
     for s, n in collections.Counter(s for s, _ in blocks).items():
         at = sorted(t for (x, _), t in blocks.items() if x == s)
-        assert all(abs(i - t * n / end) < 2.05 for i, t in enumerate(at))
+        assert all(abs(i - t * n / end) < 1 and abs(i + 1 - (t + 1) * n / end) < 1 for i, t in enumerate(at))
+    # A source above its weight gives rows by hash, not its lowest ids.
+    hot = [r for r in rows if r.source == "hot"]
+    taken = sorted(r.id for r in hot if r.in_mix)
+    assert len(taken) == rest // 3 and taken[-1] > max(r.id for r in hot) - 50
 
 
 def test_no_source_is_above_the_cap(spark):
