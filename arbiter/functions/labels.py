@@ -55,13 +55,21 @@ def resolve_label(raw: Column | str, allowed: Column | str) -> Column:
     return _resolved(raw, norm_label(raw), allowed_n, found)
 
 
+def _may_occur(norm: Column, label: Column) -> Column:
+    """False only where no pattern made of ``label`` can match: plain text that ``norm`` does not contain.
+
+    Cheaper than compiling a pattern for it. Labels with other characters may be patterns themselves (D6).
+    """
+    return ~label.rlike("^[A-Za-z0-9_ -]+$") | F.contains(norm, label)
+
+
 def _resolved(raw: Column, norm: Column, allowed: Column, found) -> Column:
-    """The resolution struct; ``found(norm, allowed)`` is searched once, and only where there is no exact hit."""
+    """The resolution struct; ``found(norm, allowed)`` is searched once, and only where a label may occur and there is no exact hit."""
     bound = F.array(F.struct(norm.alias("norm"), allowed.alias("allowed")))
 
     def search(d: Column) -> Column:
         exact = F.coalesce(F.array_contains(d["allowed"], d["norm"]), F.lit(False))
-        hits = F.when(~exact & (F.size(d["allowed"]) > 0), found(d["norm"], d["allowed"]))
+        hits = F.when(~exact & F.exists(d["allowed"], lambda a: _may_occur(d["norm"], a)), found(d["norm"], d["allowed"]))
         return F.struct(d["norm"].alias("norm"), exact.alias("exact"), hits.alias("hits"))
 
     def resolve(d: Column) -> Column:
@@ -88,7 +96,8 @@ def resolve_label_per_label(raw: Column | str, allowed: Column | str) -> Column:
     norm = F.upper(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+$", ""))
 
     def found(norm: Column, allowed: Column) -> Column:
-        hit = lambda a: F.regexp(norm, F.concat(F.lit(_ASCII_B), a, F.lit(_ASCII_B)))
+        pattern = lambda a: F.concat(F.lit(_ASCII_B), a, F.lit(_ASCII_B))
+        hit = lambda a: F.when(_may_occur(norm, a), F.regexp(norm, pattern(a))).otherwise(F.lit(False))
         return F.array_distinct(F.filter(allowed, hit))
 
     return _resolved(raw, norm, allowed, found)

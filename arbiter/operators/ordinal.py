@@ -87,7 +87,7 @@ def group_quantiles(
         "cuts",
     )
     binned = _attach(data, cuts, group_cols).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
-    bins = staged(binned.groupBy(*key, "_bin").agg(F.count(F.lit(1)).alias("_n")), "bins")
+    bins = binned.groupBy(*key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     # At most CUTS rows a group.
     w = Window.partitionBy(*key) if group_cols else Window.partitionBy(F.lit(0))
     upto = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
