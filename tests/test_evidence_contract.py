@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators.evidence import decide_from_text
 from arbiter.operators.generate import permute_options
-from arbiter.session import Tables
+from arbiter.session import Tables, spread
 from arbiter.sources import fixtures as X
 from arbiter.sources.catalogue import TICKET_OPTIONS
 from tests.conftest import SF001
@@ -65,3 +65,29 @@ def test_contract_imports_without_session():
     assert out.returncode == 0, out.stderr[-2000:]
     n_q, n_s = map(int, out.stdout.split()[-2:])
     assert n_q >= 70 and n_s == n_q - 1  # the linear fit has no SQL
+
+
+def _decided(spark, states):
+    opts = [(a, b, c) for a, b, c in TICKET_OPTIONS]
+    schema = "i int, state string, options array<struct<label:string,key:string,description:string>>"
+    return decide_from_text(spark.createDataFrame([(i, s, opts) for i, s in enumerate(states)], schema))
+
+
+def test_amounts_are_read_once_a_text(spark):
+    plan = _decided(spark, ["x"]).select("label")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(state") == 1
+
+
+def test_cues_ignore_case_in_ascii_only(spark):
+    states = ["NO INVOICE LINK here", "no invoice linK here", "café: No Reference", "It ARRIVED again", "", None]
+    f = [r.facts for r in _decided(spark, states).orderBy("i").collect()]
+    assert [x.missingRef for x in f] == [True, False, True, False, False, None]
+    assert [x.duplicate for x in f] == [False, False, False, True, False, None]
+
+
+def test_small_file_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    one = spark.read.parquet(f"{tmp_path}/t")
+    dealt = spread(one)
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
