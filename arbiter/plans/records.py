@@ -13,7 +13,7 @@ from arbiter.operators import metrics as M
 from arbiter.operators import validate as V
 from arbiter.plans import oracle_fixtures as O
 from arbiter.plans.registry import query
-from arbiter.session import Tables
+from arbiter.session import Tables, spread
 from arbiter.sources import fixtures as X
 from arbiter.sources import records as R
 from arbiter.sources.catalogue import DEFAULT_PERSONA, PROMPT_TEMPLATE
@@ -396,6 +396,13 @@ LENIENT_SQL = """CASE p_partkey % 4 WHEN 0 THEN p_brand || chr(10) || p_type ||
   WHEN 2 THEN p_brand ELSE 'A:' || p_brand || '|a:' || p_type END"""
 
 
+def _parsed(spark, sf_dir, parsed):
+    """The parts with their option text parsed; parsed once a row, also where a filter reads the error."""
+    parts = spread(Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", "p_name"))
+    # A one-element array that is exploded: a filter on the error is not pushed down to parse a second time.
+    return parts.select("p_partkey", F.explode(F.array(parsed)).alias("p"))
+
+
 def _exploded(parsed_df):
     return parsed_df.select(
         "p_partkey", F.col("p.error").alias("error"), F.posexplode_outer("p.options").alias("pos", "o")
@@ -430,7 +437,7 @@ def _strict_sql() -> str:
 @query("p1_parse_strict", sql=_strict_sql)
 def p1_parse_strict(spark, sf_dir):
     """Strict option strings → option rows, or one error row per string."""
-    p = Tables(spark, sf_dir).part.select("p_partkey", parse_options_strict(_strict_text()).alias("p"))
+    p = _parsed(spark, sf_dir, parse_options_strict(_strict_text()))
     return _exploded(p)
 
 
@@ -462,7 +469,7 @@ def _lenient_sql() -> str:
 @query("p2_parse_lenient", sql=_lenient_sql)
 def p2_parse_lenient(spark, sf_dir):
     """Lenient option text (pipes or lines, positional labels)."""
-    p = Tables(spark, sf_dir).part.select("p_partkey", parse_options_lenient(_lenient_text()).alias("p"))
+    p = _parsed(spark, sf_dir, parse_options_lenient(_lenient_text()))
     return _exploded(p)
 
 
@@ -484,7 +491,7 @@ def _fmt_line_sql(o: str) -> str:
 )
 def p3_format_options(spark, sf_dir):
     """Parsed option sets rendered as the prompt's options block."""
-    p = Tables(spark, sf_dir).part.select("p_partkey", parse_options_strict(_strict_text()).alias("p"))
+    p = _parsed(spark, sf_dir, parse_options_strict(_strict_text()))
     return p.where(F.col("p.error").isNull()).select(
         "p_partkey", format_options(F.col("p.options")).alias("options_block")
     )
