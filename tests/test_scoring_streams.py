@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import random
 
 from pyspark.sql import Window
@@ -149,3 +150,31 @@ def test_masked_examples_reach_the_answer(spark):
     assert sum(r.n_input > 64 for r in whole) > 0.5 * len(rows)
     # The answers are two labels of one token each.
     assert all(r.n_masked == r.n_input - 1 for r in whole) and len({r.supervised for r in whole}) == 2
+
+
+def test_scorer_gets_bounded_pieces(spark):
+    def factory():
+        def score(prompts, labels):
+            return prompts.str.len() * 0.0 - len(labels)
+
+        return score
+
+    rows = [(i, "x" * (i % 5), ["A", "B"] if i % 7 else []) for i in range(3000)]
+    df = spark.createDataFrame(rows, "rec_id long, prompt string, labels array<string>").coalesce(1)
+    got = H.with_scorer(df, factory).collect()
+    assert sorted((r.rec_id, r.pos, r.label) for r in got) == [
+        (i, p, x) for i in range(3000) if i % 7 for p, x in enumerate("AB")
+    ]
+    assert min(r.logp for r in got) >= -1000
+
+
+def test_stats_stream_takes_a_wave_at_a_time(spark, tmp_path):
+    rows = [(i, 100.0 + i) for i in range(400)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_totalprice double")
+    orders.repartition(6).write.parquet(f"{tmp_path}/orders.parquet")
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{root}/t2-stats-*"))
+    head = load_all()["t2_stats_stream"].build(spark, str(tmp_path)).first()
+    (new,) = set(glob.glob(f"{root}/t2-stats-*")) - before
+    assert head.n == 400
+    assert len(glob.glob(f"{new}/epoch=*")) == 4
