@@ -10,7 +10,8 @@ Scale notes
   arithmetically, so the labels × vocabulary matrix is never materialised.
 - The model is a written table of rows of bounded width (`token_key`). Its most frequent tokens, as
   many as ``HOT_BYTES`` hold, are broadcast; a larger model's rare tokens are joined by token, which
-  moves their occurrences only: no frequent token is a key of a shuffle (`with_values`).
+  moves their occurrences only: no frequent token is a key of a shuffle (`with_values`). Both parts
+  read the tokens, so a larger model has them written once: texts are parsed and split a single time.
 - Softmax/ranking windows are partitioned by item: a group is one item's
   options, bounded by the option count, never by data size.
 """
@@ -41,7 +42,7 @@ def token_key(token: Column) -> Column:
     return F.when(F.octet_length(token) <= TOKEN_BYTES, token).otherwise(F.concat(F.lit("#"), F.sha2(token, 256)))
 
 
-def _hot_and_cold(table: DataFrame, freq: str) -> tuple[DataFrame, DataFrame | None]:
+def hot_and_cold(table: DataFrame, freq: str) -> tuple[DataFrame, DataFrame | None]:
     """The rows of a table (_token, ...) with the highest ``freq`` that ``HOT_BYTES`` hold, and the others."""
     room = HOT_BYTES // (TOKEN_BYTES + 8 * (len(table.columns) + 4))
     octave = F.floor(F.log2(F.col(freq).cast("double")) * 4)
@@ -57,13 +58,16 @@ def _hot_and_cold(table: DataFrame, freq: str) -> tuple[DataFrame, DataFrame | N
     return table, None
 
 
-def with_values(rows: DataFrame, token: str, table: DataFrame, freq: str, outer: bool = False) -> DataFrame:
-    """``rows`` with the columns of the written ``table`` (_token, freq, values) for their token.
+def with_values(
+    rows: DataFrame, token: str, parts: tuple[DataFrame, DataFrame | None], freq: str, outer: bool = False
+) -> DataFrame:
+    """``rows`` with the columns of a written table (_token, freq, values) for their token; ``parts``: its `hot_and_cold`.
 
     Every row whose token the table has comes once with its values. With ``outer`` all rows come, and
     those of tokens outside the broadcast part once more without values: sums over values are the same.
+    Each part reads ``rows``: with a cold part, callers write the token arrays first.
     """
-    hot, cold = _hot_and_cold(table, freq)
+    hot, cold = parts
     keyed = rows.withColumn("_token", token_key(F.col(token)))
     found = keyed.join(F.broadcast(hot.drop(freq).withColumn("_hot", F.lit(True))), "_token", "left")
     met = (found if outer else found.where("_hot")).drop("_token", "_hot")
@@ -151,9 +155,13 @@ def score_nb(
         for i, c in enumerate(classes)
     ]
     dense = staged(deltas.select(token_key(F.col("token")).alias("_token"), "freq", *vec), "nb-vectors")
+    parts = hot_and_cold(dense, "freq")
+    read = docs.select(*keys, tokens(text).alias("_tokens"))
+    if parts[1] is not None:
+        read = staged(read, "nb-tokens")
     # explode_outer keeps items without any token.
-    found = docs.select(*keys, F.explode_outer(tokens(text)).alias("token"))
-    found = with_values(found, "token", dense, "freq", outer=True)
+    found = read.select(*keys, F.explode_outer("_tokens").alias("token"))
+    found = with_values(found, "token", parts, "freq", outer=True)
     sums = found.groupBy(*keys).agg(
         *[F.coalesce(F.sum(f"_v{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(classes))]
     )

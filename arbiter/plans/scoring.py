@@ -365,9 +365,12 @@ def p8_mask_examples(spark, sf_dir):
     vocab = staged(vocab, "vocabulary")
     # Only the first MASK_MAX_LEN tokens have a place in the example.
     ex = d.select("rec_id", F.size(tokens(prompt)).alias("n_prompt"), F.slice(tokens(full), 1, MASK_MAX_LEN).alias("toks"))
+    parts = S.hot_and_cold(vocab, "n")
+    if parts[1] is not None:
+        ex = staged(ex, "example-tokens")
     e = ex.select("rec_id", "n_prompt", F.posexplode("toks").alias("pos", "token"))
     ids = (
-        S.with_values(e, "token", vocab, "n")
+        S.with_values(e, "token", parts, "n")
         .groupBy("rec_id", "n_prompt")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("ps"))
         .select("rec_id", "n_prompt", F.transform("ps", lambda x: x["id"].cast("int")).alias("ids"))

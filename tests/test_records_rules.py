@@ -63,6 +63,12 @@ def test_split_states(spark):
     assert sorted((r.b, r.error) for r in err.collect()) == [(2, "empty batch"), (3, "invalid JSON array")]
 
 
+def test_a_batch_is_stripped_once(spark):
+    df = spark.createDataFrame([(0, "a\n\nb"), (1, '["x"]')], "b long, blob string")
+    plan = R.split_states(df, "blob", "b")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(blob") == 1
+
+
 def test_read_records_modes(spark, tmp_path):
     good = json.dumps({"rec_id": 1, "state": "s", "question": "q", "options": OPTS, "answer": "A"})
     (tmp_path / "part.jsonl").write_text(good + "\n\n{broken\n", encoding="utf-8")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from conftest import SF001
 
+from arbiter.functions.text import TOKEN_SPLIT
 from arbiter.operators import scoring as S
 from arbiter.plans import load_all
 
@@ -45,3 +46,11 @@ def test_tokens_are_no_shuffle_key_while_the_model_fits(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "hashpartitioning(_token" not in plan and "hashpartitioning(token" not in plan
+
+
+def test_texts_are_split_once_when_the_model_does_not_fit(spark, monkeypatch):
+    """Both parts of the model read the written tokens, not the texts."""
+    monkeypatch.setattr(S, "HOT_BYTES", S.TOKEN_BYTES + 8 * 8)
+    for df in (_scores(spark), load_all()["p8_mask_examples"].build(spark, SF001)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and TOKEN_SPLIT not in plan
