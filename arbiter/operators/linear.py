@@ -11,7 +11,7 @@ without a label are left out; a training table without labels is an error; extra
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.functions.text import tokens
+from arbiter.session import staged
 
 #: Positions that tokens are hashed to, and the fit's bounds.
 POSITIONS, ROUNDS, PENALTY = 1 << 16, 50, 0.001
@@ -33,18 +34,18 @@ def fit_linear(
     train: DataFrame, path: str, text: str = "state", label: str = "answer", positions: int = POSITIONS
 ) -> str:
     """Fit on ``train`` alone and save the whole pipeline (hashing, label names, weights) under ``path``."""
+    hashing = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=positions)
     rows = _tokenized(train.where(F.col(label).isNotNull()), text, F.col(label).cast("string").alias("_label"))
-    if rows.isEmpty():
+    # The vectors are written once: label names, feature spreads and gradients read them, not the texts.
+    counts = staged(hashing.transform(rows).select("_label", "_counts"), "linear-counts")
+    if counts.isEmpty():
         raise ValueError("no labelled training rows")
-    pipeline = Pipeline(stages=[
-        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=positions),
-        StringIndexer(inputCol="_label", outputCol="_class", stringOrderType="alphabetAsc"),
-        LogisticRegression(
-            featuresCol="_counts", labelCol="_class", probabilityCol="_probability", family="multinomial",
-            maxIter=ROUNDS, regParam=PENALTY,
-        ),
-    ])
-    pipeline.fit(rows).write().save(path)
+    indexer = StringIndexer(inputCol="_label", outputCol="_class", stringOrderType="alphabetAsc").fit(counts)
+    regression = LogisticRegression(
+        featuresCol="_counts", labelCol="_class", probabilityCol="_probability", family="multinomial",
+        maxIter=ROUNDS, regParam=PENALTY,
+    ).fit(indexer.transform(counts))
+    PipelineModel([hashing, indexer, regression]).write().save(path)
     return path
 
 

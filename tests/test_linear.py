@@ -37,6 +37,18 @@ def test_reloaded_pipeline_scores_every_row(spark):
     assert linear.score_linear(docs.limit(0), path).count() == 0
 
 
+def test_training_texts_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    train = spark.createDataFrame(TRAIN[:4], SCHEMA).withColumn("state", F.udf(count, "string")("state"))
+    linear.fit_linear(train, scratch_path(spark, "linear"), positions=256)
+    assert seen.value == 4
+
+
 def test_no_labels_is_an_error(spark):
     with pytest.raises(ValueError, match="no labelled"):
         linear.fit_linear(spark.createDataFrame([(1, "x", None)], SCHEMA), scratch_path(spark, "linear"))
